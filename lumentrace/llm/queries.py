@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from lumentrace.llm.curriculum import OP5_SQL, op5_curriculum
 from lumentrace.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lumentrace.llm.simhash_groups import op10_simhash_groups
 from lumentrace.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op5_curriculum": op5_curriculum,
     "op6_line_dedup": op6_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op10_simhash_groups": op10_simhash_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_curriculum": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
 }
