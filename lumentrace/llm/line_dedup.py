@@ -136,6 +136,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("text", text).select(*docs.columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("_n_gone"))
 
 
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with deduplicated texts; n_chars, where there is one, counts the new text's."""
+    rows = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        rows = rows.withColumn("n_chars", F.when(F.col("_n_gone") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "text", F.col("_n_gone").cast("long").alias("n_gone"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from lumentrace.llm.curriculum import OP5_SQL, op5_curriculum
 from lumentrace.llm.line_dedup import OP6_SQL, op6_line_dedup
+from lumentrace.llm.packing import op4_packing
 from lumentrace.llm.simhash_groups import op10_simhash_groups
 from lumentrace.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op5_curriculum": op5_curriculum,
     "op6_line_dedup": op6_line_dedup,
     "op8_toxicity": op8_toxicity,
