@@ -125,8 +125,8 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 300) -> tuple
     w = v = np.zeros(d + 1)
     rate = 1 / (0.25 * (1 + 1) + ridge)  # rows have length 1, the bias adds 1
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ v[:-1] + v[-1], -30, 30)))
-        grad = np.append(x.T @ (p - y) / n + ridge * v[:-1], (p - y).mean())
+        p = 1 / (1 + np.exp(-np.clip(x @ v[:-1].astype(x.dtype) + v[-1], -30, 30)))
+        grad = np.append((p - y).astype(x.dtype) @ x / n + ridge * v[:-1], (p - y).mean())
         nxt = v - rate * grad
         v = nxt + k / (k + 3) * (nxt - w)
         w = nxt

@@ -5,18 +5,28 @@ from __future__ import annotations
 from lumentrace.llm.curriculum import OP5_SQL, op5_curriculum
 from lumentrace.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lumentrace.llm.packing import op4_packing
+from lumentrace.llm.pii import op7_pii
+from lumentrace.llm.quality import op9_quality
 from lumentrace.llm.simhash_groups import op10_simhash_groups
+from lumentrace.llm.topk import OP3_SQL, op3_topk
 from lumentrace.llm.toxicity import op8_toxicity
+from lumentrace.llm.warc import OP1_SQL, op1_warc_derivatives
 
 QUERIES = {
+    "op1_warc_derivatives": op1_warc_derivatives,
+    "op3_topk": op3_topk,
     "op4_packing": op4_packing,
     "op5_curriculum": op5_curriculum,
     "op6_line_dedup": op6_line_dedup,
+    "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
     "op10_simhash_groups": op10_simhash_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_derivatives": OP1_SQL,
+    "op3_topk": OP3_SQL,
     "op5_curriculum": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
 }
