@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumentrace.llm.curriculum import OP5_SQL, op5_curriculum
 from lumentrace.llm.line_dedup import OP6_SQL, op6_line_dedup
+from lumentrace.llm.main_text import op2_main_text
 from lumentrace.llm.packing import op4_packing
 from lumentrace.llm.pii import op7_pii
 from lumentrace.llm.quality import op9_quality
@@ -14,6 +15,7 @@ from lumentrace.llm.warc import OP1_SQL, op1_warc_derivatives
 
 QUERIES = {
     "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_main_text": op2_main_text,
     "op3_topk": op3_topk,
     "op4_packing": op4_packing,
     "op5_curriculum": op5_curriculum,
