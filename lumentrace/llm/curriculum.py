@@ -110,8 +110,8 @@ def mix(docs: DataFrame) -> DataFrame:
     # Rows repeated in full share a key: they take the laps of the key's rows in turn.
     plan = taken.select(key, "times").groupBy("_key").agg(F.sort_array(F.collect_list("times")).alias("plans"))
     keyed = docs.withColumn("_key", F.xxhash64(has_id, "doc_id", has_source, "source", F.xxhash64("text"))).join(plan, "_key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id"))
-    rows = keyed.withColumn("_time", F.explode(F.get("plans", nth - 1)))
+    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
+    rows = keyed.withColumn("_time", F.explode(F.get("plans", F.col("_nth") - 1)))
     return rows.orderBy("_time", "doc_id").select(*docs.columns)
 
 
