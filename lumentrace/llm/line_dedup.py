@@ -10,8 +10,8 @@ The join never makes pairs of a group:
 
 * Equal lines are folded to their earliest place first (map-side combined).
 * A cheap filter finds lines that can have a near partner at all: one edit
-  leaves either the first or the last few words alone, so lines whose opening
-  and closing are both unique are done.
+  leaves either the first or the last half of the words alone, so lines whose
+  opening and closing are both unique are done.
 * Only the others emit their deletion variants as hashed keys.  Variants that
   lack the same position are equal exactly when one word differs: each such
   group yields its earliest line.  A variant equal to a whole line is one
@@ -28,15 +28,17 @@ columns besides doc_id and text pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import table
+from lumentrace.llm.common import cut_lineage, table
 
-#: Words from which a line may differ by one; words of the two kinds of opening.
-EDIT_FROM, SHORT_END, LONG_END = 8, 3, 7
-#: Words from which the long opening serves; a line of exactly so many has both.
-LONG_FROM = 2 * LONG_END + 1
+#: Words from which a line may differ by one.
+EDIT_FROM = 8
+#: Words of the shortest opening or closing. A line of n words has one of k words for the greatest k = 2^i - 1 with
+#: 2k + 1 <= n; a line of just 2k + 1 words also has the next smaller, for its partners with a word less.
+LEAST_END = 3
+SPACES = " \t\n\v\f\r"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -44,8 +46,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_text_hash"), "text")
 
 
+def _bound(value, body):
+    """``body`` of a value that is computed once for a row, however often the body's lambdas read it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _norm(line):
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    """Lower-case words, one space apart; lines that have single spaces only need no pattern."""
+    line = F.lower(line)
+    odd = F.contains(line, F.lit("  "))
+    for space in SPACES[1:]:
+        odd = odd | F.contains(line, F.lit(space))
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+
+
+def _n_words():
+    return F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
 
 
 def _key(*parts) -> list:
@@ -55,36 +71,42 @@ def _key(*parts) -> list:
 def _places(keyed: DataFrame) -> DataFrame:
     """place, norm (words, one space apart), n_words; only lines with words."""
     lines = keyed.select("doc_id", "_text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select(F.struct("doc_id", "_text_hash", "line_no").alias("place"), _norm("line").alias("norm")).where("norm != ''")
-    return lines.withColumn("n_words", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+    lines = lines.where(F.btrim("line", F.lit(SPACES)) != "")
+    return lines.select(F.struct("doc_id", "_text_hash", "line_no").alias("place"), _norm(F.col("line")).alias("norm"))
+
+
+def _ends() -> F.Column:
+    """Hashes of a line's openings and closings (array)."""
+    longest = F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.col("n_words") + 1)) - 2) - 1
+    half = F.shiftright(longest, 1)
+    end = lambda k: F.array(F.xxhash64(F.lit("first"), k, F.call_function("substring_index", F.col("norm"), F.lit(" "), k)), F.xxhash64(F.lit("last"), k, F.call_function("substring_index", F.col("norm"), F.lit(" "), -k)))
+    both = (F.col("n_words") == 2 * longest + 1) & (half >= LEAST_END)
+    return F.when(both, F.concat(end(longest), end(half))).otherwise(end(longest))
 
 
 def _distinct_lines(places: DataFrame) -> DataFrame:
-    """h1, h2, place (earliest), n (occurrences), n_words, e0 to e3 (hashes of openings and closings)."""
-    end = lambda side, k: F.substring_index("norm", " ", k if side == "first" else -k)
-    ends = [
-        F.when(cond, F.xxhash64(F.lit(side), F.lit(k), end(side, k)))
-        for side in ("first", "last")
-        for k, cond in ((SHORT_END, F.col("n_words").between(EDIT_FROM, LONG_FROM)), (LONG_END, F.col("n_words") >= LONG_FROM))
-    ]
-    keyed = places.select(*_key("norm"), "place", "n_words", *[e.alias(f"e{i}") for i, e in enumerate(ends)])
-    return keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("n_words").alias("n_words"), *[F.first(f"e{i}").alias(f"e{i}") for i in range(4)])
+    """h1, h2, place (earliest), n (occurrences), ends."""
+    keyed = places.select(*_key("norm"), "place", "norm", _n_words().alias("n_words"))
+    keyed = keyed.select("h1", "h2", "place", F.when(F.col("n_words") >= EDIT_FROM, _ends()).alias("ends"))
+    return keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("ends").alias("ends"))
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
     """h1, h2, place of distinct lines that share an opening or a closing with another."""
-    ends = lines.where(F.col("n_words") >= EDIT_FROM).select("h1", "h2", "place", F.explode(F.array_compact(F.array("e0", "e1", "e2", "e3"))).alias("end"))
+    ends = lines.select("h1", "h2", "place", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
     return ends.join(shared, "end", "left_semi").select("h1", "h2", "place").distinct()
 
 
 def _with_words(keyed: DataFrame, candidates: DataFrame) -> DataFrame:
-    """h1, h2, place, words of the candidates."""
+    """h1, h2, place, norm, n_words of the candidates."""
     wanted = candidates.groupBy("place.doc_id", "place._text_hash").agg(F.collect_set(F.struct("place.line_no", "h1", "h2")).alias("wanted"))
-    lines = keyed.join(wanted, ["doc_id", "_text_hash"]).select("doc_id", "_text_hash", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    words = F.split(_norm(F.get("lines", F.col("w.line_no"))), " ")
-    found = lines.select("w.h1", "w.h2", F.struct("doc_id", "_text_hash", "w.line_no").alias("place"), words.alias("words"))
-    return found.groupBy("h1", "h2").agg(F.first("place").alias("place"), F.first("words").alias("words"))  # rows may repeat
+    line = lambda lines, w: F.struct(w.h1.alias("h1"), w.h2.alias("h2"), w.line_no.alias("line_no"), F.get(lines, w.line_no).alias("line"))
+    picked = _bound(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda w: line(lines, w)))
+    found = keyed.join(wanted, ["doc_id", "_text_hash"]).select("doc_id", "_text_hash", F.inline(picked))
+    found = found.select("h1", "h2", F.struct("doc_id", "_text_hash", "line_no").alias("place"), _norm(F.col("line")).alias("norm"))
+    found = found.groupBy("h1", "h2").agg(F.first("place").alias("place"), F.first("norm").alias("norm"))  # rows may repeat
+    return found.withColumn("n_words", _n_words())
 
 
 def _near(a, b):
@@ -97,31 +119,37 @@ def _near(a, b):
 
 
 def _earlier_near(words: DataFrame) -> DataFrame:
-    """line, earlier: structs (place, h1, h2) of candidate lines and their earliest near line, if it is earlier."""
-    line = F.struct("place", "h1", "h2").alias("line")
-    rest = lambda i: F.concat_ws(" ", F.slice("words", F.lit(1), i), F.slice("words", i + 2, F.size("words")))
-    each = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.struct(i.alias("gone"), F.xxhash64(rest(i)).alias("v1"), F.hash(rest(i)).alias("v2")))
-    variants = words.select(line, F.size("words").alias("n"), F.explode(each).alias("v")).select("line", "n", "v.*")
+    """place, earlier: of candidate lines and their earliest near line, if it is earlier."""
+    each = words.select("place", "n_words", F.posexplode(F.split("norm", " ")).alias("gone", "word"))
+    # A key adds up hashes of the words with their positions: running sums give all of a line's variants in one pass.
+    value = lambda at, salt: F.shiftrightunsigned(F.xxhash64("word", at, F.lit(salt)), 24)  # noqa: E731  sums of 2^23 words fit
+    line = Window.partitionBy("place")
+    upto = line.orderBy("gone").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for i in (1, 2):
+        here, moved = value(F.col("gone"), i), value(F.col("gone") - 1, i)
+        each = each.withColumn(f"whole{i}", F.sum(here).over(upto)).withColumn(f"v{i}", F.col(f"whole{i}") - here + F.sum(moved).over(line) - F.sum(moved).over(upto))
+    variants = each.select("place", "n_words", "gone", "v1", "v2")
+    whole = each.where("gone = n_words - 1").select("place", F.col("whole1").alias("v1"), F.col("whole2").alias("v2"))
     # One word replaced: equal variants that lack the same position.
-    replaced = variants.groupBy("gone", "v1", "v2").agg(F.min("line").alias("earlier"), F.count("*").alias("size")).where("size > 1").drop("size")
-    by_replacing = variants.join(replaced, ["gone", "v1", "v2"]).where("earlier < line").select("line", "earlier")
+    replaced = variants.groupBy("gone", "v1", "v2").agg(F.min("place").alias("earlier"), F.count("*").alias("size")).where("size > 1").drop("size")
+    by_replacing = variants.join(replaced, ["gone", "v1", "v2"]).where("earlier < place").select("place", "earlier")
     # One word inserted: a variant that is another whole line.
-    longer = variants.where(F.col("n") > EDIT_FROM).select(F.col("v1").alias("h1"), F.col("v2").alias("h2"), F.col("line").alias("longer"))
-    inserted = words.select("h1", "h2", line).join(longer, ["h1", "h2"])
-    by_inserting = inserted.select(F.greatest("line", "longer").alias("line"), F.least("line", "longer").alias("earlier"))
-    return by_replacing.union(by_inserting).groupBy("line").agg(F.min("earlier").alias("earlier"))
+    longer = variants.where(F.col("n_words") > EDIT_FROM).select("v1", "v2", F.col("place").alias("longer"))
+    inserted = whole.join(longer, ["v1", "v2"])
+    by_inserting = inserted.select(F.greatest("place", "longer").alias("place"), F.least("place", "longer").alias("earlier"))
+    return by_replacing.union(by_inserting).groupBy("place").agg(F.min("earlier").alias("earlier"))
 
 
 def _gone(keyed: DataFrame) -> DataFrame:
     """doc_id, _text_hash, gone (numbers of the lines that go)."""
     places = _places(keyed)
-    lines = _distinct_lines(places)
-    words = _with_words(keyed, _candidates(lines))
-    near = _earlier_near(words).select("line.h1", "line.h2", F.col("earlier.h1").alias("o1"), F.col("earlier.h2").alias("o2"))
-    other = words.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("words").alias("other"))
-    checked = near.join(words, ["h1", "h2"]).join(other, ["o1", "o2"]).where(_near(F.col("words"), F.col("other"))).select("h1", "h2", F.lit(True).alias("near"))
+    lines = cut_lineage(_distinct_lines(places))
+    words = cut_lineage(_with_words(keyed, _candidates(lines)))
+    other = words.select(F.col("place").alias("earlier"), F.col("norm").alias("other"))
+    near = _earlier_near(words).join(words, "place").join(other, "earlier")
+    checked = near.where(_bound(F.struct(F.split("norm", " ").alias("a"), F.split("other", " ").alias("b")), lambda x: _near(x.a, x.b))).select("h1", "h2", F.lit(True).alias("near"))
     # A line goes if it is not the earliest of its equals, or if those are near an earlier line.
-    going = lines.join(checked, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    going = lines.drop("ends").join(checked, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     found = places.select(*_key("norm"), "place").join(going, ["h1", "h2"]).where("near or first < place")
     return found.groupBy("place.doc_id", "place._text_hash").agg(F.collect_set("place.line_no").alias("_gone"))
 
@@ -130,9 +158,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines taken out of their texts, and ``_n_gone``, their number."""
     gone = _gone(_keyed(docs))
     rows = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, ["doc_id", "_text_hash"], "left")
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    text = _bound(F.split("text", "\n"), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text)
     return rows.withColumn("text", text).select(*docs.columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("_n_gone"))
 
 
