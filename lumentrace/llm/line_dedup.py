@@ -38,6 +38,8 @@ EDIT_FROM = 8
 #: Words of the shortest opening or closing. A line of n words has one of k words for the greatest k = 2^i - 1 with
 #: 2k + 1 <= n; a line of just 2k + 1 words also has the next smaller, for its partners with a word less.
 LEAST_END = 3
+#: Words of the bitmap of shared ends (a power of two).
+BITMAP_WORDS = 1 << 18
 SPACES = " \t\n\v\f\r"
 
 
@@ -84,29 +86,23 @@ def _ends() -> F.Column:
     return F.when(both, F.concat(end(longest), end(half))).otherwise(end(longest))
 
 
-def _distinct_lines(places: DataFrame) -> DataFrame:
-    """h1, h2, place (earliest), n (occurrences), ends."""
-    keyed = places.select(*_key("norm"), "place", "norm", _n_words().alias("n_words"))
-    keyed = keyed.select("h1", "h2", "place", F.when(F.col("n_words") >= EDIT_FROM, _ends()).alias("ends"))
-    return keyed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("ends").alias("ends"))
+def _word_and_bit(end) -> tuple[F.Column, F.Column]:
+    return F.shiftrightunsigned(end, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), end.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _candidates(lines: DataFrame) -> DataFrame:
-    """h1, h2, place of distinct lines that share an opening or a closing with another."""
-    ends = lines.select("h1", "h2", "place", F.explode("ends").alias("end"))
-    shared = ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end")
-    return ends.join(shared, "end", "left_semi").select("h1", "h2", "place").distinct()
-
-
-def _with_words(keyed: DataFrame, candidates: DataFrame) -> DataFrame:
-    """h1, h2, place, norm, n_words of the candidates."""
-    wanted = candidates.groupBy("place.doc_id", "place._text_hash").agg(F.collect_set(F.struct("place.line_no", "h1", "h2")).alias("wanted"))
-    line = lambda lines, w: F.struct(w.h1.alias("h1"), w.h2.alias("h2"), w.line_no.alias("line_no"), F.get(lines, w.line_no).alias("line"))
-    picked = _bound(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda w: line(lines, w)))
-    found = keyed.join(wanted, ["doc_id", "_text_hash"]).select("doc_id", "_text_hash", F.inline(picked))
-    found = found.select("h1", "h2", F.struct("doc_id", "_text_hash", "line_no").alias("place"), _norm(F.col("line")).alias("norm"))
-    found = found.groupBy("h1", "h2").agg(F.first("place").alias("place"), F.first("norm").alias("norm"))  # rows may repeat
-    return found.withColumn("n_words", _n_words())
+def _candidates(places: DataFrame) -> DataFrame:
+    """id (h1), place (earliest), norm, n_words of distinct lines that share an opening or a closing with another."""
+    lines = places.select(*_key("norm"), "place", "norm", _n_words().alias("n_words")).where(F.col("n_words") >= EDIT_FROM)
+    ends = lines.select("h1", "h2", "place", "norm", "n_words", F.explode(_ends()).alias("end"))
+    shared = ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("end")
+    shared = cut_lineage(shared)
+    # A bitmap of the shared ends, at most BITMAP_WORDS rows of 16 bytes whatever the input, spares most lines the exact join.
+    word, bit = _word_and_bit(F.col("end"))
+    bitmap = shared.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    passed = ends.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    passed = passed.join(shared, "end", "left_semi")
+    found = passed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("norm").alias("norm"), F.first("n_words").alias("n_words"))
+    return found.select(F.col("h1").alias("id"), "h2", "place", "norm", "n_words")
 
 
 def _near(a, b):
@@ -118,45 +114,50 @@ def _near(a, b):
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (opening + closing >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def _earlier_near(words: DataFrame) -> DataFrame:
-    """place, earlier: of candidate lines and their earliest near line, if it is earlier."""
-    each = words.select("place", "n_words", F.posexplode(F.split("norm", " ")).alias("gone", "word"))
+def _near_pairs(words: DataFrame) -> DataFrame:
+    """id, other: pairs of candidates with equal variants that hold each line's earliest partner."""
+    each = words.select("id", "n_words", F.posexplode(F.split("norm", " ")).alias("gone", "word"))
     # A key adds up hashes of the words with their positions: running sums give all of a line's variants in one pass.
     value = lambda at, salt: F.shiftrightunsigned(F.xxhash64("word", at, F.lit(salt)), 24)  # noqa: E731  sums of 2^23 words fit
-    line = Window.partitionBy("place")
+    line = Window.partitionBy("id")
     upto = line.orderBy("gone").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for i in (1, 2):
         here, moved = value(F.col("gone"), i), value(F.col("gone") - 1, i)
         each = each.withColumn(f"whole{i}", F.sum(here).over(upto)).withColumn(f"v{i}", F.col(f"whole{i}") - here + F.sum(moved).over(line) - F.sum(moved).over(upto))
-    variants = each.select("place", "n_words", "gone", "v1", "v2")
-    whole = each.where("gone = n_words - 1").select("place", F.col("whole1").alias("v1"), F.col("whole2").alias("v2"))
-    # One word replaced: equal variants that lack the same position.
-    replaced = variants.groupBy("gone", "v1", "v2").agg(F.min("place").alias("earlier"), F.count("*").alias("size")).where("size > 1").drop("size")
-    by_replacing = variants.join(replaced, ["gone", "v1", "v2"]).where("earlier < place").select("place", "earlier")
+    variants = each.select("id", "n_words", "gone", F.xxhash64("v1", "v2").alias("key"))
+    whole = each.where("gone = n_words - 1").select("id", F.xxhash64("whole1", "whole2").alias("key"))
+    place = words.select("id", "place")
+    # One word replaced: equal variants that lack the same position; each joins the group's earliest line.
+    lacking = variants.select("id", F.xxhash64("gone", "key").alias("key"))
+    groups = lacking.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
+    members = cut_lineage(lacking.join(groups, "key", "left_semi").join(place, "id"))
+    first = members.groupBy("key").agg(F.min(F.struct("place", "id")).alias("first"))
+    by_replacing = members.join(first, "key").select("id", F.col("first.id").alias("other")).where("id != other")
     # One word inserted: a variant that is another whole line.
-    longer = variants.where(F.col("n_words") > EDIT_FROM).select("v1", "v2", F.col("place").alias("longer"))
-    inserted = whole.join(longer, ["v1", "v2"])
-    by_inserting = inserted.select(F.greatest("place", "longer").alias("place"), F.least("place", "longer").alias("earlier"))
-    return by_replacing.union(by_inserting).groupBy("place").agg(F.min("earlier").alias("earlier"))
-
-
-def _gone(keyed: DataFrame) -> DataFrame:
-    """doc_id, _text_hash, gone (numbers of the lines that go)."""
-    places = _places(keyed)
-    lines = cut_lineage(_distinct_lines(places))
-    words = cut_lineage(_with_words(keyed, _candidates(lines)))
-    other = words.select(F.col("place").alias("earlier"), F.col("norm").alias("other"))
-    near = _earlier_near(words).join(words, "place").join(other, "earlier")
-    checked = near.where(_bound(F.struct(F.split("norm", " ").alias("a"), F.split("other", " ").alias("b")), lambda x: _near(x.a, x.b))).select("h1", "h2", F.lit(True).alias("near"))
+    longer = variants.where(F.col("n_words") > EDIT_FROM).select("key", F.col("id").alias("longer"))
+    inserted = whole.join(longer, "key").select("id", F.col("longer").alias("other"))
+    return by_replacing.union(inserted).union(inserted.select("other", "id")).distinct()
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, _text_hash, _gone (sorted numbers of the lines that go) of the documents that lose lines."""
+    places = _places(_keyed(docs))
+    words = cut_lineage(_candidates(places))
+    a, b = (words.select(F.col("id").alias(i), F.col("h2").alias(f"{i}_h2"), F.col("place").alias(f"{i}_place"), F.col("norm").alias(f"{i}_norm")) for i in ("id", "other"))
+    pairs = _near_pairs(words).join(a, "id").join(b, "other").where("other_place < id_place")
+    near = pairs.where(_bound(F.struct(F.split("id_norm", " ").alias("a"), F.split("other_norm", " ").alias("b")), lambda x: _near(x.a, x.b)))
+    near = near.select(F.col("id").alias("h1"), F.col("id_h2").alias("h2"), F.lit(True).alias("near")).distinct()
     # A line goes if it is not the earliest of its equals, or if those are near an earlier line.
-    going = lines.drop("ends").join(checked, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", F.col("place").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    found = places.select(*_key("norm"), "place").join(going, ["h1", "h2"]).where("near or first < place")
-    return found.groupBy("place.doc_id", "place._text_hash").agg(F.collect_set("place.line_no").alias("_gone"))
+    keyed = places.select(*_key("norm"), "place")
+    lines = keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    going = lines.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    found = keyed.join(going, ["h1", "h2"]).where("near or first < place")
+    return found.groupBy("place.doc_id", "place._text_hash").agg(F.sort_array(F.collect_set("place.line_no")).alias("_gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines taken out of their texts, and ``_n_gone``, their number."""
-    gone = _gone(_keyed(docs))
+    gone = repeated_lines(docs)
     rows = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, ["doc_id", "_text_hash"], "left")
     kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = _bound(F.split("text", "\n"), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))
@@ -174,8 +175,11 @@ def clean_documents(docs: DataFrame) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines with words, and the numbers (from 0, comma-joined) of those that go."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "text", F.col("_n_gone").cast("long").alias("n_gone"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")), F.lit(0)).alias("n_lines"))
+    found = rows.join(repeated_lines(docs), ["doc_id", "_text_hash"], "left")
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_gone"), F.coalesce(F.array_join("_gone", ","), F.lit("")).alias("gone"))
 
 
 #: DuckDB: the same rule by variants in full (no filter, no hashes).
@@ -197,13 +201,9 @@ near as (
 ), gone as (
   select w.doc_id, w.line_no from worded w join firsts f on f.norm = w.norm
   where (w.doc_id, w.line_no) > f.place or w.norm in (select norm from near)
-), kept as (
-  select doc_id, list(t[i] order by i) as kept
-  from (select doc_id, string_split(text, chr(10)) as t from documents where text is not null) d, range(1, len(t) + 1) r(i)
-  where not exists (select 1 from gone g where g.doc_id = d.doc_id and g.line_no = i - 1)
-  group by doc_id
 )
-select d.doc_id, case when d.text is null then null else coalesce(array_to_string(k.kept, chr(10)), '') end as text,
-  (select count(*) from gone g where g.doc_id = d.doc_id) as n_gone
-from documents d left join kept k using (doc_id)
+select d.doc_id, (select count(*) from worded w where w.doc_id = d.doc_id) as n_lines,
+  (select count(*) from gone g where g.doc_id = d.doc_id) as n_gone,
+  coalesce((select string_agg(line_no::varchar, ',' order by line_no) from gone g where g.doc_id = d.doc_id), '') as gone
+from documents d
 """
