@@ -92,15 +92,15 @@ def _word_and_bit(end) -> tuple[F.Column, F.Column]:
 
 def _candidates(places: DataFrame) -> DataFrame:
     """id (h1), place (earliest), norm, n_words of distinct lines that share an opening or a closing with another."""
-    lines = places.select(*_key("norm"), "place", "norm", _n_words().alias("n_words")).where(F.col("n_words") >= EDIT_FROM)
-    ends = lines.select("h1", "h2", "place", "norm", "n_words", F.explode(_ends()).alias("end"))
+    lines = places.select(*_key("norm"), "place", "norm", _n_words().alias("n_words"))
+    ends = lines.select("h1", "h2", "place", "norm", "n_words", F.explode(F.when(F.col("n_words") >= EDIT_FROM, _ends())).alias("end"))
     shared = ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("end")
     shared = cut_lineage(shared)
     # A bitmap of the shared ends, at most BITMAP_WORDS rows of 16 bytes whatever the input, spares most lines the exact join.
     word, bit = _word_and_bit(F.col("end"))
     bitmap = shared.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     passed = ends.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
-    passed = passed.join(shared, "end", "left_semi")
+    passed = passed.join(shared, "end")  # inner, on distinct keys: a semi join would be moved below the bitmap
     found = passed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("norm").alias("norm"), F.first("n_words").alias("n_words"))
     return found.select(F.col("h1").alias("id"), "h2", "place", "norm", "n_words")
 
