@@ -1,7 +1,138 @@
-"""Names of the registered queries: callables on (spark, sf_dir), and SQL."""
+"""The registered queries: callables on (spark, sf_dir), and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lumentrace.operators import statistics as st
+from lumentrace.operators import traces as tr
+from lumentrace.sources.adapters import PEAKS_SQL, SERIES_SQL, peaks, series, table
+
 FLAGSHIP = "hil_traces"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+TOLERANCE = 0.0005
+#: Rows that cells and runs are made of.
+WITH_TRACES = f"with {PEAKS_SQL},{tr.TRACES_SQL}\n"
+
+
+def _scores(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return docs.join(labels, "doc_id").select(F.col("n_chars").alias("score"), (F.col("toxic") == 1).alias("decoy"))
+
+
+def _cells(spark, d):
+    return series(spark, d).groupBy(F.col("channel").alias("row"), "run").agg(F.sum("value").alias("intensity"))
+
+
+def _masses(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("mass"))
+
+
+RUNS = ["click", "error", "purchase", "signup", "view"]
+_SCORES_SQL = "with s as (select n_chars as score, toxic = 1 as decoy from documents join labels using (doc_id)), c as (select score, count(*) filter (not decoy) as t, count(*) filter (decoy) as d from s group by score)"
+_CELLS_SQL = f"with {SERIES_SQL}, cells as (select channel as row, run, sum(value)::bigint as intensity from series group by all)"
+
+
+def _q_sql(extra: int) -> str:
+    return f"""{_SCORES_SQL},
+r as (select *, least(1.0::double, ((sum(d) over w) + {extra})::double / greatest(1, sum(t) over w)) as rate from c window w as (order by score desc rows unbounded preceding))
+select score, t, d, round(min(rate) over (order by score rows unbounded preceding), 9) as q from r"""
+
+
+def _line_sql() -> str:
+    """Five rounds of fit and clip, written out."""
+    out, kept = [SERIES_SQL], "series"
+    for k in range(5):
+        out.append(f"f{k} as (select run, regr_slope(value, seq) as slope, regr_intercept(value, seq) as intercept from {kept} group by run)")
+        out.append(f"g{k} as (select run, slope, intercept, stddev_samp(value - slope * seq - intercept) as sigma, count(*) as n from {kept} join f{k} using (run) group by all)")
+        out.append(f"k{k} as (select series.* from series join g{k} using (run) where abs(value - slope * seq - intercept) <= 3.0 * sigma)")
+        kept = f"k{k}"
+    return f"with {', '.join(out)} select run, round(slope, 5) as slope, round(intercept, 2) as intercept, round(sigma, 2) as sigma, n from g4"
+
+
+QUERIES = {
+    "hil_traces": lambda s, d: tr.traces(peaks(s, d)),
+    "hil_moments": lambda s, d: tr.moments(peaks(s, d)),
+    "hil_gap_fill_smooth": lambda s, d: tr.filled(peaks(s, d)),
+    "hil_shape_score": lambda s, d: tr.shape(peaks(s, d)),
+    "sco_estimators": lambda s, d: tr.estimators(peaks(s, d)),
+    "fea_band_join": lambda s, d: tr.overlapping(tr.traces(peaks(s, d)), TOLERANCE),
+    "fea_coelution_cosine": lambda s, d: tr.coelution(peaks(s, d), tr.overlapping(tr.traces(peaks(s, d)), TOLERANCE).drop("overlap")),
+    "pre_rolling_scale": lambda s, d: st.rolling_scale(series(s, d)),
+    "sco_element_counts": lambda s, d: st.element_counts(_masses(s, d)),
+    "sco_affinities": lambda s, d: st.affinities(table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("profile"))),
+    "aln_reference_run": lambda s, d: st.reference_run(series(s, d), 10_000),
+    "aln_normalised_time": lambda s, d: st.normalised_time(series(s, d)),
+    "aln_clipped_line": lambda s, d: st.clipped_line(series(s, d)),
+    "aln_spread_bins": lambda s, d: st.spread_bins(series(s, d)),
+    "lfq_target_decoy_q": lambda s, d: st.target_decoy_q(_scores(s, d)),
+    "lfq_conservative_q": lambda s, d: st.target_decoy_q(_scores(s, d), True),
+    "con_group_q": lambda s, d: st.group_q(_scores(s, d).where("not decoy"), _scores(s, d).where("decoy"), 4),
+    "lfq_median_ratio": lambda s, d: st.median_ratio(_cells(s, d)),
+    "lfq_matrix": lambda s, d: st.matrix(_cells(s, d), RUNS),
+    "src_dia_schedule": lambda s, d: st.dia_schedule(table(s, d, "lineitem").select(F.col("l_suppkey").alias("run"), F.expr("cast(l_quantity as bigint)").alias("window"))),
+    "tgt_donors": lambda s, d: st.donors(series(s, d).select("run", F.col("channel").alias("peptide"), (F.col("seq") % 3).alias("charge"), (F.col("value") % 100).alias("q"), F.col("value").alias("score"), "seq")),
+    "snk_run_report": lambda s, d: st.run_report(tr.traces(peaks(s, d))),
+}
+
+ORACLE_SQL = {
+    "hil_traces": WITH_TRACES + "select * from traces",
+    "hil_moments": WITH_TRACES + """, m as (
+  select channel, trace, count(*) as n, sum(w) as sw, sum(w * w) as sww, sum(w * x) as swx, sum(w * x * x) as swxx
+  from (select *, intensity::double as w, mz_weighted::double / intensity as x from members) group by all having count(*) >= 3
+), v as (select *, swx / sw as mean, sqrt(greatest(0, swxx / sw - (swx / sw) * (swx / sw))) as sd from m)
+select channel, trace, round(mean, 6) as mz, round(sd, 4) as mz_std, round(sd / sqrt(greatest(1, sw * sw / sww)), 4) as mz_se from v""",
+    "hil_gap_fill_smooth": WITH_TRACES + """, n as (
+  select *, lead(scan) over w as s2, lead(intensity) over w as i2 from members window w as (partition by channel, trace order by scan)
+), f as (
+  select channel, trace, (scan + k)::int as scan, intensity + case when k > 0 then (i2 - intensity) * k::double / (s2 - scan) else 0 end as v, k > 0 as gap
+  from n, range(0, coalesce(s2 - scan, 1)) r(k)
+) select channel, trace, scan, round(v, 4) as value, gap, round(avg(v) over (partition by channel, trace order by scan rows between 1 preceding and 1 following), 4) as smooth from f""",
+    "hil_shape_score": WITH_TRACES + """, a as (
+  select m.*, lag(m.intensity) over (partition by channel, trace order by scan) as b, t.scan_apex from members m join traces t using (channel, trace)
+) select channel, trace, round(coalesce(avg(case when b is null then null when scan <= scan_apex then (intensity >= b)::int else (intensity <= b)::int end), 1.0), 6) as shape from a group by all""",
+    "sco_estimators": WITH_TRACES + """, a as (
+  select m.*, row_number() over (partition by channel, trace order by intensity desc, scan) as nth,
+    sum(m.intensity) over (partition by channel, trace order by scan rows between 4 preceding and current row) as five,
+    (lag(m.intensity) over w)::double as a, m.intensity::double as b, (lead(m.intensity) over w)::double as c, t.scan_apex
+  from members m join traces t using (channel, trace) window w as (partition by channel, trace order by scan)
+) select channel, trace, (sum(intensity) filter (nth <= 5))::bigint as scattered5, max(five)::bigint as consecutive5,
+  round(max(case when scan = scan_apex then case when a is not null and c is not null and a - 2 * b + c < 0 then b - (a - c) * (a - c) / (8 * (a - 2 * b + c)) else b end end), 3) as parabolic from a group by all""",
+    "fea_band_join": WITH_TRACES + f"""select a.channel as channel_a, a.trace as trace_a, b.channel as channel_b, b.trace as trace_b,
+  least(a.scan_end, b.scan_end) - greatest(a.scan_start, b.scan_start) + 1 as overlap
+from traces a join traces b on b.intensity_max >= a.intensity_max and b.intensity_max <= a.intensity_max * (1 + {TOLERANCE}::double)
+  and least(a.scan_end, b.scan_end) - greatest(a.scan_start, b.scan_start) + 1 >= 3 and (a.channel, a.trace) <> (b.channel, b.trace)""",
+    "fea_coelution_cosine": WITH_TRACES + f""", p as (select a.channel as ca, a.trace as ta, b.channel as cb, b.trace as tb
+from traces a join traces b on b.intensity_max >= a.intensity_max and b.intensity_max <= a.intensity_max * (1 + {TOLERANCE}::double)
+  and least(a.scan_end, b.scan_end) - greatest(a.scan_start, b.scan_start) + 1 >= 3 and (a.channel, a.trace) <> (b.channel, b.trace)
+), n as (select channel, trace, sqrt(sum(intensity::double * intensity)) as norm from members group by all),
+d as (select ca, ta, cb, tb, coalesce(sum(x.intensity::double * y.intensity), 0) as dot from p join members x on x.channel = ca and x.trace = ta
+  left join members y on y.channel = cb and y.trace = tb and y.scan = x.scan group by all)
+select ca as channel_a, ta as trace_a, cb as channel_b, tb as trace_b, round(dot / (u.norm * v.norm), 6) as cosine
+from d join n u on u.channel = ca and u.trace = ta join n v on v.channel = cb and v.trace = tb""",
+    "pre_rolling_scale": f"with {SERIES_SQL}, m as (select *, median(value) over (partition by channel order by seq rows between 5 preceding and 5 following) as md from series) select channel, seq, round(case when value = 0 then 3.0 else greatest(0.5, least(3.0, md::double / value)) end, 9) as scale from m",
+    "sco_element_counts": "select p_partkey as id, " + ", ".join(f"floor({x}::double * p_retailprice::double / {st.RESIDUE_MASS}::double + 0.5)::bigint as n_{e.lower()}" for e, x in st.RESIDUE.items()) + " from part",
+    "sco_affinities": """with v as (select vec_id as id, list_transform(embedding, lambda x: abs(x::double)) as p from embeddings),
+b as (select a.id, a.p, c.p as q from v a join v c on c.id = a.id + 1)
+select id, round(list_sum(list_transform(list_zip(p, q), lambda z: sqrt(z[1] * z[2]))) / sqrt(list_sum(p) * list_sum(q)), 6) as affinity,
+  round(list_sum(list_transform(list_zip(p, q), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(p, lambda x: x * x)) * list_sum(list_transform(q, lambda x: x * x))), 6) as cosine from b""",
+    "aln_reference_run": f"with {SERIES_SQL} select run, count(*) filter (value >= 10000) as n from series group by run order by n desc, run desc limit 1",
+    "aln_normalised_time": f"with {SERIES_SQL}, e as (select run, min(seq) as low, max(seq) as high from series group by run) select run, seq, round(case when high = low then 0.5 else (seq - low)::double / (high - low) end, 9) as rt from series join e using (run)",
+    "aln_clipped_line": _line_sql(),
+    "aln_spread_bins": f"""with {SERIES_SQL}, e as (select run, min(seq) as low, max(seq) as high, var_samp(value) as whole from series group by run),
+b as (select run, whole, value, least(11, floor((seq - low)::double / greatest(1, high - low) * 12)::bigint) as bin from series join e using (run)),
+g as (select run, bin, whole, count(*) as n, coalesce(var_samp(value), 0) as own from b group by all)
+select run, bin, n, round(greatest(sqrt(((n - 1) * own + 20 * whole) / (n - 1 + 20)), 0.25 * sqrt(whole)), 2) as sigma from g""",
+    "lfq_target_decoy_q": _q_sql(0),
+    "lfq_conservative_q": _q_sql(1),
+    "con_group_q": f"""{_SCORES_SQL},
+r as (select *, least(1.0::double, (1 + (sum(d) over w)::double / 4) / greatest(1, sum(t) over w)) as rate from c window w as (order by score desc rows unbounded preceding)),
+q as (select *, min(rate) over (order by score rows unbounded preceding) as q from r)
+select score, t as n, round(case when score <= 0 then 1.0 else q end, 9) as q from q where t > 0""",
+    "lfq_median_ratio": f"""{_CELLS_SQL}, x as (select row, run, log2(intensity::double) as x from cells where intensity > 0),
+m as (select row, avg(x) as mean from x group by row having count(*) = (select count(distinct run) from cells)),
+f as (select run, median(mean - x) as f from x join m using (row) group by run) select run, round(f - (select avg(f) from f), 6) as factor from f""",
+    "lfq_matrix": f"{_CELLS_SQL} select row, " + ", ".join(f"coalesce(sum(intensity) filter (run = '{r}'), 0)::bigint as {r}" for r in RUNS) + " from cells group by row",
+    "src_dia_schedule": "with s as (select l_suppkey as run, count(*) as n_scans, count(distinct l_quantity::bigint) as n_windows from lineitem group by 1) select *, n_scans >= 8 and n_windows between 1 and 2000 and n_scans::double / n_windows >= 3.0 as is_dia from s",
+    "tgt_donors": f"with {SERIES_SQL}, p as (select run, channel as peptide, seq % 3 as charge, value % 100 as q, value as score, seq from series) select * from p qualify row_number() over (partition by run, peptide, charge order by q, score desc, seq) = 1",
+    "snk_run_report": WITH_TRACES + "select channel % 2 as run, count(*) as n, median(n_scans)::double as median_scans, median(intensity_max)::double as median_apex, round(stddev_samp(n_scans), 6) as std_scans from traces group by 1",
+}
