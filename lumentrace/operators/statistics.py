@@ -52,14 +52,20 @@ def normalised_time(rows: DataFrame) -> DataFrame:
 
 def clipped_line(rows: DataFrame, rounds: int = 5, sigmas: float = 3.0) -> DataFrame:
     """Least-squares line of value on time in each run, refitted without rows beyond ``sigmas`` spreads."""
-    kept, fit = rows, None
-    for k in range(rounds):
+    fit = None
+    for _ in range(rounds):
+        kept = rows
         if fit is not None:
             near = rows.join(F.broadcast(fit), "run")  # a row for each run
-            kept = near.where(F.abs(F.col("value") - F.col("slope") * F.col("seq") - F.col("intercept")) <= sigmas * F.col("sigma")).select(rows.columns)
-        fit = kept.groupBy("run").agg(F.regr_slope("value", "seq").alias("slope"), F.regr_intercept("value", "seq").alias("intercept"))
-        spread = kept.join(F.broadcast(fit), "run").groupBy("run").agg(F.stddev_samp(F.col("value") - F.col("slope") * F.col("seq") - F.col("intercept")).alias("sigma"), F.count("*").alias("n"))
-        fit = fit.join(spread, "run")
+            kept = near.where(F.abs(F.col("value") - F.col("slope") * F.col("seq") - F.col("intercept")) <= sigmas * F.col("sigma"))
+        line = kept.groupBy("run").agg(
+            F.regr_slope("value", "seq").alias("slope"),
+            F.regr_intercept("value", "seq").alias("intercept"),
+            (F.regr_syy("value", "seq") - F.regr_slope("value", "seq") * F.regr_sxy("value", "seq")).alias("rest"),
+            F.count("*").alias("n"),
+        )
+        # The residuals of a line with an intercept average 0: their spread follows from the same sums.
+        fit = line.select("run", "slope", "intercept", F.sqrt(F.greatest(F.lit(0.0), "rest") / F.nullif(F.col("n") - 1, F.lit(0))).alias("sigma"), "n")
     return fit.select("run", F.round("slope", 5).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("sigma", 2).alias("sigma"), "n")
 
 
