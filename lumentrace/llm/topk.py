@@ -160,7 +160,9 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = TOP, blo
     keys, search = ["dim", "chunk", "block"], _searcher(bases, k)
 
     def scored(asked: DataFrame, held: DataFrame) -> DataFrame:
-        return asked.select(*keys, "vec_id", "v", "least").groupBy(*keys).cogroup(held.select(*keys, "vec_id", "v", "length").groupBy(*keys)).applyInArrow(search, FOUND)
+        # Both come from ``vectors``: new names keep the sides' columns apart.
+        asked, held = (side.select(*[F.col(c).alias(c) for c in (*keys, "vec_id", "v", last)]) for side, last in ((asked, "least"), (held, "length")))
+        return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(search, FOUND)
 
     none = F.lit(-(2**62))
     first = cut_lineage(scored(queries.withColumn("block", F.lit(0)).withColumn("least", none), spread.where("block = 0")))
