@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrace.functions.lineage import cut_lineage
+
 
 def rolling_scale(rows: DataFrame, window: int = 11, low: float = 0.5, high: float = 3.0) -> DataFrame:
     """Centred rolling median of a channel over its value, clamped; a value of 0 gets the greatest scale."""
@@ -65,7 +67,7 @@ def clipped_line(rows: DataFrame, rounds: int = 5, sigmas: float = 3.0) -> DataF
             F.count("*").alias("n"),
         )
         # The residuals of a line with an intercept average 0: their spread follows from the same sums.
-        fit = line.select("run", "slope", "intercept", F.sqrt(F.greatest(F.lit(0.0), "rest") / F.nullif(F.col("n") - 1, F.lit(0))).alias("sigma"), "n")
+        fit = cut_lineage(line.select("run", "slope", "intercept", F.sqrt(F.greatest(F.lit(0.0), "rest") / F.nullif(F.col("n") - 1, F.lit(0))).alias("sigma"), "n"))
     return fit.select("run", F.round("slope", 5).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("sigma", 2).alias("sigma"), "n")
 
 
@@ -133,3 +135,38 @@ def run_report(found: DataFrame) -> DataFrame:
     """Medians and spreads of the traces of each channel parity (two runs)."""
     rows = found.withColumn("run", F.col("channel") % 2)
     return rows.groupBy("run").agg(F.count("*").alias("n"), F.percentile("n_scans", 0.5).alias("median_scans"), F.percentile("intensity_max", 0.5).alias("median_apex"), F.round(F.stddev_samp("n_scans"), 6).alias("std_scans"))
+
+
+def recalibration_surface(rows: DataFrame, mz_bins: int = 20, rt_bins: int = 8, least: int = 50) -> DataFrame:
+    """Median and scaled MAD of ``residual`` in each (mz, rt) cell, each mz column and overall; only of ``least`` rows or more.
+
+    A column has rt_bin -1, the whole has -1 for both.  Medians go out again
+    by broadcast: a row for each cell, ``mz_bins * (rt_bins + 1) + 1`` at most.
+    """
+    extent = rows.agg(F.min("mz").alias("mz_low"), F.max("mz").alias("mz_high"), F.min("rt").alias("rt_low"), F.max("rt").alias("rt_high"))
+    binned = lambda x, n: F.least(F.lit(n - 1), F.floor((F.col(x) - F.col(f"{x}_low")) * n / F.greatest(F.lit(1), F.col(f"{x}_high") - F.col(f"{x}_low")))).cast("int")
+    cells = rows.join(F.broadcast(extent)).select(binned("mz", mz_bins).alias("mz_bin"), binned("rt", rt_bins).alias("rt_bin"), "residual")
+    none = F.lit(-1)
+    centre = cells.rollup("mz_bin", "rt_bin").agg(F.count("*").alias("n"), F.percentile("residual", 0.5).alias("centre")).where(F.col("n") >= least)
+    centre = centre.withColumns({"mz_bin": F.coalesce("mz_bin", none), "rt_bin": F.coalesce("rt_bin", none)})
+    levels = F.array(F.struct(F.col("mz_bin").alias("m"), F.col("rt_bin").alias("r")), F.struct(F.col("mz_bin").alias("m"), none.alias("r")), F.struct(none.alias("m"), none.alias("r")))
+    each = cells.select("residual", F.inline(levels))
+    near = each.join(F.broadcast(centre), (F.col("m") == F.col("mz_bin")) & (F.col("r") == F.col("rt_bin")))
+    return near.groupBy("mz_bin", "rt_bin", "n", "centre").agg(F.round(1.4826 * F.percentile(F.abs(F.col("residual") - F.col("centre")), 0.5), 6).alias("spread"))
+
+
+def noise_floor(found: DataFrame, share: float = 0.05, factor: float = 0.8) -> DataFrame:
+    """``factor`` times the apex at the ``share`` of each run's sorted apexes; apexes are counted before they are ranked."""
+    counts = found.groupBy("run", "apex").agg(F.count("*").alias("n"))
+    whole, upto = Window.partitionBy("run"), Window.partitionBy("run").orderBy("apex").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"at": F.floor(F.sum("n").over(whole) * share), "upto": F.sum("n").over(upto)})
+    return ranked.where(F.col("upto") > F.col("at")).groupBy("run").agg(F.round(F.min("apex") * factor, 3).alias("floor"))
+
+
+def cells(groups: DataFrame, runs: list[str], shift: float = 11.0, rt_share: float = 0.01) -> DataFrame:
+    """A target and a decoy cell of each group in each run; decoys lie ``shift`` Da and a share of the time span away."""
+    span = groups.agg((F.max("rt") - F.min("rt")).alias("span"))
+    decoy = F.explode(F.array(F.lit(False), F.lit(True)))
+    each = groups.join(F.broadcast(span)).withColumn("run", F.explode(F.array(*map(F.lit, runs)))).withColumn("decoy", decoy)
+    off = F.col("decoy").cast("int")
+    return each.select("id", "run", "decoy", F.round(F.col("mz") + off * shift / F.col("charge"), 6).alias("mz"), F.round(F.col("rt") - off * rt_share * F.col("span"), 6).alias("rt"))

@@ -121,3 +121,13 @@ def coelution(peaks: DataFrame, pairs: DataFrame) -> DataFrame:
     dots = dots.groupBy(*keys).agg(F.coalesce(F.sum(F.col("u") * F.col("w")), F.lit(0.0)).alias("dot"))
     out = dots.join(side(norms, "a", [("norm", "na")]), ["channel_a", "trace_a"]).join(side(norms, "b", [("norm", "nb")]), ["channel_b", "trace_b"])
     return out.select(*keys, F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
+
+
+def median_of_three(peaks: DataFrame) -> DataFrame:
+    """Running median of three over each trace's peaks; the ends keep their values."""
+    rows = members(peaks)
+    by_scan = Window.partitionBy("channel", "trace").orderBy("scan")
+    a, b, c = F.lag("intensity").over(by_scan), F.col("intensity"), F.lead("intensity").over(by_scan)
+    rows = rows.withColumns({"a": a, "c": c})
+    middle = F.col("a") + b + F.col("c") - F.greatest("a", b, "c") - F.least("a", b, "c")
+    return rows.select("channel", "trace", "scan", F.coalesce(middle, b).alias("value"))

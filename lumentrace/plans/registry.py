@@ -27,6 +27,15 @@ def _masses(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("mass"))
 
 
+def _residuals(spark, d):
+    cents = F.expr("cast(round(l_extendedprice * 100) as bigint)")
+    return table(spark, d, "lineitem").select(F.expr("cast(l_quantity as bigint)").alias("mz"), F.col("l_suppkey").alias("rt"), (cents % 1000 - 500).alias("residual"))
+
+
+def _groups(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("mz"), (F.col("p_size") % 3 + 2).alias("charge"), (F.col("p_partkey").cast("double") / 100).alias("rt"))
+
+
 RUNS = ["click", "error", "purchase", "signup", "view"]
 _SCORES_SQL = "with s as (select n_chars as score, toxic = 1 as decoy from documents join labels using (doc_id)), c as (select score, count(*) filter (not decoy) as t, count(*) filter (decoy) as d from s group by score)"
 _CELLS_SQL = f"with {SERIES_SQL}, cells as (select channel as row, run, sum(value)::bigint as intensity from series group by all)"
@@ -71,6 +80,10 @@ QUERIES = {
     "lfq_matrix": lambda s, d: st.matrix(_cells(s, d), RUNS),
     "src_dia_schedule": lambda s, d: st.dia_schedule(table(s, d, "lineitem").select(F.col("l_suppkey").alias("run"), F.expr("cast(l_quantity as bigint)").alias("window"))),
     "tgt_donors": lambda s, d: st.donors(series(s, d).select("run", F.col("channel").alias("peptide"), (F.col("seq") % 3).alias("charge"), (F.col("value") % 100).alias("q"), F.col("value").alias("score"), "seq")),
+    "hil_median_of_three": lambda s, d: tr.median_of_three(peaks(s, d)),
+    "fea_recal_surface": lambda s, d: st.recalibration_surface(_residuals(s, d)),
+    "fea_noise_floor": lambda s, d: st.noise_floor(tr.traces(peaks(s, d)).select((F.col("channel") % 2).alias("run"), F.col("intensity_max").alias("apex"))),
+    "lfq_cells": lambda s, d: st.cells(_groups(s, d), RUNS),
     "snk_run_report": lambda s, d: st.run_report(tr.traces(peaks(s, d))),
 }
 
@@ -134,5 +147,17 @@ f as (select run, median(mean - x) as f from x join m using (row) group by run)
     "lfq_matrix": f"{_CELLS_SQL} select row, " + ", ".join(f"coalesce(sum(intensity) filter (run = '{r}'), 0)::bigint as {r}" for r in RUNS) + " from cells group by row",
     "src_dia_schedule": "with s as (select l_suppkey as run, count(*) as n_scans, count(distinct l_quantity::bigint) as n_windows from lineitem group by 1) select *, n_scans >= 8 and n_windows between 1 and 2000 and n_scans::double / n_windows >= 3.0 as is_dia from s",
     "tgt_donors": f"with {SERIES_SQL}, p as (select run, channel as peptide, seq % 3 as charge, value % 100 as q, value as score, seq from series) select * from p qualify row_number() over (partition by run, peptide, charge order by q, score desc, seq) = 1",
+    "hil_median_of_three": WITH_TRACES + """, t as (select *, lag(intensity) over w as a, lead(intensity) over w as c from members window w as (partition by channel, trace order by scan))
+select channel, trace, scan, case when a is null or c is null then intensity else list_sort([a, intensity, c])[2] end as value from t""",
+    "fea_recal_surface": """with r as (select l_quantity::bigint as mz, l_suppkey as rt, round(l_extendedprice * 100)::bigint % 1000 - 500 as residual from lineitem),
+e as (select min(mz) as ml, max(mz) as mh, min(rt) as rl, max(rt) as rh from r),
+b as (select least(19, floor((mz - ml) * 20 / greatest(1, mh - ml)))::int as m, least(7, floor((rt - rl) * 8 / greatest(1, rh - rl)))::int as t, residual from r, e),
+l as (select m as mz_bin, t as rt_bin, residual from b union all select m, -1, residual from b union all select -1, -1, residual from b),
+c as (select mz_bin, rt_bin, count(*) as n, median(residual)::double as centre from l group by all having count(*) >= 50)
+select mz_bin, rt_bin, n, centre, round(1.4826::double * median(abs(residual - centre)), 6) as spread
+from l join c using (mz_bin, rt_bin) group by all""",
+    "fea_noise_floor": WITH_TRACES + """, o as (select channel % 2 as run, intensity_max, row_number() over (partition by channel % 2 order by intensity_max) - 1 as i, count(*) over (partition by channel % 2) as n from traces)
+select run, round(intensity_max * 0.8::double, 3) as floor from o where i = floor(0.05::double * n)""",
+    "lfq_cells": "with g as (select p_partkey as id, p_retailprice::double as mz, p_size % 3 + 2 as charge, p_partkey::double / 100 as rt, (max(p_partkey::double / 100) over ()) - (min(p_partkey::double / 100) over ()) as span from part) select id, run, decoy, round(mz + decoy::int * 11.0::double / charge, 6) as mz, round(rt - decoy::int * 0.01::double * span, 6) as rt from g, unnest(" + repr(RUNS) + ") r(run), unnest([false, true]) d(decoy)",
     "snk_run_report": WITH_TRACES + "select channel % 2 as run, count(*) as n, median(n_scans)::double as median_scans, median(intensity_max)::double as median_apex, round(stddev_samp(n_scans), 6) as std_scans from traces group by 1",
 }
