@@ -123,9 +123,8 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             return
         a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
         low, high = np.minimum(la, lb), np.maximum(la, lb)
+        # Roots only are hooked: a link whose root went elsewhere stays open, and no member leaves its component.
         np.minimum.at(label, high, low)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
         while not np.array_equal(nxt := label[label], label):
             label[:] = nxt
 

@@ -82,6 +82,33 @@ def test_long_runs_are_split_without_losing_links(spark):
     assert groups(4096) == groups(3) == {frozenset(x) for x in _components(linked)}
 
 
+def test_forest_on_sparse_chains():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        codes = set()
+        while len(codes) < 400:  # chains of steps of two or three bits, so that most members have two links
+            x = int(rng.integers(0, 1 << 62))
+            for _ in range(int(rng.integers(2, 12))):
+                codes.add(x)
+                for bit in rng.choice(48, int(rng.integers(2, 4)), replace=False):
+                    x ^= 1 << int(bit)
+        codes = np.array(sorted(codes, key=_gray_rank), np.uint64)
+        label = simhash_groups.forest(codes)
+        i, j = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= simhash_groups.RADIUS, 1))
+        assert (label[i] == label[j]).all()
+        whole = {frozenset(x) for x in _components(zip(i.tolist(), j.tolist()))}
+        found = defaultdict(set)
+        for member, root in enumerate(label.tolist()):
+            found[root].add(member)
+        assert {frozenset(x) for x in found.values() if len(x) > 1} == whole
+
+
+def _gray_rank(x):
+    for step in (1, 2, 4, 8, 16, 32):
+        x ^= x >> step
+    return x
+
+
 def _components(pairs):
     near = defaultdict(set)
     for a, b in pairs:
