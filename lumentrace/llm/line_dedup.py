@@ -19,11 +19,11 @@ The join never makes pairs of a group:
 * The edit distance of each surviving (line, earlier line) is then verified on
   their words.
 
-Edge cases: null text stays null and has no lines; rows without a doc_id have
-no place in the order and pass unchanged; rows that share a doc_id stand in the
-order of a hash of their texts, and wholly repeated rows tie: they are treated
-alike, so that their first lines all stay; empty tables give empty results;
-columns besides doc_id and text pass through.
+Edge cases: null text stays null and has no lines; rows without a doc_id stand
+before all others; rows that share a doc_id, or have none, stand in the order of
+a hash of their texts, and wholly repeated rows tie: they are treated alike, so
+that their first lines all stay; empty tables give empty results; columns
+besides doc_id and text pass through.
 """
 
 from __future__ import annotations
@@ -45,7 +45,13 @@ SPACES = " \t\n\v\f\r"
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, _text_hash, text: what tells a row of documents from others."""
-    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_text_hash"), "text")
+    return docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), "text")
+
+
+def _with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` with _gone, null where a row loses no lines; rows without a doc_id are told apart by their texts."""
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("_text_hash").alias("_gone_hash"), "_gone")
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash")), "left").drop("_gone_id", "_gone_hash")
 
 
 def _bound(value, body):
@@ -158,7 +164,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines taken out of their texts, and ``_n_gone``, their number."""
     gone = repeated_lines(docs)
-    rows = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, ["doc_id", "_text_hash"], "left")
+    rows = _with_gone(docs.withColumn("_text_hash", F.xxhash64("text")), gone)
     kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = _bound(F.split("text", "\n"), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text)
@@ -178,7 +184,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines with words, and the numbers (from 0, comma-joined) of those that go."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")), F.lit(0)).alias("n_lines"))
-    found = rows.join(repeated_lines(docs), ["doc_id", "_text_hash"], "left")
+    found = _with_gone(rows, repeated_lines(docs))
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_gone"), F.coalesce(F.array_join("_gone", ","), F.lit("")).alias("gone"))
 
 

@@ -49,6 +49,17 @@ def test_empty_table(name, docs, labels):
     assert operators(labels)[name](docs.limit(0)).count() == 0
 
 
+def test_lines_of_rows_without_doc_id(spark):
+    line = "one two three four five six seven eight nine"
+    rows = [(None, f"{line}\nalpha only"), (None, f"{line}\nbeta only"), (None, f"{line} ten\ngamma only"), (7, f"{line}\ndelta only"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r.text for r in line_dedup.clean_documents(docs).collect()]
+    assert len(got) == 5 and got.count(None) == 1
+    kept = sorted(x for t in got if t for x in t.split("\n"))
+    assert [x for x in kept if "only" in x] == ["alpha only", "beta only", "delta only", "gamma only"]
+    assert len([x for x in kept if x.startswith("one")]) == 1
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, ""), (None, "u", "<p>one</p>"), (3, "v", "<p>" + "long " * 50_000 + "</p>")], "page_id long, url string, html string")
     assert main_text.extract(pages).count() == 5
