@@ -1,8 +1,10 @@
 """Best-two-fit packing of token documents into fixed-length sequences.
 
 1. Tokenise (Arrow batches): byte-level BPE ids, then the end id.  A text is
-   cut at single spaces between other characters, where the pre-tokeniser
-   always cuts too, and each distinct chunk of a batch is encoded once.
+   first cut at the vocabulary's added tokens, which have ids of their own and
+   are no part of the text around them.  What is between is cut at single spaces
+   between other characters, where the pre-tokeniser always cuts too, and each
+   distinct chunk of a batch is encoded once.
 2. Documents over the capacity are cut into full pieces; a shorter piece, if
    any, comes first.
 3. The piece lengths are counted.  The plan is made from that histogram alone
@@ -22,6 +24,7 @@ text are read.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 
@@ -35,8 +38,8 @@ from pyspark.sql import functions as F
 from lumentrace.llm.common import cut_lineage, table
 
 CAPACITY, END_ID = 2048, 0
-#: The vocabulary of byte_bpe_50k.json as ranks: its ids are the same.
-RANKS = "byte_bpe_50k.tiktoken"
+#: The vocabulary of byte_bpe_50k.json as ranks: its ids are the same, but for the added tokens, which only the JSON has.
+RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: Hashed slices in which pieces of one length are ranked.
 SLICES = 1024
 #: Encoded chunks that a task remembers.
@@ -48,8 +51,12 @@ _ODD = re.compile(r"\s\s|[^\S ]|\A\s|\s\Z")
 class Encoder(dict):
     """Chunk of text -> its ids as little-endian 32-bit bytes."""
 
-    def __init__(self, ranks_file: str):
+    def __init__(self, ranks_file: str, added: dict[str, int]):
+        """``added``: the ids of tokens that are found in raw text, whatever stands around them."""
         super().__init__()
+        self.added = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
+        # Of tokens that begin at one place the longest is found, as by tokenizers.
+        self.between = re.compile("(" + ("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)") + ")")
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -63,7 +70,9 @@ class Encoder(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > REMEMBERED:
             self.clear()
-        chunked = [self._chunks(t) for t in texts]
+        # Every second part is an added token; a plain search spares most texts the pattern.
+        parts = [self.between.split(t) if any(x in t for x in self.added) else [t] for t in texts]
+        chunked = [self._chunks(p[0]) if len(p) == 1 else [c for i, x in enumerate(p) for c in ([x] if i % 2 else self._chunks(x))] for p in parts]
         new = list({c for chunks in chunked for c in chunks if c not in self and c[:1] == " " and not _ODD.search(c[1:])})
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
@@ -76,15 +85,20 @@ class Encoder(dict):
         return [b"".join(map(self.__getitem__, chunks)) for chunks in chunked]
 
     def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = found = np.array(self.bpe.encode_ordinary(chunk), "<u4").tobytes()
+        self[chunk] = found = self.added.get(chunk) or np.array(self.bpe.encode_ordinary(chunk), "<u4").tobytes()
         return found
 
 
-def _pieces(ranks_file: str, capacity: int):
+def added_tokens() -> dict[str, int]:
+    with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def _pieces(ranks_file: str, added: dict[str, int], capacity: int):
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches):
-        encoder = Encoder(ranks_file)
+        encoder = Encoder(ranks_file, added)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows: list[tuple] = []
@@ -106,7 +120,7 @@ def _pieces(ranks_file: str, capacity: int):
 def pieces(docs: DataFrame, ranks_file: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of the documents' pieces."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    cut = _pieces(ranks_file or public_tokenizers.path(RANKS), capacity)
+    cut = _pieces(ranks_file or public_tokenizers.path(RANKS), added_tokens(), capacity)
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 

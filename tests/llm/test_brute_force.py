@@ -48,6 +48,16 @@ def test_packing_is_whole_and_gapless(spark):
     assert len(by_sequence) <= 1.05 * -(-total // packing.CAPACITY) + 1
 
 
+def test_added_tokens_are_found_in_raw_text(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    odd = [f"a {end} b", end, f"{end}{end} ", f" {end}\n{end}x", f"one two{end}three four", f"a  {end}  b", "<|endoftext|", f"é{end}'s <|endoftext |>", f"{end} the cat <{end}>"]
+    rows = packing.pieces(spark.createDataFrame([*enumerate(odd)], "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in rows}
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(odd)}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
+
+
 def test_simhash_groups(spark):
     prints = {}
     for doc_id, text in texts(spark).items():
