@@ -20,31 +20,49 @@ repeated records; an empty table gives no records; other columns are ignored.
 from __future__ import annotations
 
 import gzip
+import html as references
 import io
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumentrace.llm.common import table
 
 CRLF = "\r\n"
-#: Character references that the plain-text conversion decodes; ampersands last.
+#: Character references that OP1_SQL decodes; ampersands last.  ``decoded`` reads all that HTML has.
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 UNSEEN = r"(?is)<!--.*?-->|<(?:script\b.*?</script|style\b.*?</style|head\b.*?</head|noscript\b.*?</noscript)\s*>"
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 TAGS = r"<[^>]*>"
+#: Outlinks as OP1_SQL finds them: values in double quotes only.
 LINKS = r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"'
+#: Outlinks with their quotes, if any: an attribute named href, never the inside of another quoted value.
+OUTLINKS = r"""(?i)<a(?=[\s/"'])[^>"']*?(?:(?:"[^"]*"|'[^']*')[^>"']*?)*?(?<=[\s/"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{1,31};?)")
 RECORDS = ["warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block", "content_length", "block_digest", "source_payload_digest"]
 
 
+def decode(text: str | None) -> str | None:
+    """``text`` with its named and numeric character references decoded once; no-break spaces of references are spaces."""
+    if not text or "&" not in text:
+        return text
+    return REFERENCE.sub(lambda m: references.unescape(m[0]).replace("\xa0", " "), text)
+
+
+@F.arrow_udf(StringType())
+def decoded(text: pa.Array) -> pa.Array:
+    return pa.array(map(decode, text.to_pylist()), pa.string())
+
+
 def plain_text(html) -> F.Column:
     text = F.regexp_replace(html, UNSEEN, " ")
     text = F.regexp_replace(text, r"\s+", " ")
     text = F.regexp_replace(text, BREAKS, "\n")
     text = F.regexp_replace(text, TAGS, "")
-    for reference, character in REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(character))
+    text = decoded(text)
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" *\n[ \n]*", "\n"), r"^\n|\n$", ""))
 
 
@@ -63,7 +81,7 @@ def derive(responses: DataFrame) -> DataFrame:
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = responses.select(empty("record_id").alias("refers_to"), "target_uri", "date", empty("http_headers").alias("head"), empty("payload").alias("payload"))
     rows = rows.withColumn("digest", _digest(F.col("payload")))
-    links = F.regexp_extract_all("payload", F.lit(LINKS), F.lit(1))
+    links = F.transform(F.regexp_extract_all("payload", F.lit(OUTLINKS), F.lit(1)), lambda u: F.regexp_replace(u, r"""^["']|["']$""", ""))
     fields = F.concat(
         F.lit("source-status: "), F.substring_index("head", CRLF, 1), F.lit(CRLF),
         F.array_join(F.transform(F.slice(F.split("head", CRLF), F.lit(2), F.greatest(F.lit(0), F.size(F.split("head", CRLF)) - 1)), lambda h: F.concat(F.lit("source-header: "), h, F.lit(CRLF))), ""),

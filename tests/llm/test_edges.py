@@ -68,6 +68,17 @@ def test_pages(spark):
     assert warc.derive(warc.responses_of(pages.limit(0))).count() == 0
 
 
+def test_references_and_outlinks(spark):
+    html = (
+        "<p>caf&eacute; &mdash; it&rsquo;s &#8217; &#xE9;&#X41; &NotEqualTilde; &amp;lt; &copy 1 R&D &nosuch; a&nbsp;b &#xD800;</p>"
+        "<a href=\"one?a=1&amp;b=2\">1</a><a class='x' HREF = 'two'>2</a><A\nhref=three>3</A><a title=\"href='no' > \" href='f\"our'>4</a>"
+        "<a data-href='no'>5</a><a class=\"y\"href=six/ id=z>6</a><abbr href=no>7</abbr><a href=''>8</a>"
+    )
+    rows = {r.warc_type: r.block for r in warc.derive(warc.responses_of(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))).collect()}
+    assert rows["conversion"].split("\n")[0] == "café — it’s ’ éA ≂̸ &lt; © 1 R&D &nosuch; a b \ufffd"
+    assert [x[9:] for x in rows["metadata"].split("\r\n") if x.startswith("outlink: ")] == ["one?a=1&amp;b=2", "two", "three", 'f"our', "six/", ""]
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<p>One &amp; two</p>"), (2, None, None)], "page_id long, url string, html string")
     records = warc.derive(warc.responses_of(pages))
