@@ -38,6 +38,14 @@ APART = frozenset("nav footer aside form menu dialog search fieldset".split())
 APART_NAMES = frozenset("ad ads adv advert advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 #: Such a word after one of these names a part of the article itself.
 OWN_NAMES = frozenset("article content entry page post story text".split())
+#: A part of a name that has one of these says what a wrapper has or lacks, not what it is.
+HAVING = frozenset("has have having with without no not hide hides show shows".split())
+#: Elements that no name sets apart.
+WHOLE = frozenset("html body main article".split())
+#: Elements without their own closing tag end where another block begins.
+SHORT = frozenset("p pre h1 h2 h3 h4 h5 h6 legend caption summary".split())
+#: Elements that end where one of their kind begins.
+ITEMS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 
 TOKEN = re.compile(
@@ -49,26 +57,29 @@ WORD_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @lru_cache(maxsize=4096)
-def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """(apart, article, marked as main in the labelled table) of an opening tag."""
-    apart, article, marked = tag in APART, tag in ("article", "main"), False
+def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """(apart, apart by a name, article, marked as main in the labelled table) of an opening tag."""
+    apart, named, article, marked = tag in APART, False, tag in ("article", "main"), False
     for name, *values in NAMED.findall(attributes) if attributes.strip() else ():
         value = next(filter(None, values), "")
         name = name.lower()
         if name in ("class", "id"):
+            if tag in WHOLE:
+                continue
             for part in value.split():
                 words = [w.lower() for w in WORD_OF_NAME.findall(part)]
-                if any(w in APART_NAMES for w in words) and not (words[0] in OWN_NAMES and words[-1] not in APART_NAMES):
-                    apart = True
+                first = next((i for i, w in enumerate(words) if w in APART_NAMES), None)
+                if first is not None and not HAVING.intersection(words[:first]) and not (words[0] in OWN_NAMES and words[-1] not in APART_NAMES):
+                    named = True
                 if words and words[0] in ("header", "masthead") or words[-2:] in (["site", "header"], ["page", "header"]):
-                    apart = apart or tag not in ("h1", "h2")
+                    named = named or tag not in ("h1", "h2")
         elif name == "role":
             apart, article = apart or value.lower() in ROLES, article or value.lower() in ("main", "article")
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value) or name == "aria-hidden" and value == "true":
             apart = True
         elif name == "data-main":
             marked = True
-    return apart, article, marked
+    return apart, named, article, marked
 
 
 @dataclass
@@ -80,20 +91,45 @@ class Block:
     apart: bool
     article: bool
     marked: bool
+    #: Heading of the first level; numbers of the elements around it that a name sets apart.
+    title: bool = False
+    named: tuple[int, ...] = ()
+
+
+def _settle(found: list[Block]) -> list[Block]:
+    """Blocks inside elements with apart names become apart, but for elements that wrap the page's text.
+
+    Such an element has the larger part of the words outside links, no article
+    element stands outside it, and it has the page's title, an article element
+    or nearly all the words.
+    """
+    weight = [0.0 if b.apart else b.words * (1 - b.linked) for b in found]
+    whole, inside = sum(weight), {}
+    for b, w in zip(found, weight):
+        for k in b.named:
+            inside[k] = inside.get(k, 0.0) + w
+    for k, w in inside.items():
+        if 2 * w > whole and not any(b.article and k not in b.named for b in found):
+            if 5 * w > 4 * whole or any((b.title or b.article) and k in b.named for b in found):
+                for b in found:
+                    b.named = tuple(x for x in b.named if x != k)
+    for b in found:
+        b.apart = b.apart or bool(b.named)
+    return found
 
 
 def blocks(html: str) -> list[Block]:
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = [("", False, False, False, ())]
     parts: list[str] = []
-    link_chars, in_link, heading, marked = 0, False, False, False
+    link_chars, in_link, heading, title, marked, n_named = 0, False, False, False, False, 0
 
     def close() -> None:
         nonlocal link_chars
         text = " ".join("".join(parts).split())
         if text:
-            _, apart, article, main = stack[-1]
-            found.append(Block(text, text.count(" ") + 1, min(1.0, link_chars / len(text)), heading, apart, article, main or marked))
+            _, apart, article, main, names = stack[-1]
+            found.append(Block(text, text.count(" ") + 1, min(1.0, link_chars / len(text)), heading, apart, article, main or marked, title, names))
         parts.clear()
         link_chars = 0
 
@@ -122,27 +158,31 @@ def blocks(html: str) -> list[Block]:
             close()
             in_link = False
             heading = tag[0] == "h" and tag[1:].isdigit() and not closing
-            marked = False
-            if tag not in HOLDERS:
-                if not closing and token[4]:
-                    apart, _, marked = _kind(tag, token[4])
-                    if apart:  # a paragraph or heading that is itself a notice: until the next block begins
-                        stack.append((tag, True, stack[-1][2], False))
-                elif closing and stack[-1][0] == tag:
-                    stack.pop()
-            elif closing:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if depth:
+            title, marked = heading and tag == "h1", False
+            if closing:
+                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag or tag not in HOLDERS and stack[i][0] in HOLDERS), 0)
+                if depth and stack[depth][0] == tag:
                     del stack[depth:]
-            else:
-                apart, article, main = _kind(tag, token[4])
+                continue
+            while stack[-1][0] in SHORT or stack[-1][0] in ITEMS.get(tag, ()):
+                stack.pop()
+            apart, named, article, main = _kind(tag, token[4])
+            _, was_apart, was_article, was_main, names = stack[-1]
+            if named:
+                n_named += 1
+                names = (*names, n_named)
+            if tag in HOLDERS:
                 if tag == "header":
-                    apart = apart or not stack[-1][2]
-                stack.append((tag, stack[-1][1] or apart, stack[-1][2] or article, stack[-1][3] or main))
+                    apart = apart or not was_article
+                stack.append((tag, was_apart or apart, was_article or article, was_main or main, names))
+            else:
+                marked = main
+                if apart or named:  # a paragraph, heading or item that is itself a notice
+                    stack.append((tag, was_apart or apart, was_article, was_main, names))
         # inline elements end no block
     add(html[at:])
     close()
-    return found
+    return _settle(found)
 
 
 FIGURES = ("words", "linked", "words before", "linked before", "words after", "linked after", "heading", "apart", "article", "page has an article")
@@ -175,15 +215,18 @@ def _page(rng: np.random.Generator, style: str) -> str:
         return f'<nav>{links(5)}</nav><main><article><header><h1 data-main>{words(3, 9)}</h1></header>{story}<div class="ad">{ad}</div></article><section id="comments"><p>{note}</p></section></main><div class="cookie-notice"><p>{notice}</p></div><footer><p>{words(3, 20)}</p></footer>'
     if style == "named":
         return f'<div id="menu"><ul>{links(7)}</ul></div><div class="notice">{notice}</div><div class="content">{story}</div><div class="sidebar"><p>{note}</p><ul>{links(4)}</ul></div><div class="comments"><p>{note}</p></div><div id="footer">{words(3, 20)}</div>'
+    if style == "wrapped":
+        return f'<body class="has-sidebar"><div class="content-with-sidebar social-page"><p class="share">{words(1, 5)}<div>{story}</div><ul><li class="ad">{words(2, 8)}<li><a href="#">{words(1, 4)}</a></ul><div class="sidebar">{note}</div></div><div id="footer">{words(3, 20)}</div>'
     return f"<div><ul>{links(8)}</ul></div><div>{story}</div><div><ul>{links(5)}</ul><p>{words(1, 5)}</p></div>"
 
 
 def LABELLED(pages: int = 60, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The labelled table: figures and labels of the blocks of small built pages, of four layouts."""
+    """The labelled table: figures and labels of the blocks of small built pages, of five layouts."""
     rng = np.random.default_rng(seed)
     x, y = [], []
-    for k in range(pages):
-        found = blocks(f"<html><body>{_page(rng, ('semantic', 'nested', 'named', 'bare')[k % 4])}</body></html>")
+    styles = [*(("semantic", "nested", "named", "bare")[k % 4] for k in range(pages)), *["wrapped"] * (pages // 4)]
+    for style in styles:
+        found = blocks(f"<html><body>{_page(rng, style)}</body></html>")
         x.append(figures(found))
         y += [b.marked for b in found]
     return np.vstack(x), np.array(y)

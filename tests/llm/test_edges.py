@@ -68,6 +68,27 @@ def test_pages(spark):
     assert warc.derive(warc.responses_of(pages.limit(0))).count() == 0
 
 
+def test_names_of_wrappers_and_open_elements():
+    tree = main_text.grow(*main_text.LABELLED())
+    one, two, three = (" ".join(["This paragraph of the article tells the reader at some length what %s was about, and why it came to be so." % x] * 2) for x in ("the first", "the second", "the third"))
+    nav, foot = "<nav><a href=a>Home</a> <a href=b>News</a></nav>", "<div class='footer'>All rights reserved 2020</div>"
+    body = f"<h1>The title of the page</h1><p>{one}</p><p>{two}</p>"
+    want = f"The title of the page\n{one}\n{two}"
+    for page in (
+        f"<body class='has-sidebar'>{nav}{body}{foot}</body>",
+        f"<body class='sidebar'>{nav}<div class='content'>{body}</div>{foot}</body>",
+        f"<body>{nav}<div class='content-with-sidebar'>{body}<div class='sidebar'>See also other things</div></div>{foot}",
+        f"<body>{nav}<main class='no-comments'>{body}</main>{foot}",
+        f"<body>{nav}<article class='social'>{body}</article>{foot}",
+        f"<body>{nav}<div class='widget'><div class='related'>{body}</div></div>{foot}",
+        f"<body>{nav}<div>{body}</div><div class='comments'><p>I liked it very much and so did all of my friends here</p></div>{foot}",
+    ):
+        assert main_text.main_text(page, tree) == want, page
+    opened = f"<div>{nav}<div><p class='share'>Tell your friends<p>{one}<p>{two}<ul><li class='ad'><p>Buy this thing today</p><li>{three}</ul></div>{foot}</div>"
+    assert [b.text for b in main_text.blocks(opened) if b.apart] == ["Home News", "Tell your friends", "Buy this thing today", "All rights reserved 2020"]
+    assert main_text.main_text(opened, tree) == f"{one}\n{two}\n{three}"
+
+
 def test_references_and_outlinks(spark):
     html = (
         "<p>caf&eacute; &mdash; it&rsquo;s &#8217; &#xE9;&#X41; &NotEqualTilde; &amp;lt; &copy 1 R&D &nosuch; a&nbsp;b &#xD800;</p>"
