@@ -114,6 +114,14 @@ def median_ratio(cells: DataFrame) -> DataFrame:
     return factors.join(F.broadcast(centre)).select("run", F.round(F.col("f") - F.col("centre"), 6).alias("factor"))
 
 
+def run_names(rows: DataFrame, most: int = 1000) -> list[str]:
+    """The distinct runs, sorted; an error where there are more than ``most``, since each becomes a column."""
+    found = sorted(r["run"] for r in rows.where("run is not null").select("run").distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} runs")
+    return found
+
+
 def matrix(cells: DataFrame, runs: list[str]) -> DataFrame:
     """A row for each row key, a column for each run; missing cells are 0."""
     return cells.groupBy("row").pivot("run", runs).agg(F.sum("intensity")).na.fill(0)

@@ -36,6 +36,11 @@ def _groups(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").cast("double").alias("mz"), (F.col("p_size") % 3 + 2).alias("charge"), (F.col("p_partkey").cast("double") / 100).alias("rt"))
 
 
+def _runs(spark, d):
+    return st.run_names(series(spark, d))
+
+
+#: The given tables' runs, for the SQL, which cannot take them from the data; the queries do.
 RUNS = ["click", "error", "purchase", "signup", "view"]
 _SCORES_SQL = "with s as (select n_chars as score, toxic = 1 as decoy from documents join labels using (doc_id)), c as (select score, count(*) filter (not decoy) as t, count(*) filter (decoy) as d from s group by score)"
 _CELLS_SQL = f"with {SERIES_SQL}, cells as (select channel as row, run, sum(value)::bigint as intensity from series group by all)"
@@ -77,13 +82,13 @@ QUERIES = {
     "lfq_conservative_q": lambda s, d: st.target_decoy_q(_scores(s, d), True),
     "con_group_q": lambda s, d: st.group_q(_scores(s, d).where("not decoy"), _scores(s, d).where("decoy"), 4),
     "lfq_median_ratio": lambda s, d: st.median_ratio(_cells(s, d)),
-    "lfq_matrix": lambda s, d: st.matrix(_cells(s, d), RUNS),
+    "lfq_matrix": lambda s, d: st.matrix(_cells(s, d), _runs(s, d)),
     "src_dia_schedule": lambda s, d: st.dia_schedule(table(s, d, "lineitem").select(F.col("l_suppkey").alias("run"), F.expr("cast(l_quantity as bigint)").alias("window"))),
     "tgt_donors": lambda s, d: st.donors(series(s, d).select("run", F.col("channel").alias("peptide"), (F.col("seq") % 3).alias("charge"), (F.col("value") % 100).alias("q"), F.col("value").alias("score"), "seq")),
     "hil_median_of_three": lambda s, d: tr.median_of_three(peaks(s, d)),
     "fea_recal_surface": lambda s, d: st.recalibration_surface(_residuals(s, d)),
     "fea_noise_floor": lambda s, d: st.noise_floor(tr.traces(peaks(s, d)).select((F.col("channel") % 2).alias("run"), F.col("intensity_max").alias("apex"))),
-    "lfq_cells": lambda s, d: st.cells(_groups(s, d), RUNS),
+    "lfq_cells": lambda s, d: st.cells(_groups(s, d), _runs(s, d)),
     "snk_run_report": lambda s, d: st.run_report(tr.traces(peaks(s, d))),
 }
 

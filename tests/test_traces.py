@@ -1,4 +1,10 @@
+import pytest
+from pyspark.sql import functions as F
+
 from lumentrace.operators import statistics, traces
+from lumentrace.plans import registry
+
+from tests.conftest import DATA
 
 
 def peaks(spark, rows):
@@ -29,3 +35,15 @@ def test_q_values(spark):
     rows = spark.createDataFrame([(10, False), (9, True), (8, False), (7, False)], "score long, decoy boolean")
     found = {r.score: r.q for r in statistics.target_decoy_q(rows).collect()}
     assert found == {10: 0.0, 9: round(1 / 3, 9), 8: round(1 / 3, 9), 7: round(1 / 3, 9)}
+
+
+def test_runs_come_from_the_data(spark, tmp_path):
+    kind = F.when(F.col("event_id") % 7 == 0, "refund").otherwise(F.col("event_type"))
+    spark.read.parquet(f"{DATA}/events.parquet").withColumn("event_type", kind).write.parquet(str(tmp_path / "events.parquet"))
+    spark.read.parquet(f"{DATA}/part.parquet").write.parquet(str(tmp_path / "part.parquet"))
+    wide = registry.QUERIES["lfq_matrix"](spark, str(tmp_path))
+    assert wide.columns == ["row", *sorted([*registry.RUNS, "refund"])]
+    assert wide.agg(F.sum("refund")).first()[0] > 0
+    assert registry.QUERIES["lfq_cells"](spark, str(tmp_path)).where("run = 'refund'").count() > 0
+    with pytest.raises(ValueError):
+        statistics.run_names(spark.range(3).select(F.col("id").cast("string").alias("run")), 2)
