@@ -16,8 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder where that is unset (local tests)."""
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+    """The session's ``spark.checkpoint.dir``; on a local master, where that is unset, a temporary folder."""
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="checkpoint-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -31,3 +34,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def word_count(text) -> F.Column:
     """Number of contract words; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def held(docs: DataFrame, **computed) -> DataFrame:
+    """``docs`` as one column ``row`` beside the computed ones, so that no name of theirs can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct(F.lit(None).alias("none"))
+    return docs.select(whole.alias("row"), *[c.alias(name) for name, c in computed.items()])
+
+
+def released(rows: DataFrame) -> DataFrame:
+    """The columns that ``held`` put into ``row``."""
+    return rows.select("row.*")

@@ -8,7 +8,8 @@ Base kinds (leftmost, non-overlapping for each kind; a span that fails its
 check is dropped and not tried again): email, ip (parts up to 255), card (14 to
 19 digits, Luhn), phone (10 to 15 digits).  Kinds the anchors add: ``address``
 (a scheme's URL that holds a user part) and ``account`` (an IBAN with the right
-check digits, or the value behind a cue such as ``token =`` or ``account no.``).
+check digits, or the value behind a cue such as ``token =`` or ``account no.``,
+in either case of letters).
 
 Edge cases: null text counts as empty; repeated rows and null ids get a result
 row each; an empty table gives an empty result; columns besides doc_id and text
@@ -38,6 +39,7 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL_USER = re.compile(r"[^\s/@\"'<>]+@[^\s\"'<>]+")
+NO_USER = re.compile(r"[^\s/@\"'<>]*")
 CUE_VALUE = re.compile(r"(?:[\x20_-]?(?:no|number|id|key)\b\.?)?[\x20]*[=:][\x20]*[\"']?([A-Za-z0-9_-]{8,64})|[\x20:]+([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})", re.ASCII)
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
@@ -62,12 +64,20 @@ def automaton() -> ahocorasick.Automaton:
     for scheme in SCHEMES:
         found.add_word(scheme, ("scheme", len(scheme)))
     for cue in CUES:
-        for form in (cue, cue.upper(), cue.capitalize()):
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
 
+_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def lowered(text: str) -> str:
+    """``text`` in lower case with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
 def _email(text: str, at: int, floor: int):
     """Bounds around the at-sign at ``at``; nothing before ``floor`` belongs to it."""
     begin = at
@@ -101,7 +111,8 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
     """(kind, start, end) of all spans, by start, then kind."""
     found: list[tuple[str, int, int]] = []
     past = dict.fromkeys(KINDS, 0)  # where each kind's search goes on
-    for last, (sort, length) in anchors.iter(text):
+    userless = 0  # up to where no scheme finds a user part
+    for last, (sort, length) in anchors.iter(lowered(text)):
         if sort == "digit":
             for kind, pattern in (("ip", IP), ("card", CARD)):
                 if last < past[kind]:
@@ -110,7 +121,8 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
                     if hit := pattern.match(text, last):
                         past[kind] = hit.end()
                         if kind == "ip":
-                            good = all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in hit[0].split("."))
+                            parts = [p.lstrip("0") or "0" for p in hit[0].split(".")]
+                            good = all(len(p) < 4 and int(p) <= 255 for p in parts)
                         else:
                             digits = hit[0].replace(" ", "").replace("-", "")
                             good = 14 <= len(digits) <= 19 and luhn(digits)
@@ -127,9 +139,13 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
                     found.append(("phone", last, hit.end()))
         elif sort == "scheme":
             begin = last + 1 - length
-            if begin >= past["address"] and (hit := URL_USER.match(text, last + 1)):
+            if begin < past["address"] or last + 1 < userless:
+                continue
+            if hit := URL_USER.match(text, last + 1):
                 past["address"] = hit.end()
                 found.append(("address", begin, hit.end()))
+            else:
+                userless = NO_USER.match(text, last + 1).end()
         elif last >= past["account"] and (hit := _account(text, last + 1)):
             past["account"] = hit[1]
             found.append(("account", *hit))
@@ -148,15 +164,15 @@ def _find(batches):
         for text in batch.column("text").to_pylist():
             found = spans(text or "", anchors)
             base = [s for s in found if s[0] in BASE]
-            rows.append([*(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)])
-        cols = [*zip(*rows)] or [[]] * 6
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:4]], *[pa.array(c, pa.string()) for c in cols[4:]]], ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans"])
+            rows.append([*(sum(s[0] == k for s in found) for k in KINDS), len(found), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)])
+        cols = [*zip(*rows)] or [[]] * 9
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:7]], *[pa.array(c, pa.string()) for c in cols[7:]]], ["doc_id", *[f"n_{k}" for k in KINDS], "n_spans", "base_sha256", "spans"])
 
 
 def find_private(docs: DataFrame) -> DataFrame:
-    """doc_id, numbers of base spans, base_sha256, spans (kind:start:end, comma-joined)."""
+    """doc_id, numbers of spans by kind, base_sha256, spans (kind:start:end, comma-joined)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_find, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(_find, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", n_spans long, base_sha256 string, spans string")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
