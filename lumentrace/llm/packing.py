@@ -14,7 +14,8 @@
    such pattern as long as all its pieces last.  The plan's size depends on the
    capacity, not on the input.
 4. Each piece gets its rank among pieces of equal length by two-level prefix
-   sums over hashed slices, and finds its place in the plan by binary search.
+   sums over slices of the input's partitions, so that no id or text that many
+   rows share fills a slice, and finds its place in the plan by binary search.
 
 Edge cases: null and empty texts are one end id; repeated rows and null doc_ids
 are packed like others; an empty table gives an empty result; only doc_id and
@@ -40,8 +41,8 @@ from lumentrace.llm.common import cut_lineage, table
 CAPACITY, END_ID = 2048, 0
 #: The vocabulary of byte_bpe_50k.json as ranks: its ids are the same, but for the added tokens, which only the JSON has.
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
-#: Hashed slices in which pieces of one length are ranked.
-SLICES = 1024
+#: Slices, of a partition or more each, in which pieces of one length are ranked, at most.
+SLICES = 4096
 #: Encoded chunks that a task remembers.
 REMEMBERED = 400_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -182,7 +183,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset added."""
-    found = cut_lineage(found.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int")))
+    # Written down before it is ranked: places stay as they are when a task is run again.
+    found = cut_lineage(found.withColumn("place", F.monotonically_increasing_id()))
+    found = found.withColumn("slice", F.pmod(F.shiftright("place", 33), F.lit(SLICES)).cast("int"))
     by_slice = found.groupBy("length", "slice").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_slice.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length
     slots, first = [], 0  # (length, first rank, first sequence, offset)
@@ -198,7 +201,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys, firsts, offsets = (np.array(x, np.int64) for x in ([s << 44 | r for s, r, _, _ in slots], [f for *_, f, _ in slots], [o for *_, o in slots]))
     upto = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     by_slice = by_slice.select("length", "slice", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece"))
+    inside = F.row_number().over(Window.partitionBy("length", "slice").orderBy("place"))
     ranked = found.withColumn("nth", inside).join(by_slice, ["length", "slice"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
 
