@@ -1,12 +1,15 @@
 """Main text of web pages: flat blocks, neighbours' figures, a decision tree.
 
 A page is cut into flat text blocks at block-level tags.  A block's figures are
-its word count and link density, those of the blocks before and after it, and
-cues of the elements around it: whether a navigation, header, footer, aside or
-form element or a class or id that names one encloses it, whether an article or
+its word count and link density, those of the blocks before and after it, its share
+of the page's words outside links, and cues of the elements around it: whether
+a navigation, header, footer, aside or form element encloses it, whether a class
+or id that names one does, or is on the paragraph itself, whether an article or
 main element does, and whether it is a heading.  A decision tree (Gini, grown
 on the small labelled table that ``LABELLED`` builds) says which blocks are the
-article's; those are joined by newlines.
+article's; those are joined by newlines.  Half the labelled pages have no names
+at all, and some have names that mislead, so that link density and word counts
+decide there.
 
 Edge cases: null html counts as empty and gives an empty text; markup that is
 cut off or not closed is read to the page's end; repeated rows and null ids get
@@ -48,11 +51,11 @@ SHORT = frozenset("p pre h1 h2 h3 h4 h5 h6 legend caption summary".split())
 ITEMS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
-    re.S | re.I,
-)
-NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|data-main)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: What stands between a tag's name and its end: a quote opens a value only behind an equals sign.
+INSIDE = r"""(?:=\s*+(?:"[^"]*"|'[^']*')|[^>])*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({INSIDE})>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
+ATTRIBUTE = re.compile(r"""([^\s=>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+CUES = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden", "data-main"))
 WORD_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -60,9 +63,10 @@ WORD_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
     """(apart, apart by a name, article, marked as main in the labelled table) of an opening tag."""
     apart, named, article, marked = tag in APART, False, tag in ("article", "main"), False
-    for name, *values in NAMED.findall(attributes) if attributes.strip() else ():
-        value = next(filter(None, values), "")
-        name = name.lower()
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+        name, value = name.lower(), next(filter(None, values), "")
+        if name not in CUES:
+            continue
         if name in ("class", "id"):
             if tag in WHOLE:
                 continue
@@ -91,13 +95,14 @@ class Block:
     apart: bool
     article: bool
     marked: bool
-    #: Heading of the first level; numbers of the elements around it that a name sets apart.
+    #: Heading of the first level; numbers of the elements around it that a name sets apart; whether one is on itself.
     title: bool = False
     named: tuple[int, ...] = ()
+    own: bool = False
 
 
 def _settle(found: list[Block]) -> list[Block]:
-    """Blocks inside elements with apart names become apart, but for elements that wrap the page's text.
+    """Drops names of elements that wrap the page's text from the blocks inside.
 
     Such an element has the larger part of the words outside links, no article
     element stands outside it, and it has the page's title, an article element
@@ -113,8 +118,6 @@ def _settle(found: list[Block]) -> list[Block]:
             if 5 * w > 4 * whole or any((b.title or b.article) and k in b.named for b in found):
                 for b in found:
                     b.named = tuple(x for x in b.named if x != k)
-    for b in found:
-        b.apart = b.apart or bool(b.named)
     return found
 
 
@@ -122,14 +125,14 @@ def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = [("", False, False, False, ())]
     parts: list[str] = []
-    link_chars, in_link, heading, title, marked, n_named = 0, False, False, False, False, 0
+    link_chars, in_link, heading, title, marked, own, n_named = 0, False, False, False, False, False, 0
 
     def close() -> None:
         nonlocal link_chars
         text = " ".join("".join(parts).split())
         if text:
             _, apart, article, main, names = stack[-1]
-            found.append(Block(text, text.count(" ") + 1, min(1.0, link_chars / len(text)), heading, apart, article, main or marked, title, names))
+            found.append(Block(text, text.count(" ") + 1, min(1.0, link_chars / len(text)), heading, apart, article, main or marked, title, names, own))
         parts.clear()
         link_chars = 0
 
@@ -158,7 +161,7 @@ def blocks(html: str) -> list[Block]:
             close()
             in_link = False
             heading = tag[0] == "h" and tag[1:].isdigit() and not closing
-            title, marked = heading and tag == "h1", False
+            title, marked, own = heading and tag == "h1", False, False
             if closing:
                 depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag or tag not in HOLDERS and stack[i][0] in HOLDERS), 0)
                 if depth and stack[depth][0] == tag:
@@ -168,7 +171,9 @@ def blocks(html: str) -> list[Block]:
                 stack.pop()
             apart, named, article, main = _kind(tag, token[4])
             _, was_apart, was_article, was_main, names = stack[-1]
-            if named:
+            if named and tag in SHORT:
+                own = True
+            elif named:
                 n_named += 1
                 names = (*names, n_named)
             if tag in HOLDERS:
@@ -177,7 +182,7 @@ def blocks(html: str) -> list[Block]:
                 stack.append((tag, was_apart or apart, was_article or article, was_main or main, names))
             else:
                 marked = main
-                if apart or named:  # a paragraph, heading or item that is itself a notice
+                if apart or named and not own:  # an item that is itself a notice
                     stack.append((tag, was_apart or apart, was_article, was_main, names))
         # inline elements end no block
     add(html[at:])
@@ -185,7 +190,7 @@ def blocks(html: str) -> list[Block]:
     return _settle(found)
 
 
-FIGURES = ("words", "linked", "words before", "linked before", "words after", "linked after", "heading", "apart", "article", "page has an article")
+FIGURES = ("words", "linked", "words before", "linked before", "words after", "linked after", "heading", "apart", "named", "own name", "article", "page has an article", "share")
 
 
 def figures(page: list[Block]) -> np.ndarray:
@@ -193,9 +198,10 @@ def figures(page: list[Block]) -> np.ndarray:
         return np.zeros((0, len(FIGURES)))
     own = np.array([[b.words, b.linked] for b in page], float)
     edge = np.zeros((1, 2))
-    flags = np.array([[b.heading, b.apart, b.article] for b in page], float)
+    flags = np.array([[b.heading, b.apart, bool(b.named), b.own, b.article] for b in page], float)
     any_ = np.full((len(page), 1), float(any(b.article for b in page)))
-    return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), flags, any_])
+    plain = own[:, :1] * (1 - own[:, 1:])
+    return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), flags, any_, plain / max(1.0, plain.sum())])
 
 
 def _page(rng: np.random.Generator, style: str) -> str:
@@ -204,9 +210,11 @@ def _page(rng: np.random.Generator, style: str) -> str:
     links = lambda n: "".join(f'<li><a href="#">{words(1, 4)}</a></li>' for _ in range(n))
     body = [f"<h1 data-main>{words(2, 12)}</h1>"]
     for _ in range(int(rng.integers(1, 9))):
-        body.append(f"<p data-main>{words(*((12, 120) if style == 'bare' else (1, 120)))}</p>")
-    if rng.random() < 0.4:
-        body.insert(2, f'<p data-main>{words(20, 40)} <a href="#">{words(1, 4)}</a> {words(10, 30)}</p>')
+        body.append(f"<p data-main>{words(*((12, 120) if style == 'bare' else (1, 120) if rng.random() < 0.7 else (1, 9)))}</p>")
+    if rng.random() < 0.5:
+        body.insert(2, f'<p data-main>{words(4, 40)} <a href="#">{words(1, 6)}</a> {words(4, 30)}</p>')
+    if style in ("links", "bare", "misnamed"):  # pointers to other pages among the paragraphs
+        body.insert(int(rng.integers(2, len(body) + 1)), f'<p>{words(1, 4)} <a href="#">{words(4, 14)}</a></p>')
     story = "".join(body)
     ad, notice, note = words(3, 40), words(5, 40), words(2, 80)
     if style == "semantic":
@@ -215,17 +223,30 @@ def _page(rng: np.random.Generator, style: str) -> str:
         return f'<nav>{links(5)}</nav><main><article><header><h1 data-main>{words(3, 9)}</h1></header>{story}<div class="ad">{ad}</div></article><section id="comments"><p>{note}</p></section></main><div class="cookie-notice"><p>{notice}</p></div><footer><p>{words(3, 20)}</p></footer>'
     if style == "named":
         return f'<div id="menu"><ul>{links(7)}</ul></div><div class="notice">{notice}</div><div class="content">{story}</div><div class="sidebar"><p>{note}</p><ul>{links(4)}</ul></div><div class="comments"><p>{note}</p></div><div id="footer">{words(3, 20)}</div>'
+    if style == "single":
+        return "".join(f"<p data-main>{words(4, 60)}</p>" for _ in range(int(rng.integers(1, 4))))
+    if style == "links":
+        entry = lambda: f'<p><a href="#">{words(3, 12)}</a> {words(0, 3)}</p>'
+        crumbs = " / ".join(f'<a href="#">{words(1, 3)}</a>' for _ in range(4))
+        return f"<div>{crumbs}</div>{entry()}{entry()}<div>{story}</div><div><h3>{words(1, 4)}</h3>{entry()}{entry()}{entry()}</div><div>{crumbs}</div>"
+    if style == "misnamed":
+        own = lambda a, b, main: f'<p class="{rng.choice(["related", "share", "notice", "comment", "ad"])}"{" data-main" * main}>{words(a, b)}</p>'
+        notes = [own(*x) for x in ((14, 80, True), (14, 80, True), (1, 9, False), (1, 9, False))]
+        notes = "".join(notes[k] for k in rng.permutation(4))
+        return f"<nav>{links(4)}</nav><article>{story}{notes}</article><div class='comments'>{own(10, 60, False)}</div><footer>{words(3, 20)}</footer>"
     if style == "wrapped":
         return f'<body class="has-sidebar"><div class="content-with-sidebar social-page"><p class="share">{words(1, 5)}<div>{story}</div><ul><li class="ad">{words(2, 8)}<li><a href="#">{words(1, 4)}</a></ul><div class="sidebar">{note}</div></div><div id="footer">{words(3, 20)}</div>'
     return f"<div><ul>{links(8)}</ul></div><div>{story}</div><div><ul>{links(5)}</ul><p>{words(1, 5)}</p></div>"
 
 
-def LABELLED(pages: int = 60, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The labelled table: figures and labels of the blocks of small built pages, of five layouts."""
+STYLES = ("semantic", "nested", "named", "bare", "links", "single", "bare", "links")
+
+
+def LABELLED(pages: int = 320, seed: int = 7, styles: tuple[str, ...] = STYLES) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: figures and labels of the blocks of small built pages, of seven layouts."""
     rng = np.random.default_rng(seed)
     x, y = [], []
-    styles = [*(("semantic", "nested", "named", "bare")[k % 4] for k in range(pages)), *["wrapped"] * (pages // 4)]
-    for style in styles:
+    for style in [*(styles[k % len(styles)] for k in range(pages)), *["wrapped", "misnamed"] * (pages // 8)]:
         found = blocks(f"<html><body>{_page(rng, style)}</body></html>")
         x.append(figures(found))
         y += [b.marked for b in found]
