@@ -8,19 +8,20 @@ descending length, queries into chunks; a task sees one chunk and one block.
   |q| times the block's greatest length can still reach its bound.
 * In a task, candidates go by descending length in tiles.  A query is done when
   |q| times the tile's first length is below its k-th score.  For the others
-  the vectors are rotated by the singular basis of all vectors (from the Gram
-  matrix): the leading coordinates' partial sum plus the Cauchy-Schwarz bound
-  of the rest discards pairs; what survives is scored exactly.
+  the vectors are rotated by a singular basis of the block: the leading
+  coordinates' partial sum plus the Cauchy-Schwarz bound of the rest discards
+  pairs; what survives is scored exactly.
 
 Scores are sums of integer products, exact in doubles below 2^53 (checked;
-beyond, integer arithmetic).  Bounds are widened by a relative margin, so that
-rounding prunes nothing that belongs to the result.
+beyond, Python's integers).  A score beyond a long is held at a long's bound,
+and ties there.  Bounds are widened by a relative margin, so that rounding
+prunes nothing that belongs to the result.
 
 Edge cases: vectors that are null or hold null or non-finite components, and
 rows without vec_id, take no part; vectors of different lengths never meet;
-rows that share a vec_id are all candidates (of other ids), the least of their
-vectors is the query; ties go to the smaller vec_id; an empty table gives an
-empty result; columns besides vec_id and embedding are not looked at.
+rows that share a vec_id are queries each, and each a candidate for all but
+itself; ties go to the smaller vec_id; an empty table gives an empty result;
+columns besides vec_id and embedding are not looked at.
 """
 
 from __future__ import annotations
@@ -39,30 +40,26 @@ TOP, SCALE, QUERY_EVERY = 5, 256, 50
 BLOCK, CHUNK = 8192, 4096
 #: Candidates that are scored together; rotated coordinates of the partial sums.
 TILE, LEADING = 1024, 24
+#: Rows of a block, about, that its singular basis is taken from; all rows are scored with it.
+BASIS_ROWS = 1024
 MARGIN = 1e-9
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query long, query_id long, vec_id long, score long"
+
+
+def _floor(x):
+    """Floor as a double; doubles of 2^52 or more are whole, and beyond a long's range."""
+    return F.when(F.abs(x) < F.lit(2.0**52), F.floor(x).cast("double")).otherwise(x)
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, v (array<long>), dim, length."""
-    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    """vec_id, v (integers as doubles), dim, length."""
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(SCALE * x.cast("double")) < F.lit(float("inf"))))
     kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)
-    kept = kept.select("vec_id", F.transform("embedding", lambda x: F.floor(SCALE * x.cast("double")).cast("long")).alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    kept = kept.select("vec_id", F.transform("embedding", lambda x: _floor(SCALE * x.cast("double"))).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return kept.select("vec_id", "v", F.size("v").alias("dim"), length.alias("length"))
 
 
-def _grams(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        dims = batch.column("dim").to_numpy()
-        for dim in np.unique(dims):
-            x = _matrix(batch.filter(pa.array(dims == dim)).column("v"), int(dim)).astype(float)
-            sums[dim] = sums.get(dim, 0) + x.T @ x
-    for dim, g in sums.items():
-        yield pa.RecordBatch.from_pydict({"dim": pa.array([dim] * g.size, pa.int32()), "at": pa.array(range(g.size), pa.int32()), "g": pa.array(g.ravel(), pa.float64())})
-
-
 def _matrix(column, dim: int) -> np.ndarray:
     """Rows of an array column as a matrix."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,20 +67,15 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def rotations(vectors: DataFrame, most: int = 8) -> dict[int, np.ndarray]:
-    """Singular bases of the commonest dimensions (a few matrices of dim x dim); others go unrotated."""
-    sizes = vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(most).collect()
-    dims = [r["dim"] for r in sizes if 0 < r["dim"] <= 1024]
-    sums = vectors.where(F.col("dim").isin(dims)).mapInArrow(_grams, "dim int, at int, g double").groupBy("dim", "at").agg(F.sum("g").alias("g")).collect() if dims else []
-    out = {d: np.zeros(d * d) for d in dims}
-    for r in sums:
-        out[r["dim"]][r["at"]] = r["g"]
-    return {d: np.linalg.eigh(g.reshape(d, d))[1][:, ::-1].copy() for d, g in out.items()}
+def basis_of(vectors: np.ndarray) -> np.ndarray:
+    """Up to ``LEADING`` orthonormal columns: the leading right singular vectors of evenly spaced rows."""
+    rows = vectors[:: max(1, len(vectors) // BASIS_ROWS)][: 2 * BASIS_ROWS]
+    return np.linalg.svd(rows / max(1.0, float(np.abs(rows).max(initial=0))), full_matrices=False)[2][:LEADING].T
 
 
 def _best(query, ids, score, k: int):
     """The k best of each query: by score, then smaller id."""
-    order = np.lexsort((ids, -score, query))
+    order = np.lexsort((ids, ~score, query))
     query, ids, score = query[order], ids[order], score[order]
     starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
     nth = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
@@ -91,14 +83,21 @@ def _best(query, ids, score, k: int):
     return query[keep], ids[keep], score[keep]
 
 
-def search_block(q_ids, q, least, c_ids, c, basis, k: int = TOP):
+def search_block(q_rows, q, least, c_rows, c_ids, c, k: int = TOP):
     """(query index, candidate id, score) of each query's k best in a block that is sorted by descending length."""
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2**53
-    qf, cf = (q.astype(float), c.astype(float)) if exact else (q, c)
-    ql, cl = np.linalg.norm(q.astype(float), axis=1), np.linalg.norm(c.astype(float), axis=1)
-    h = min(LEADING, q.shape[1])
-    qr, cr = q.astype(float) @ basis, c.astype(float) @ basis
-    q_rest, c_rest = np.linalg.norm(qr[:, h:], axis=1), np.linalg.norm(cr[:, h:], axis=1)
+    ql, cl = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+    basis = basis_of(c)
+    qr, cr = q @ basis, c @ basis
+    # What the leading coordinates leave of a vector; the two rests' lengths bound their product.
+    q_rest, c_rest = np.linalg.norm(q - qr @ basis.T, axis=1), np.linalg.norm(c - cr @ basis.T, axis=1)
+
+    def products(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if exact:
+            return np.einsum("ij,ij->i", q[i], c[j]).astype(np.int64)
+        found = (sum(int(x) * int(y) for x, y in zip(q[a].tolist(), c[b].tolist())) for a, b in zip(i, j))
+        return np.array([max(-(2**63), min(2**63 - 1, x)) for x in found], np.int64)
+
     bound = least.astype(float).copy()
     best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     active = np.arange(len(q))
@@ -106,16 +105,16 @@ def search_block(q_ids, q, least, c_ids, c, basis, k: int = TOP):
     while at < len(c) and len(active):
         end = min(len(c), at + step)
         slack = MARGIN * (ql * cl[at] + 1)
-        active = active[ql[active] * cl[at] + slack[active] >= bound[active]]
-        partial = qr[active, :h] @ cr[at:end, :h].T + q_rest[active][:, None] * c_rest[at:end]
-        a, b = np.nonzero(partial + slack[active][:, None] >= bound[active][:, None])
-        if len(a) * 4 > partial.size:
-            score = (qf[active] @ cf[at:end].T)[a, b]
+        active = active[~(ql[active] * cl[at] + slack[active] < bound[active])]  # not a number: unbounded
+        partial = qr[active] @ cr[at:end].T + q_rest[active][:, None] * c_rest[at:end]
+        a, b = np.nonzero(~(partial + slack[active][:, None] < bound[active][:, None]))
+        if exact and len(a) * 4 > partial.size:
+            score = (q[active] @ c[at:end].T)[a, b].astype(np.int64)
         else:
-            score = np.concatenate([np.einsum("ij,ij->i", qf[active[a[i : i + 65536]]], cf[at + b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
-        a, ids, score = active[a], c_ids[at + b], score.astype(np.int64)
-        keep = (score >= bound[a]) & (ids != q_ids[a])
-        best = _best(*(np.concatenate(x) for x in zip(best, (a[keep], ids[keep], score[keep]))), k)
+            score = np.concatenate([np.zeros(0, np.int64), *(products(active[a[i : i + 65536]], at + b[i : i + 65536]) for i in range(0, len(a), 65536))])
+        a, b = active[a], at + b
+        keep = (score >= bound[a]) & (c_rows[b] != q_rows[a])
+        best = _best(*(np.concatenate(x) for x in zip(best, (a[keep], c_ids[b[keep]], score[keep]))), k)
         query, _, scores = best
         last = np.flatnonzero(np.r_[query[1:] != query[:-1], True]) if len(query) else np.zeros(0, np.int64)
         full = last[np.bincount(query, minlength=len(q))[query[last]] == k] if len(query) else last
@@ -124,61 +123,72 @@ def search_block(q_ids, q, least, c_ids, c, basis, k: int = TOP):
     return best
 
 
-def _searcher(bases: dict[int, np.ndarray], k: int):
+def _searcher(k: int):
     def search(key, queries: pa.Table, candidates: pa.Table) -> pa.Table:
         dim = key[0].as_py() if hasattr(key[0], "as_py") else key[0]
-        nothing = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if not queries.num_rows or not candidates.num_rows:
-            return nothing
+            return pa.table({"query": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         q, c = _matrix(queries["v"], dim), _matrix(candidates["v"], dim)
         order = np.argsort(-candidates["length"].to_numpy(), kind="stable")
-        q_ids, c_ids = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()[order]
-        query, ids, score = search_block(q_ids, q, queries["least"].to_numpy(), c_ids, c[order], bases.get(dim, np.eye(dim)), k)
-        return pa.table({"query_id": q_ids[query], "vec_id": ids, "score": score})
+        q_rows, c_rows, c_ids = queries["row"].to_numpy(), candidates["row"].to_numpy()[order], candidates["vec_id"].to_numpy()[order]
+        query, ids, score = search_block(q_rows, q, queries["least"].to_numpy(), c_rows, c_ids, c[order], k)
+        return pa.table({"query": q_rows[query], "query_id": queries["vec_id"].to_numpy()[query], "vec_id": ids, "score": score})
 
     return search
 
 
+def numbered(vectors: DataFrame) -> DataFrame:
+    """``vectors``, written down, with ``row``, a number that tells rows of one id apart."""
+    return cut_lineage(vectors.withColumn("row", F.monotonically_increasing_id()))
+
+
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """query_id, rank, vec_id, score; both inputs as from ``whole_vectors``."""
-    vectors = cut_lineage(vectors)
-    n = vectors.count()
+    """query_id, rank, vec_id, score; both inputs from one ``numbered`` table of ``whole_vectors``."""
+    n, n_queries = vectors.count(), queries.count()
     grown = 16 * math.isqrt(n)
-    n_blocks = max(1, math.ceil(n / max(block, grown)))
-    queries = queries.groupBy("vec_id").agg(F.min(F.struct("v", "dim", "length")).alias("q")).select("vec_id", "q.*")
-    queries = cut_lineage(queries)
-    n_chunks = max(1, math.ceil(queries.count() / max(chunk, grown)))
-    bases = rotations(vectors)
+    n_blocks, n_chunks = max(1, math.ceil(n / max(block, grown))), max(1, math.ceil(n_queries / max(chunk, grown)))
     # Equal lengths spread over blocks by a slight hashed shift; bounds use a block's true greatest length.
-    place = F.col("length") * (1 + 1e-9 * F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 20)))
+    place = F.col("length") * (1 + 1e-9 * F.pmod(F.xxhash64("row"), F.lit(1 << 20)))
     cuts = vectors.agg(F.percentile_approx(place, [1 - i / n_blocks for i in range(1, n_blocks)], 100 * n_blocks)).first()[0] if n_blocks > 1 and n else []
-    blocks = sum(((place < c).cast("int") for c in cuts or []), F.lit(0))
-    candidates = vectors.withColumn("block", blocks)
-    longest = candidates.groupBy("dim", "block").agg(F.max("length").alias("longest"))
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)).cast("int"))
-    spread = candidates.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    keys, search = ["dim", "chunk", "block"], _searcher(bases, k)
+    # Cuts fall: a row's block is the number of cuts above it, found by halving.
+    blocks = F.lit(0) if not cuts else _above(place, list(cuts))
+    candidates = vectors.withColumn("block", blocks.cast("int"))
+    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(n_chunks)).cast("int"))
+    keys, search = ["dim", "chunk", "block"], _searcher(k)
 
     def scored(asked: DataFrame, held: DataFrame) -> DataFrame:
-        # Both come from ``vectors``: new names keep the sides' columns apart.
-        asked, held = (side.select(*[F.col(c).alias(c) for c in (*keys, "vec_id", "v", last)]) for side, last in ((asked, "least"), (held, "length")))
-        return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(search, FOUND)
-
-    none = F.lit(-(2**62))
-    first = cut_lineage(scored(queries.withColumn("block", F.lit(0)).withColumn("least", none), spread.where("block = 0")))
+        # A block goes only to the chunks that ask for it.
+        wanted = asked.select(*[F.col(c).alias(c) for c in keys]).distinct()
+        held = held.select(*[F.col(c).alias(c) for c in ("dim", "block", "row", "vec_id", "v", "length")]).join(wanted, ["dim", "block"])
+        asked = asked.select(*[F.col(c).alias(c) for c in (*keys, "row", "vec_id", "v", "least")])
+        return asked.groupBy(*keys).cogroup(held.select(*keys, "row", "vec_id", "v", "length").groupBy(*keys)).applyInArrow(search, FOUND)
+
+    none = F.lit(-(2.0**80))
+    first = cut_lineage(scored(queries.withColumn("block", F.lit(0)).withColumn("least", none), candidates.where("block = 0")))
     found = first
     if n_blocks > 1:
-        reached = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
-        asked = queries.join(reached, "vec_id", "left").withColumn("least", F.coalesce("kth", none)).drop("kth")
-        asked = asked.join(F.broadcast(longest.where("block > 0")), "dim")  # a row for each block
-        asked = asked.where(F.col("length") * F.col("longest") * (1 + MARGIN) + 1 >= F.col("least"))
-        found = first.union(scored(asked, spread.where("block > 0")))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        reached = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("kth"))
+        reached = reached.select(F.col("query").alias("row"), F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
+        longest = candidates.where("block > 0").groupBy("dim", "block").agg(F.max("length").alias("longest"))
+        # Lengths alone decide which blocks a query still needs; its vector follows afterwards.
+        asked = queries.select("row", "dim", "chunk", "length").join(reached, "row", "left").withColumn("least", F.coalesce("kth", none))
+        asked = asked.join(F.broadcast(longest), "dim").where(F.col("length") * F.col("longest") * (1 + MARGIN) + 1 >= F.col("least"))  # a row for each block
+        asked = asked.select("row", "block", "least").join(queries.select("row", "vec_id", "v", "dim", "chunk"), "row")
+        found = first.union(scored(asked, candidates.where("block > 0")))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", nth.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _above(x, falling: list[float]):
+    """How many of the falling numbers are above ``x``."""
+    if len(falling) <= 1:
+        return F.when(x < falling[0], 1).otherwise(0) if falling else F.lit(0)
+    half = len(falling) // 2
+    return F.when(x < falling[half], half + 1 + _above(x, falling[half + 1 :])).otherwise(_above(x, falling[:half]))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = whole_vectors(table(spark, sf_dir, "embeddings"))
+    vectors = numbered(whole_vectors(table(spark, sf_dir, "embeddings")))
     return top_inner_products(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0))
 
 
