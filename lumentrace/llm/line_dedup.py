@@ -21,9 +21,10 @@ The join never makes pairs of a group:
 
 Edge cases: null text stays null and has no lines; rows without a doc_id stand
 before all others; rows that share a doc_id, or have none, stand in the order of
-a hash of their texts, and wholly repeated rows tie: they are treated alike, so
-that their first lines all stay; empty tables give empty results; columns
-besides doc_id and text pass through.
+a hash of their texts; of wholly repeated rows (told apart by their places in
+the table, so reading it twice must give one order, as files do) one keeps its
+lines and the others lose all that have words; empty tables give empty results;
+columns besides doc_id and text pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,15 +32,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import cut_lineage, table
+from lumentrace.llm.common import cut_lineage, held, table
 
 #: Words from which a line may differ by one.
 EDIT_FROM = 8
 #: Words of the shortest opening or closing. A line of n words has one of k words for the greatest k = 2^i - 1 with
 #: 2k + 1 <= n; a line of just 2k + 1 words also has the next smaller, for its partners with a word less.
 LEAST_END = 3
-#: Words of the bitmap of shared ends (a power of two).
-BITMAP_WORDS = 1 << 18
+#: The bitmap of shared ends grows with their number, by powers of two, up to so many words of 64 bits.
+MOST_BITMAP_WORDS = 1 << 21
 SPACES = " \t\n\v\f\r"
 
 
@@ -48,10 +49,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), "text")
 
 
-def _with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """``rows`` with _gone, null where a row loses no lines; rows without a doc_id are told apart by their texts."""
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("_text_hash").alias("_gone_hash"), "_gone")
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_text_hash") == F.col("_gone_hash")), "left").drop("_gone_id", "_gone_hash")
+def _row_key(doc_id, text_hash):
+    return F.xxhash64(doc_id.isNull(), doc_id, text_hash)
+
+
+def _with_gone(docs: DataFrame, **computed) -> DataFrame:
+    """row (a struct of the columns of ``docs``), the computed columns, gone (null where no lines go), again (a repeated row)."""
+    rows = held(docs, key=_row_key(F.col("doc_id"), F.xxhash64("text")), place=F.monotonically_increasing_id(), **computed)
+    gone = repeated_lines(docs).select(_row_key(F.col("doc_id"), F.col("_text_hash")).alias("key"), F.col("_gone").alias("gone"))
+    copies = rows.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    marks = gone.join(copies, "key", "full")
+    return rows.join(marks, "key", "left").withColumn("again", F.coalesce(F.col("place") != F.col("first"), F.lit(False)))
 
 
 def _bound(value, body):
@@ -92,8 +100,8 @@ def _ends() -> F.Column:
     return F.when(both, F.concat(end(longest), end(half))).otherwise(end(longest))
 
 
-def _word_and_bit(end) -> tuple[F.Column, F.Column]:
-    return F.shiftrightunsigned(end, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), end.bitwiseAND(F.lit(63)).cast("int"))
+def _word_and_bit(end, words: int) -> tuple[F.Column, F.Column]:
+    return F.shiftrightunsigned(end, 6).bitwiseAND(F.lit(words - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), end.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _candidates(places: DataFrame) -> DataFrame:
@@ -102,8 +110,9 @@ def _candidates(places: DataFrame) -> DataFrame:
     ends = lines.select("h1", "h2", "place", "norm", "n_words", F.explode(F.when(F.col("n_words") >= EDIT_FROM, _ends())).alias("end"))
     shared = ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("end")
     shared = cut_lineage(shared)
-    # A bitmap of the shared ends, at most BITMAP_WORDS rows of 16 bytes whatever the input, spares most lines the exact join.
-    word, bit = _word_and_bit(F.col("end"))
+    # A bitmap of the shared ends (16 bits each, at most MOST_BITMAP_WORDS rows of 16 bytes) spares most lines the exact join.
+    words = 1 << max(10, min(MOST_BITMAP_WORDS.bit_length() - 1, (shared.count() // 4).bit_length()))
+    word, bit = _word_and_bit(F.col("end"), words)
     bitmap = shared.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     passed = ends.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
     passed = passed.join(shared, "end")  # inner, on distinct keys: a semi join would be moved below the bitmap
@@ -157,35 +166,37 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     keyed = places.select(*_key("norm"), "place")
     lines = keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     going = lines.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    found = keyed.join(going, ["h1", "h2"]).where("near or first < place")
+    # Written down, so that the join stands by itself and a line that many rows share can be split among tasks.
+    found = keyed.join(cut_lineage(going), ["h1", "h2"]).where("near or first < place")
     return found.groupBy("place.doc_id", "place._text_hash").agg(F.sort_array(F.collect_set("place.line_no")).alias("_gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated lines taken out of their texts, and ``_n_gone``, their number."""
-    gone = repeated_lines(docs)
-    rows = _with_gone(docs.withColumn("_text_hash", F.xxhash64("text")), gone)
-    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = _bound(F.split("text", "\n"), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text)
-    return rows.withColumn("text", text).select(*docs.columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("_n_gone"))
+    """row (a struct of the columns of ``docs``), text (without the repeated lines), changed."""
+    rows = _with_gone(docs)
+    lines = F.split("row.text", "\n")
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = _bound(lines, lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))
+    wordless = F.array_join(F.filter(lines, lambda x: F.btrim(x, F.lit(SPACES)) == ""), "\n")
+    text = F.when(F.col("again"), wordless).when(F.col("gone").isNull(), F.col("row.text")).otherwise(text)
+    return rows.select("row", text.alias("text"), (F.col("again") | F.col("gone").isNotNull()).alias("changed"))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with deduplicated texts; n_chars, where there is one, counts the new text's."""
-    rows = dedup_lines(docs)
+    fresh = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("_n_gone") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        fresh["n_chars"] = F.when(F.col("changed"), F.length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    return dedup_lines(docs).select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines with words, and the numbers (from 0, comma-joined) of those that go."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")), F.lit(0)).alias("n_lines"))
-    found = _with_gone(rows, repeated_lines(docs))
-    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_gone"), F.coalesce(F.array_join("_gone", ","), F.lit("")).alias("gone"))
+    worded = F.coalesce(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.btrim(x, F.lit(SPACES)) != "", i)), lambda i: i.isNotNull()), F.array().cast("array<int>"))
+    found = _with_gone(docs, worded=worded).select("row.doc_id", "worded", F.when(F.col("again"), F.col("worded")).otherwise(F.coalesce("gone", F.array().cast("array<int>"))).alias("gone"))
+    return found.select("doc_id", F.size("worded").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_gone"), F.array_join("gone", ",").alias("gone"))
 
 
 #: DuckDB: the same rule by variants in full (no filter, no hashes).
