@@ -11,7 +11,8 @@ Positions.  A source's weight moves linearly over training, from ``start`` to
 schedule is the source's cumulative demand at a time t in [0, 1]; the words of
 a source, laid out in the order of a hash of doc_id (one lap over the source,
 then a second), are given the time at which demand reaches them, by inverting
-the integral.  The mix is range-sorted by that time.
+the integral; a document that both laps take has two positions.  The mix is
+range-sorted by that time.
 
 A source's words are laid out by two-level prefix sums: hash-ranged slices of a
 source are summed and cumulated, then each slice is numbered on its own, so a
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import table, word_count
+from lumentrace.llm.common import held, released, table, word_count
 
 WEIGHTS, SHARE, LAPS = (5, 2, 1), 1.5, 2
 #: A source's weight at the start and the end of training, as a multiple of its mean, by its place in WEIGHTS.
@@ -40,7 +41,8 @@ SLICES = 3
 def _sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, text_hash, size, order (hex digest), slice (its first digits)."""
     rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count("text").alias("size"))
-    rows = rows.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # Rows without an id are told apart by their texts, else they would fill one slice.
+    rows = rows.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text_hash").cast("string"))))
     return rows.withColumn("slice", F.substring("order", 1, SLICES))
 
 
@@ -106,19 +108,20 @@ def mix(docs: DataFrame) -> DataFrame:
     laps = F.array(*[F.when(2 * F.col(f"lap{i}") >= F.col("size"), F.col(f"time{i}")) for i in range(LAPS)])
     taken = schedule(docs).select("doc_id", "source", "text_hash", F.array_compact(laps).alias("times")).where(F.size("times") > 0)
     has_id, has_source = F.col("doc_id").isNotNull(), F.col("source").isNotNull()
-    key = F.xxhash64(has_id, "doc_id", has_source, "source", "text_hash").alias("_key")
-    # Rows repeated in full share a key: they take the laps of the key's rows in turn.
-    plan = taken.select(key, "times").groupBy("_key").agg(F.sort_array(F.collect_list("times")).alias("plans"))
-    keyed = docs.withColumn("_key", F.xxhash64(has_id, "doc_id", has_source, "source", F.xxhash64("text"))).join(plan, "_key")
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
-    rows = keyed.withColumn("_time", F.explode(F.get("plans", F.col("_nth") - 1)))
-    return rows.orderBy("_time", "doc_id").select(*docs.columns)
+    key = F.xxhash64(has_id, "doc_id", has_source, "source", "text_hash").alias("key")
+    # Rows repeated in full share a key: they take the laps of the key's rows in turn, whichever takes which.
+    nth = lambda order: F.row_number().over(Window.partitionBy("key").orderBy(order))
+    plans = taken.select(key, "times").withColumn("nth", nth("times"))
+    keyed = held(docs, key=F.xxhash64(has_id, "doc_id", has_source, "source", F.xxhash64("text")))
+    keyed = keyed.withColumn("nth", nth("key")).join(plans, ["key", "nth"])
+    return released(keyed.select("row", F.explode("times").alias("time")).orderBy("time", "row.doc_id"))
 
 
 def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = schedule(table(spark, sf_dir, "documents"))
-    first = F.coalesce("time0", "time1")
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("lap0") + F.col("lap1")).alias("taken"), first.alias("position")).orderBy("position", "doc_id")
+    first, again = F.coalesce("time0", "time1"), F.when(F.col("time0").isNotNull(), F.col("time1"))
+    rows = rows.select("doc_id", "size", "source_size", "target", (F.col("lap0") + F.col("lap1")).alias("taken"), first.alias("position"), again.alias("position_again"))
+    return rows.orderBy("position", "doc_id")
 
 
 OP5_SQL = r"""
@@ -141,7 +144,7 @@ placed as (
     greatest(0, least(size, least(floor(target + 0.5)::bigint, 2 * source_size) - b - source_size))::bigint as lap1 from placed
 ), shares as (
   select *, [1.5, 0.75, 0.5][place + 1]::double as a, [-1.0, 0.5, 1.0][place + 1]::double as c,
-    case when lap0 > 0 then (b + lap0::double / 2) / target when lap1 > 0 then (b + source_size + lap1::double / 2) / target end as q from laps
-)
-select doc_id, size, source_size, target, lap0 + lap1 as taken, 2 * q / (a + sqrt(a * a + 2 * c * q)) as position from shares
+    case when lap0 > 0 then (b + lap0::double / 2) / target end as q0, case when lap1 > 0 then (b + source_size + lap1::double / 2) / target end as q1 from laps
+), times as (select *, 2 * q0 / (a + sqrt(a * a + 2 * c * q0)) as t0, 2 * q1 / (a + sqrt(a * a + 2 * c * q1)) as t1 from shares)
+select doc_id, size, source_size, target, lap0 + lap1 as taken, coalesce(t0, t1) as position, case when t0 is not null then t1 end as position_again from times
 """
