@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumentrace.llm.common import cut_lineage, table
+from lumentrace.llm.common import cut_lineage, held, released, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints with an equal block up to which one sub-index serves them.
@@ -274,9 +274,9 @@ def keep_first(docs: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
     """
     _, groups = grouped(docs, long_run)
     first = groups.select("root", "first").distinct().select(F.col("first._key").alias("_key"))
-    once = Window.partitionBy("_key").orderBy("doc_id")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(first.distinct(), "_key", "left_semi")
-    return keyed.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*docs.columns)
+    once = Window.partitionBy("_key").orderBy("row.doc_id")
+    keyed = held(docs, _key=F.xxhash64("doc_id", "text")).join(first.distinct(), "_key", "left_semi")
+    return released(keyed.withColumn("nth", F.row_number().over(once)).where("nth = 1"))
 
 
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
