@@ -11,8 +11,10 @@ Training (labels of rows with ``crc32(doc_id) % 5 != 0`` only):
 * A window is one word inside a fixed carrier that either dictionary holds; the
   carrier makes every frame have a match, so that a word's own gain shows.  Its
   distance is the ordinary minus the toxic compressed length.
-* A logistic curve over a document's window distances (largest, numbers and
-  rates of windows above the thresholds) is calibrated on the same rows.
+* Two thresholds of the distance are calibrated on the same rows: the least
+  ones beyond which toxic text has ``NEAR_TIMES`` and ``FAR_TIMES`` as many of
+  its windows as ordinary text.  A logistic curve over a document's distances
+  (largest, numbers and rates of windows beyond the thresholds) is fitted.
 
 The labelled sample is bounded by ``SAMPLE`` rows (least hash of doc_id first);
 everything else reads every row and whole texts.  Labels, lang, source and
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,15 +38,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lumentrace.llm.common import cut_lineage, table
+from lumentrace.llm.common import cut_lineage, held, released, table
 
 #: Labelled rows that a model is fitted on, at most.
-SAMPLE = 6000
+SAMPLE = 20_000
 #: Segments kept of each kind, at most; documents a toxic one needs.
 ORDINARY, TOXIC, LEAST_DOCS, LEAST_RATIO = 1800, 400, 3, 15.0
-#: Bytes by which the toxic dictionary must shorten a window: two thresholds.
-NEAR, FAR = 3, 4
+#: Windows of toxic text must be so many times as common as those of ordinary text beyond the two thresholds.
+NEAR_TIMES, FAR_TIMES = 2.0, 5.0
 CARRIER = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
 #: Windows whose distance a task remembers.
 REMEMBERED = 200_000
@@ -59,6 +63,9 @@ class Model:
     ordinary: bytes = b""
     toxic: bytes = b""
     weights: tuple[float, ...] = ()
+    #: Bytes by which the toxic dictionary shortens a window that counts, and that counts twice.
+    near: int = 1
+    far: int = 2
 
 
 class Distances(dict):
@@ -87,14 +94,26 @@ class Distances(dict):
         return found
 
 
-def features(text: str | None, distances: Distances) -> list[float]:
+def features(text: str | None, distances: Distances, near: int, far: int) -> list[float]:
     words = LETTERS.findall((text or "").lower())
     d = np.fromiter(map(distances.__getitem__, words), np.int64, len(words))
-    near, far = int((d >= NEAR).sum()), int((d >= FAR).sum())
+    near, far = int((d >= near).sum()), int((d >= far).sum())
     n = max(1, len(words))
     return [1.0, min(8, int(d.max(initial=0))), math.log1p(near), math.log1p(far), math.log1p(1000 * near / n), math.log1p(1000 * far / n)]
 
 
+def calibrated(histogram: dict[tuple[int, int], int]) -> tuple[int, int]:
+    """(near, far): the least distances beyond which toxic windows are often enough; from counts by (label, distance)."""
+    whole = [max(1, sum(n for (label, _), n in histogram.items() if label == y)) for y in (0, 1)]
+    share = lambda y, t: sum(n for (label, d), n in histogram.items() if label == y and d >= t) / whole[y]
+    found = []
+    for times in (NEAR_TIMES, FAR_TIMES):
+        least = found[-1] + 1 if found else 1
+        top = max((d for label, d in histogram if label == 1), default=least)
+        found.append(next((t for t in range(least, top + 1) if share(1, t) > times * share(0, t)), max(least, top)))
+    return found[0], found[1]
+
+
 def _segments(text: str | None) -> set[str]:
     out = set()
     for word in set(LETTERS.findall((text or "").lower())):
@@ -138,8 +157,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labels.select("doc_id", F.col("toxic").cast("long").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    texts = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    # One label and one text for each id (the least), so that repeated rows do not enlarge the sample.
+    chosen = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    texts = cut_lineage(texts.select("text", "toxic"))
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n, of = sizes.get(1, 0), sizes.get(0, 0)
     if not n or not of:
@@ -162,18 +183,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     tail = "\x01".join(chosen_segments[::-1]).encode()
     model = Model(base + b"\0" * len(tail), base + tail)
 
+    def histogram(batches):
+        distances, counts = Distances(model), Counter()
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                counts.update((label, distances[w]) for w in LETTERS.findall((text or "").lower()))
+        yield pa.RecordBatch.from_pydict({"label": pa.array([k for k, _ in counts], pa.int64()), "d": pa.array([d for _, d in counts], pa.int64()), "n": pa.array(counts.values(), pa.int64())})
+
+    seen = texts.mapInArrow(histogram, "label long, d long, n long").groupBy("label", "d").agg(F.sum("n").alias("n")).collect()  # a row a distance
+    near, far = calibrated({(r["label"], r["d"]): r["n"] for r in seen})
+
     def rows_of(batches):
         distances = Distances(model)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"x": pa.array([features(t, distances) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), "y": batch.column("toxic").cast(pa.float64())})
+            yield pa.RecordBatch.from_pydict({"x": pa.array([features(t, distances, near, far) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), "y": batch.column("toxic").cast(pa.float64())})
 
-    got = texts.mapInArrow(rows_of, "x array<double>, y double").orderBy("y", "x").collect()  # at most ``sample`` rows of six numbers
-    return Model(model.ordinary, model.toxic, _logistic(np.array([r["x"] for r in got]), np.array([r["y"] for r in got])))
+    got = sorted((r["y"], r["x"]) for r in texts.mapInArrow(rows_of, "x array<double>, y double").collect())  # at most ``sample`` rows of six numbers
+    return Model(model.ordinary, model.toxic, _logistic(np.array([x for _, x in got]), np.array([y for y, _ in got])), near, far)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a score column ``_toxicity`` (0 to 1) added."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    """row (a struct of the columns of ``docs``) and score (0 to 1)."""
+    rows = held(docs, text=F.col("text"))
 
     def score(batches):
         distances = Distances(model) if model.weights else None
@@ -182,18 +213,18 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             if distances is None:
                 s = np.zeros(len(texts))
             else:
-                s = 1 / (1 + np.exp(-np.clip([float(np.dot(model.weights, features(t, distances))) for t in texts], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.asarray(s, np.float64))], [*batch.schema.names, "_toxicity"])
+                s = 1 / (1 + np.exp(-np.clip([float(np.dot(model.weights, features(t, distances, model.near, model.far))) for t in texts], -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.asarray(s, np.float64))], ["row", "score"])
 
-    return docs.mapInArrow(score, f"{fields}, _toxicity double")
+    return rows.mapInArrow(score, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``."""
-    return scored(docs, train(docs, labels)).where(F.col("_toxicity") < threshold).select(*docs.columns)
+    return released(scored(docs, train(docs, labels)).where(F.col("score") < threshold))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scored(docs, train(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
