@@ -135,8 +135,10 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 300) -> tuple
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held"))
+    # One label and one text for each id (the least), so that repeated rows do not enlarge the sample.
+    chosen = rows.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    texts = texts.select("text", "y", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held"))
 
     def shares(batches):
         words = Words()
@@ -147,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 out.append(ngram_shares(raw, words.crc[words.numbers(raw.split())]).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_pydict({"x": pa.array(out, pa.binary()), "y": batch.column("y"), "held": batch.column("held")})
 
-    got = texts.mapInArrow(shares, "x binary, y int, held boolean").limit(2 * sample).collect()  # a bounded sample of fixed-length rows
+    got = texts.mapInArrow(shares, "x binary, y int, held boolean").collect()  # ``sample`` rows of fixed length at most
     got.sort(key=lambda r: (bytes(r["x"]), r["y"]))
     y, held = np.array([r["y"] for r in got], float), np.array([r["held"] for r in got], bool)
     if not got or len(set(y[~held])) < 2:
