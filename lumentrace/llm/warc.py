@@ -9,8 +9,12 @@ payload) and gives two records for each, both referring to it
 * ``conversion`` (text/plain): the payload's text, with the source's payload
   digest.
 
-``write_warc`` writes records as WARC files through Spark's text sink,
-``read_warc`` reads WARC files (also gzip members) back.
+Digests that the source record carries (block_digest, payload_digest) are kept
+as they are; where it has none they are computed.
+
+``read_warc`` reads WARC files (also gzip members), ``responses`` makes response
+records of what it reads, ``write_warc`` writes records as WARC files through
+Spark's text sink.
 
 Edge cases: a null payload or header counts as empty, a null target URI leaves
 the header out, null ids are written as empty ids; repeated responses give
@@ -41,6 +45,8 @@ TAGS = r"<[^>]*>"
 LINKS = r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"'
 #: Outlinks with their quotes, if any: an attribute named href, never the inside of another quoted value.
 OUTLINKS = r"""(?i)<a(?=[\s/"'])[^>"']*?(?:(?:"[^"]*"|'[^']*')[^>"']*?)*?(?<=[\s/"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+#: Bytes of records that a task hands on together.
+READ_AT_ONCE = 32 << 20
 REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{1,31};?)")
 RECORDS = ["warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block", "content_length", "block_digest", "source_payload_digest"]
 
@@ -79,13 +85,15 @@ def urn(*parts) -> F.Column:
 def derive(responses: DataFrame) -> DataFrame:
     """The metadata and the conversion record of each response, with RECORDS' columns."""
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = responses.select(empty("record_id").alias("refers_to"), "target_uri", "date", empty("http_headers").alias("head"), empty("payload").alias("payload"))
-    rows = rows.withColumn("digest", _digest(F.col("payload")))
+    given = lambda c: F.col(c) if c in responses.columns else F.lit(None).cast("string")
+    rows = responses.select(empty("record_id").alias("refers_to"), "target_uri", "date", empty("http_headers").alias("head"), empty("payload").alias("payload"), given("payload_digest").alias("digest"), given("block_digest").alias("whole"))
+    rows = rows.withColumn("digest", F.coalesce("digest", _digest(F.col("payload"))))
+    rows = rows.withColumn("whole", F.coalesce("whole", _digest(F.concat("head", F.lit(CRLF + CRLF), "payload"))))
     links = F.transform(F.regexp_extract_all("payload", F.lit(OUTLINKS), F.lit(1)), lambda u: F.regexp_replace(u, r"""^["']|["']$""", ""))
     fields = F.concat(
         F.lit("source-status: "), F.substring_index("head", CRLF, 1), F.lit(CRLF),
         F.array_join(F.transform(F.slice(F.split("head", CRLF), F.lit(2), F.greatest(F.lit(0), F.size(F.split("head", CRLF)) - 1)), lambda h: F.concat(F.lit("source-header: "), h, F.lit(CRLF))), ""),
-        F.lit("source-block-digest: "), _digest(F.concat("head", F.lit(CRLF + CRLF), "payload")), F.lit(CRLF),
+        F.lit("source-block-digest: "), F.col("whole"), F.lit(CRLF),
         F.lit("source-payload-digest: "), F.col("digest"), F.lit(CRLF),
         F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), u, F.lit(CRLF))), ""),
     )
@@ -110,27 +118,55 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     serialised(records).write.option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
 
 
+def records_of(f):
+    """(headers, block) of the records of an open WARC file; a length that is no number counts as 0."""
+    while line := f.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        head = {}
+        while line := f.readline().decode("utf-8", "replace").strip("\r\n"):
+            name, _, value = line.partition(":")
+            head[name.strip().lower()] = value.strip()
+        length = head.get("content-length", "")
+        yield head, f.read(int(length) if length.isdecimal() and len(length) < 16 else 0)
+
+
 def _parse(batches):
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([[*h.items()] for h, _ in rows], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in rows], pa.binary())], ["headers", "block"])
+
     for batch in batches:
-        for content in batch.column("content").to_pylist():
-            f = io.BytesIO(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
-            rows = []
-            while line := f.readline():
-                if not line.startswith(b"WARC/"):
-                    continue
-                head = {}
-                while (line := f.readline().decode("utf-8", "replace").strip("\r\n")):
-                    name, _, value = line.partition(":")
-                    head[name.strip().lower()] = value.strip()
-                rows.append((head, f.read(int(head.get("content-length", 0)))))
-            yield pa.RecordBatch.from_arrays([pa.array([[*h.items()] for h, _ in rows], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in rows], pa.binary())], ["headers", "block"])
+        for content in batch.column("content"):
+            raw = io.BytesIO(content.as_buffer())
+            rows, size = [], 0
+            for record in records_of(gzip.open(raw) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw):
+                rows.append(record)
+                size += len(record[1])
+                if size > READ_AT_ONCE:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            yield batch_of(rows)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """headers (map, lower-case names), block (binary) of the records of WARC files; a file is one task's."""
+    """headers (map, lower-case names), block (binary) of the records of WARC files.
+
+    A file, of 2 GB at most, is one task's, which holds the file as it is and
+    ``READ_AT_ONCE`` bytes of its records.
+    """
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, "headers map<string,string>, block binary")
 
 
+def responses(records: DataFrame) -> DataFrame:
+    """The response records among those of ``read_warc``, for ``derive``: the HTTP head goes up to the first empty line."""
+    rows = records.where(F.lower(F.element_at("headers", "warc-type")) == "response")
+    block = F.make_valid_utf8(F.col("block").cast("string"))
+    named = {"record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "block_digest": "warc-block-digest"}
+    rows = rows.select(*[F.try_element_at("headers", F.lit(name)).alias(c) for c, name in named.items()], F.locate(CRLF + CRLF, block).alias("end"), block.alias("text"))
+    head = F.when(F.col("end") > 0, F.expr("substring(text, 1, end - 1)")).otherwise(F.col("text"))
+    return rows.select(*named, head.alias("http_headers"), F.when(F.col("end") > 0, F.expr("substring(text, end + 4)")).alias("payload"))
+
+
 def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Page rows as response records."""
     head = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "])
