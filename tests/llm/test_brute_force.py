@@ -141,7 +141,7 @@ def _base_spans(text):
     digits = lambda s: re.sub("[^0-9]", "", s)
     rules = (
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p.lstrip("0")[-4:] or 0) <= 255 and len(p.lstrip("0")) < 4 for p in s.split("."))),
         ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(digits(s)) <= 19 and luhn(digits(s))),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(digits(s)) <= 15),
     )
@@ -149,7 +149,7 @@ def _base_spans(text):
     return [(k, a, b) for a, _, k, b in sorted(found)]
 
 
-ODD = ["a@b@c.de x@y.zz", "1.2.3.4.5.6.7.8 256.1.1.1", "4111 1111-1111 1111 4111111111111111x", "+1 (555) 123-4567 +12", "a.@b.c-d.e+f@g.h", "ftp://u:p@h.de/ iban DE89 3704 0044 0532 0130 00", "..1.1.1.1", "é@a.bé@c.d"]
+ODD = ["a@b@c.de x@y.zz", "1.2.3.4.5.6.7.8 256.1.1.1", "4111 1111-1111 1111 4111111111111111x", "+1 (555) 123-4567 +12", "a.@b.c-d.e+f@g.h", "ftp://u:p@h.de/ iban DE89 3704 0044 0532 0130 00", "..1.1.1.1", "é@a.bé@c.d", ".".join(["0" * 10_000 + "7"] * 4), "1.2.3." + "0" * 10_000 + "256", "9" * 100_000]
 
 
 def test_private_data(spark):
@@ -164,6 +164,33 @@ def test_private_data(spark):
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
 
 
+def _added_spans(text):
+    """Addresses and accounts by looking at every place of a text."""
+    found, past = [], 0
+    for at in range(len(text)):
+        for scheme in sorted(pii.SCHEMES, key=len):
+            user = re.match(r"[^\s/@\"'<>]+@[^\s\"'<>]+", text[at + len(scheme) :])
+            if at >= past and text[at : at + len(scheme)].lower() == scheme and user:
+                past = at + len(scheme) + user.end()
+                found.append(("address", at, past))
+                break
+    for m in re.finditer("(?i)(?:token|secret|api_key) = \"([0-9a-f]{40})\"", text):
+        found.append(("account", *m.span(1)))
+    return found
+
+
+def test_addresses_and_accounts():
+    rng, anchors = np.random.default_rng(5), pii.automaton()
+    parts = ["http://u:p@h.de/x", "HTTPS://me@h", "ftp://h.de/a@b", "jdbc:x:y@z", "jdbc:", "http://", "@", "a b", "\u0130", 'token = "%s"' % ("1a" * 20), 'ToKen = "%s"' % ("0f" * 20), 'token = "short1"', "\n", "'", " "]
+    for _ in range(400):
+        text = "".join(parts[i] for i in rng.integers(0, len(parts), 8))
+        got = [s for s in pii.spans(text, anchors) if s[0] in ("address", "account")]
+        assert sorted(got) == sorted(_added_spans(text)), text
+    for code, good in (("DE89 3704 0044 0532 0130 00", True), ("DE89370400440532013000", True), ("DE88370400440532013000", False), ("GB82WEST12345698765432", True)):
+        got = [s for s in pii.spans(f"IBAN: {code} end", anchors) if s[0] == "account"]
+        assert got == ([("account", 6, 6 + len(code))] if good else []), code
+
+
 def test_quality_counts(spark):
     documents = texts(spark) | {-1: "a b c a b c\n\na b c a b c\n \nx", -2: "# * $ %", -3: None}
     frame = spark.createDataFrame([*documents.items()], "doc_id long, text string")
@@ -181,12 +208,26 @@ def test_quality_counts(spark):
 def test_toxicity_on_held_out_rows(spark):
     sf = DATA.replace("0.001", "0.01")
     marks = {r.doc_id: r.toxic for r in common.table(spark, sf, "labels").collect()}
-    held = [(r.predicted, marks[r.doc_id]) for r in toxicity.op8_toxicity(spark, sf).collect() if r.held_out and r.doc_id in marks]
-    assert sum(p == y for p, y in held) >= 0.9 * len(held) > 0
+    held = [(r.predicted, marks[r.doc_id]) for r in toxicity.op8_toxicity(spark, sf).collect() if r.held_out and marks.get(r.doc_id) is not None]
+    hits = sum(p == y == 1 for p, y in held)
+    assert hits >= 0.6 * sum(y for _, y in held) > 0  # sf0.01 has 6 of them; the README has recall over more
+    assert hits >= 0.6 * sum(p for p, _ in held)
+    assert sum(p == y for p, y in held) >= 0.9 * len(held)
+
+
+def test_quality_verdict_on_held_out_labels(spark):
+    sf = DATA.replace("0.001", "0.01")
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels").where("quality is not null")
+    fold = "crc32(cast(doc_id as string)) % 7 = 3"  # apart from the fifths that fit and calibrate
+    model = quality.train(docs, labels.where(f"not ({fold})"))
+    marks = {r.doc_id: r.quality for r in labels.where(fold).collect()}
+    held = [(r.kept, marks[r.doc_id]) for r in quality.scored(docs, model).collect() if r.doc_id in marks]
+    good, bad = ([k for k, y in held if y == want] for want in (1, 0))
+    assert sum(good) >= 0.9 * len(good) > 0 and sum(bad) <= 0.1 * len(bad)
 
 
 def test_search_blocks_lose_nothing(spark):
-    vectors = topk.whole_vectors(common.table(spark, DATA, "embeddings"))
+    vectors = topk.numbered(topk.whole_vectors(common.table(spark, DATA, "embeddings")))
     asked = vectors.where("vec_id % 50 = 0")
     rows = lambda **k: sorted(map(tuple, topk.top_inner_products(vectors, asked, **k).collect()))
     assert rows() == rows(block=16, chunk=2)
