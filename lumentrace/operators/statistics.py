@@ -52,66 +52,138 @@ def normalised_time(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(extent), "run").select("run", "seq", F.round(at, 9).alias("rt"))  # a row for each run
 
 
-def clipped_line(rows: DataFrame, rounds: int = 5, sigmas: float = 3.0) -> DataFrame:
-    """Least-squares line of value on time in each run, refitted without rows beyond ``sigmas`` spreads."""
-    fit = None
+def clipped_line(rows: DataFrame, rounds: int = 5, sigmas: float = 3.0, least_sigma: float = 1e-9) -> DataFrame:
+    """Least-squares line of value on x in each run, with rows beyond ``sigmas`` spreads left out for good.
+
+    run, slope, intercept, n (rows left), cuts (the lines and distances that
+    rows must keep).  A run is refitted after each of ``rounds`` cuts; it is
+    done when its spread is below ``least_sigma``, and has all its rows back,
+    under the line before, where fewer than two would be left.
+    """
+    line = lambda df: df.groupBy("run").agg(F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"), F.count("*").alias("n"))
+    none = F.array().cast("array<struct<slope:double,intercept:double,most:double>>")
+    state = cut_lineage(line(rows).withColumns({"cuts": none, "done": F.lit(False)}))
     for _ in range(rounds):
-        kept = rows
-        if fit is not None:
-            near = rows.join(F.broadcast(fit), "run")  # a row for each run
-            kept = near.where(F.abs(F.col("value") - F.col("slope") * F.col("seq") - F.col("intercept")) <= sigmas * F.col("sigma"))
-        line = kept.groupBy("run").agg(
-            F.regr_slope("value", "seq").alias("slope"),
-            F.regr_intercept("value", "seq").alias("intercept"),
-            (F.regr_syy("value", "seq") - F.regr_slope("value", "seq") * F.regr_sxy("value", "seq")).alias("rest"),
-            F.count("*").alias("n"),
-        )
-        # The residuals of a line with an intercept average 0: their spread follows from the same sums.
-        fit = cut_lineage(line.select("run", "slope", "intercept", F.sqrt(F.greatest(F.lit(0.0), "rest") / F.nullif(F.col("n") - 1, F.lit(0))).alias("sigma"), "n"))
-    return fit.select("run", F.round("slope", 5).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("sigma", 2).alias("sigma"), "n")
-
-
-def spread_bins(rows: DataFrame, bins: int = 12, prior: int = 20, floor: float = 0.25) -> DataFrame:
-    """Spread of values in equal bins of normalised time, shrunk to the run's."""
-    extent = rows.groupBy("run").agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.var_samp("value").alias("whole"))
-    rt = (F.col("seq") - F.col("low")) / F.greatest(F.lit(1), F.col("high") - F.col("low"))
-    binned = rows.join(F.broadcast(extent), "run").withColumn("bin", F.least(F.lit(bins - 1), F.floor(rt * bins)))
-    out = binned.groupBy("run", "bin", "whole").agg(F.count("*").alias("n"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("own"))
-    variance = ((F.col("n") - 1) * F.col("own") + prior * F.col("whole")) / (F.col("n") - 1 + prior)
-    return out.select("run", "bin", "n", F.round(F.greatest(F.sqrt(variance), floor * F.sqrt("whole")), 2).alias("sigma"))
+        kept = kept_rows(rows, state)
+        spread = kept.groupBy("run").agg(F.stddev_samp(F.col("value") - F.col("slope") * F.col("x") - F.col("intercept")).alias("sigma"))
+        state = state.join(F.broadcast(spread), "run", "left")  # a row for each run, here and below
+        state = state.withColumn("done", F.col("done") | F.coalesce(F.col("sigma") < least_sigma, F.lit(True)))
+        cut = F.struct("slope", "intercept", (sigmas * F.col("sigma")).alias("most"))
+        state = cut_lineage(state.withColumn("cuts", F.when(F.col("done"), F.col("cuts")).otherwise(F.concat("cuts", F.array(cut)))))
+        fresh = line(kept_rows(rows, state)).select("run", F.struct("slope", "intercept", "n").alias("new"))
+        state = state.join(F.broadcast(fresh), "run", "left").withColumn("few", ~F.col("done") & (F.coalesce("new.n", F.lit(0)) < 2))
+        take = ~F.col("done") & ~F.col("few")
+        state = state.select(
+            "run", *[F.when(take, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("slope", "intercept")],
+            F.when(take, F.col("new.n")).otherwise(F.col("n")).alias("n"),
+            F.when(F.col("few"), none).otherwise(F.col("cuts")).alias("cuts"), (F.col("done") | F.col("few")).alias("done"),
+        )
+        state = cut_lineage(state)
+    whole = rows.groupBy("run").agg(F.count("*").alias("whole"))
+    return state.join(F.broadcast(whole), "run").select("run", "slope", "intercept", F.when(F.size("cuts") == 0, F.col("whole")).otherwise(F.col("n")).alias("n"), "cuts")
+
+
+def kept_rows(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows`` that keep all cuts of their run's line, with that line's slope and intercept."""
+    near = rows.join(F.broadcast(lines.select("run", "slope", "intercept", "cuts")), "run")  # a row for each run
+    return near.where(F.forall("cuts", lambda c: F.abs(F.col("value") - c.slope * F.col("x") - c.intercept) <= c.most))
+
+
+def spread_bins(rows: DataFrame, bins: int = 12, prior: float = 20.0, floor: float = 0.25) -> DataFrame:
+    """run, bin, n, sigma: spread of ``residual`` in equal bins of ``x`` (0 to 1), shrunk to the run's; empty bins too.
+
+    No rows where a run has fewer than two residuals or no spread.
+    """
+    whole = rows.groupBy("run").agg(F.var_samp("residual").alias("whole")).where(F.col("whole") > 0)
+    at = F.least(F.lit(bins - 1), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x"))) * bins)).cast("int")
+    own = rows.groupBy("run", at.alias("bin")).agg(F.count("*").alias("n"), F.coalesce(F.var_samp("residual"), F.lit(0.0)).alias("own"))
+    each = whole.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = each.join(own, ["run", "bin"], "left").withColumns({"n": F.coalesce("n", F.lit(0)).cast("long"), "own": F.coalesce("own", F.lit(0.0))})
+    variance = (F.col("n") * F.col("own") + prior * F.col("whole")) / (F.col("n") + prior)
+    return out.select("run", "bin", "n", F.greatest(F.sqrt(variance), floor * F.sqrt("whole")).alias("sigma"))
+
+
+def _prefix_sums(counts: DataFrame, order: str, values: list[str], slices: int = 256) -> DataFrame:
+    """``counts`` with the sums of ``values`` from the greatest ``order`` down to each row (``upto_`` them).
+
+    Two levels: rows are cut into ranges of ``order`` by sampled quantiles,
+    ranges are summed (``slices`` rows) and each range is cumulated by itself,
+    so no task sees more than a range.  ``range`` (0 is the top) stays.
+    """
+    cuts = counts.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 20 * slices)).first()[0] or []
+    cuts = sorted({float(c) for c in cuts})
+    ranged = counts.withColumn("range", F.lit(len(cuts)) - F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(order))))
+    ranged = cut_lineage(ranged)
+    totals = ranged.groupBy("range").agg(*[F.sum(v).alias(f"all_{v}") for v in values])
+    above = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    totals = totals.select("range", *[F.coalesce(F.sum(f"all_{v}").over(above), F.lit(0)).alias(f"above_{v}") for v in values])
+    inside = Window.partitionBy("range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(totals), "range")
+    return out.withColumns({f"upto_{v}": F.col(f"above_{v}") + F.sum(v).over(inside) for v in values}).drop(*[f"above_{v}" for v in values])
+
+
+def _least_from_below(ranged: DataFrame, order: str, value: str) -> DataFrame:
+    """``ranged`` (of ``_prefix_sums``) with ``least``, the least ``value`` among rows at or below each in ``order``."""
+    ends = ranged.groupBy("range").agg(F.min(value).alias("own"))
+    below = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    ends = ends.select("range", F.min("own").over(below).alias("below"))
+    inside = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(ends), "range").withColumn("least", F.least(F.min(value).over(inside), F.col("below")))
 
 
 def target_decoy_q(rows: DataFrame, conservative: bool = False) -> DataFrame:
-    """q of each score: decoys over targets at or above it, then the least at or below; capped at 1.
+    """q of each entry (id, score, decoy): decoys over targets at or above it, then the least at or below; 1 at most.
 
-    Ties share a block; ``conservative`` counts one decoy more.  Scores are
-    counted first, so the window runs over distinct scores, not rows.
+    Entries of one score are ordered by id, as separate ranks; under
+    ``conservative`` they share a block, and one decoy more is counted.  Decoys'
+    q is 1.  Scores are counted first; blocks of one score are ranked apart.
     """
+    rows = cut_lineage(rows.select("id", F.col("score").cast("double").alias("score"), "decoy"))
     counts = rows.groupBy("score").agg(F.count_if(~F.col("decoy")).alias("t"), F.count_if("decoy").alias("d"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rate = F.least(F.lit(1.0), (F.sum("d").over(down) + int(conservative)) / F.greatest(F.lit(1), F.sum("t").over(down)))
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("rate", rate).select("score", "t", "d", F.round(F.min("rate").over(up), 9).alias("q"))
+    blocks = _prefix_sums(counts, "score", ["t", "d"])
+    if conservative:
+        blocks = blocks.withColumn("rate", F.least(F.lit(1.0), (F.col("upto_d") + 1) / F.greatest(F.lit(1), F.col("upto_t"))))
+        blocks = _least_from_below(blocks.withColumn("rate", F.when(F.col("t") > 0, F.col("rate")).otherwise(1.0)), "score", "rate")
+        out = rows.join(blocks.select("score", "least"), "score").withColumn("q", F.col("least"))
+    else:
+        inside = Window.partitionBy("score").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+        ranks = rows.join(blocks.select("score", "range", (F.col("upto_t") - F.col("t")).alias("t0"), (F.col("upto_d") - F.col("d")).alias("d0")), "score")
+        ranks = ranks.withColumns({"nt": F.col("t0") + F.sum((~F.col("decoy")).cast("int")).over(inside), "nd": F.col("d0") + F.sum(F.col("decoy").cast("int")).over(inside)})
+        ranks = ranks.withColumn("rate", F.when(~F.col("decoy"), F.least(F.lit(1.0), F.col("nd") / F.col("nt"))).otherwise(1.0))
+        worst = _least_from_below(ranks.groupBy("range", "score").agg(F.min("rate").alias("rate")), "score", "rate")
+        before = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ranks.groupBy("range").agg(F.min("rate").alias("own")).select("range", F.min("own").over(Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)).alias("far"))
+        worse = worst.join(F.broadcast(ends), "range").select("score", F.least(F.min("rate").over(before), F.col("far")).alias("lower"))
+        after = Window.partitionBy("score").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+        out = ranks.join(worse, "score").withColumn("q", F.least(F.min("rate").over(after), F.col("lower"), F.lit(1.0)))
+    return out.select("id", "score", "decoy", F.when(F.col("decoy"), 1.0).otherwise(F.coalesce("q", F.lit(1.0))).alias("q"))
 
 
 def group_q(scores: DataFrame, nulls: DataFrame, cohorts: int) -> DataFrame:
-    """(1 + null scores at or above / cohorts) / rank of each score, made monotone; zero scores get 1."""
-    counts = scores.groupBy("score").agg(F.count("*").alias("n"), F.lit(0).alias("m")).union(nulls.groupBy("score").agg(F.lit(0), F.count("*"))).groupBy("score").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rate = F.least(F.lit(1.0), (1 + F.sum("m").over(down) / cohorts) / F.greatest(F.lit(1), F.sum("n").over(down)))
-    up = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    found = counts.withColumn("rate", rate).withColumn("q", F.min("rate").over(up)).where("n > 0")
-    return found.select("score", "n", F.round(F.when(F.col("score") <= 0, 1.0).otherwise(F.col("q")), 9).alias("q"))
+    """score, n, q: (1 + null scores at or above / cohorts) / rank of each block of equal scores, made monotone; zero scores get 1."""
+    of = lambda df, n, m: df.groupBy(F.col("score").cast("double").alias("score")).agg(n.alias("n"), m.alias("m"))
+    zero = F.lit(0).cast("long")
+    counts = of(scores, F.count("*"), F.max(zero)).union(of(nulls, F.max(zero), F.count("*"))).groupBy("score").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    ranked = _prefix_sums(counts, "score", ["n", "m"])
+    rate = F.when((F.col("n") > 0) & (F.col("score") > 0), F.least(F.lit(1.0), (1 + F.col("upto_m") / cohorts) / F.col("upto_n"))).otherwise(1.0)
+    found = _least_from_below(ranked.withColumn("rate", rate), "score", "rate").where("n > 0")
+    return found.select("score", "n", F.when(F.col("score") <= 0, 1.0).otherwise(F.col("least")).alias("q"))
 
 
 def median_ratio(cells: DataFrame) -> DataFrame:
-    """log2 factor of each run: median distance from the row means over rows that every run has, centred."""
+    """log2 factor of each run: median distance above the row means over rows that every run has, less the median run's."""
     n_runs = cells.select("run").distinct().agg(F.count("*").alias("n_runs"))
     full = cells.where("intensity > 0").withColumn("x", F.log2(F.col("intensity").cast("double")))
     rows = full.groupBy("row").agg(F.count("*").alias("n"), F.avg("x").alias("mean")).join(F.broadcast(n_runs), F.col("n") == F.col("n_runs")).select("row", "mean")
-    factors = full.join(rows, "row").groupBy("run").agg(F.percentile(F.col("mean") - F.col("x"), 0.5).alias("f"))
-    centre = factors.agg(F.avg("f").alias("centre"))
-    return factors.join(F.broadcast(centre)).select("run", F.round(F.col("f") - F.col("centre"), 6).alias("factor"))
+    factors = full.join(rows, "row").groupBy("run").agg(F.percentile(F.col("x") - F.col("mean"), 0.5).alias("f"))
+    every = cells.select("run").distinct().join(factors, "run", "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
+    return every.join(F.broadcast(every.agg(F.percentile("f", 0.5).alias("centre")))).select("run", (F.col("f") - F.col("centre")).alias("factor"))
+
+
+def normalised(cells: DataFrame, factors: DataFrame) -> DataFrame:
+    """``cells``, targets and decoys, with intensities divided by 2^factor of their run."""
+    scaled = F.col("intensity") / F.pow(F.lit(2.0), F.coalesce("factor", F.lit(0.0)))
+    return cells.join(F.broadcast(factors), "run", "left").withColumn("intensity", scaled).drop("factor")
 
 
 def run_names(rows: DataFrame, most: int = 1000) -> list[str]:
@@ -146,28 +218,59 @@ def run_report(found: DataFrame) -> DataFrame:
 
 
 def recalibration_surface(rows: DataFrame, mz_bins: int = 20, rt_bins: int = 8, least: int = 50) -> DataFrame:
-    """Median and scaled MAD of ``residual`` in each (mz, rt) cell, each mz column and overall; only of ``least`` rows or more.
+    """Median and scaled MAD of ``residual`` in each (mz, rt) cell of ``least`` rows or more, each mz column and overall.
 
-    A column has rt_bin -1, the whole has -1 for both.  Medians go out again
-    by broadcast: a row for each cell, ``mz_bins * (rt_bins + 1) + 1`` at most.
+    A column has rt_bin -1, the whole has -1 for both; extents stay in mz_low,
+    mz_high, rt_low, rt_high.  No rows where there are fewer than ``least``.
+    Medians go out again by broadcast: a row for each cell,
+    ``mz_bins * (rt_bins + 1) + 1`` at most.
     """
-    extent = rows.agg(F.min("mz").alias("mz_low"), F.max("mz").alias("mz_high"), F.min("rt").alias("rt_low"), F.max("rt").alias("rt_high"))
-    binned = lambda x, n: F.least(F.lit(n - 1), F.floor((F.col(x) - F.col(f"{x}_low")) * n / F.greatest(F.lit(1), F.col(f"{x}_high") - F.col(f"{x}_low")))).cast("int")
-    cells = rows.join(F.broadcast(extent)).select(binned("mz", mz_bins).alias("mz_bin"), binned("rt", rt_bins).alias("rt_bin"), "residual")
+    extent = rows.agg(F.min("mz").alias("mz_low"), F.max("mz").alias("mz_high"), F.min("rt").alias("rt_low"), F.max("rt").alias("rt_high"), F.count("*").alias("whole")).where(F.col("whole") >= least)
+    cells = rows.join(F.broadcast(extent)).select(surface_bin("mz", mz_bins).alias("m"), surface_bin("rt", rt_bins).alias("r"), "residual")
     none = F.lit(-1)
-    centre = cells.rollup("mz_bin", "rt_bin").agg(F.count("*").alias("n"), F.percentile("residual", 0.5).alias("centre")).where(F.col("n") >= least)
-    centre = centre.withColumns({"mz_bin": F.coalesce("mz_bin", none), "rt_bin": F.coalesce("rt_bin", none)})
-    levels = F.array(F.struct(F.col("mz_bin").alias("m"), F.col("rt_bin").alias("r")), F.struct(F.col("mz_bin").alias("m"), none.alias("r")), F.struct(none.alias("m"), none.alias("r")))
-    each = cells.select("residual", F.inline(levels))
-    near = each.join(F.broadcast(centre), (F.col("m") == F.col("mz_bin")) & (F.col("r") == F.col("rt_bin")))
-    return near.groupBy("mz_bin", "rt_bin", "n", "centre").agg(F.round(1.4826 * F.percentile(F.abs(F.col("residual") - F.col("centre")), 0.5), 6).alias("spread"))
+    levels = F.array(F.struct(F.col("m").alias("mz_bin"), F.col("r").alias("rt_bin")), F.struct(F.col("m").alias("mz_bin"), none.alias("rt_bin")), F.struct(none.alias("mz_bin"), none.alias("rt_bin")))
+    each = cells.select(F.col("residual").cast("double").alias("residual"), F.inline(levels))
+    centre = medians(each, ["mz_bin", "rt_bin"], "residual").withColumnRenamed("median", "centre").where((F.col("rt_bin") < 0) | (F.col("n") >= least))
+    off = each.join(F.broadcast(centre), ["mz_bin", "rt_bin"]).select("mz_bin", "rt_bin", F.abs(F.col("residual") - F.col("centre")).alias("off"))
+    spread = medians(off, ["mz_bin", "rt_bin"], "off").select("mz_bin", "rt_bin", F.when(F.col("n") < 2, 0.0).otherwise(1.4826 * F.col("median")).alias("spread"))
+    return centre.join(spread, ["mz_bin", "rt_bin"]).join(F.broadcast(extent.drop("whole")))
+
+
+def surface_bin(axis: str, n: int) -> F.Column:
+    """Bin of a row on an axis whose extent is in ``<axis>_low`` and ``<axis>_high``; rows beyond go to the edge bins."""
+    span = F.greatest(F.lit(1e-9), (F.col(f"{axis}_high") - F.col(f"{axis}_low")).cast("double")) * (1 + 1e-9)
+    return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(axis) - F.col(f"{axis}_low")) * n / span))).cast("int")
+
+
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, median (midpoint of the middle two) of each group, however large.
+
+    Values are counted and spread over hash-free ranges of their group, the
+    ranges' counts tell which one holds the middle, and only its rows are ranked.
+    """
+    counts = rows.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    counts = cut_lineage(counts)
+    cuts = counts.groupBy(*keys).agg(F.sum("c").alias("n"), F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
+    counts = counts.join(cuts, keys).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("v"))))
+    sizes = counts.groupBy(*keys, "range", "n").agg(F.sum("c").alias("size"))
+    upto = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # 64 rows a group
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    sizes = sizes.withColumn("end", F.sum("size").over(upto)).withColumn("begin", F.col("end") - F.col("size")).where((F.col("end") > low) & (F.col("begin") <= high))
+    inside = Window.partitionBy(*keys, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    held = counts.select(*keys, "range", "v", "c").join(sizes.select(*keys, "range", "n", "begin"), [*keys, "range"]).withColumn("last", F.col("begin") + F.sum("c").over(inside))
+    return held.groupBy(*keys, "n").agg(((F.min(F.when(F.col("last") > low, F.col("v"))) + F.min(F.when(F.col("last") > high, F.col("v")))) / 2).alias("median"))
 
 
 def noise_floor(found: DataFrame, share: float = 0.05, factor: float = 0.8) -> DataFrame:
-    """``factor`` times the apex at the ``share`` of each run's sorted apexes; apexes are counted before they are ranked."""
-    counts = found.groupBy("run", "apex").agg(F.count("*").alias("n"))
-    whole, upto = Window.partitionBy("run"), Window.partitionBy("run").orderBy("apex").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumns({"at": F.floor(F.sum("n").over(whole) * share), "upto": F.sum("n").over(upto)})
+    """``factor`` times the apex at the ``share`` of each run's sorted apexes; apexes are counted and cut into ranges before they are ranked."""
+    counts = cut_lineage(found.groupBy("run", F.col("apex").cast("double").alias("apex")).agg(F.count("*").alias("n")))
+    cuts = counts.groupBy("run").agg(F.floor(F.sum("n") * share).alias("at"), F.percentile_approx("apex", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
+    counts = counts.join(F.broadcast(cuts), "run").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("apex"))))  # a row for each run
+    upto = Window.partitionBy("run").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # 64 rows a run
+    sizes = counts.groupBy("run", "range", "at").agg(F.sum("n").alias("size")).withColumn("end", F.sum("size").over(upto))
+    sizes = sizes.where((F.col("end") > F.col("at")) & (F.col("end") - F.col("size") <= F.col("at"))).select("run", "range", (F.col("end") - F.col("size")).alias("begin"))
+    inside = Window.partitionBy("run", "range").orderBy("apex").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(F.broadcast(sizes), ["run", "range"]).withColumn("upto", F.col("begin") + F.sum("n").over(inside))
     return ranked.where(F.col("upto") > F.col("at")).groupBy("run").agg(F.round(F.min("apex") * factor, 3).alias("floor"))
 
 

@@ -1,8 +1,8 @@
 """Traces: peaks of a channel in consecutive scans, and what is measured on them.
 
 A trace ends when more than ``max_gap`` scans in a row lack a peak, and counts
-if it has ``min_scans`` peaks.  Everything is a window over (channel, scan), so
-one shuffle by channel serves detection and measurement.
+if it has ``min_scans`` peaks.  Peaks are shuffled by channel once; measures
+work on a trace's profile array, with 0 in the scans that lack a peak.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrace.functions.binding import bound
+
 MAX_GAP, MIN_SCANS = 1, 3
 
 
 def members(peaks: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
     """``peaks`` with ``trace``, the number of the trace in its channel."""
+    peaks = peaks.repartition("channel")  # all windows and groups below go by channel first
     by_scan = Window.partitionBy("channel").orderBy("scan")
     opens = F.coalesce(F.col("scan") - F.lag("scan").over(by_scan) > max_gap + 1, F.lit(True)).cast("int")
     return peaks.withColumn("opens", opens).withColumn("trace", F.sum("opens").over(by_scan.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("opens")
@@ -67,60 +70,92 @@ def filled(peaks: DataFrame) -> DataFrame:
     return whole.withColumn("smooth", F.round(F.avg("value").over(near), 4)).withColumn("value", F.round("value", 4))
 
 
+def profiles(peaks: DataFrame, max_gap: int = MAX_GAP, min_scans: int = MIN_SCANS) -> DataFrame:
+    """channel, trace, scan_start, scan_end, profile (intensities from the first scan to the last, 0 in gaps)."""
+    by_scan = Window.partitionBy("channel", "trace").orderBy("scan")
+    rows = members(peaks, max_gap).withColumn("gap", F.coalesce(F.col("scan") - F.lag("scan").over(by_scan) - 1, F.lit(0)))
+    found = rows.groupBy("channel", "trace").agg(F.min("scan").alias("scan_start"), F.max("scan").alias("scan_end"), F.sort_array(F.collect_list(F.struct("scan", "gap", F.col("intensity").cast("double").alias("v")))).alias("points"))
+    whole = F.flatten(F.transform("points", lambda p: F.concat(F.array_repeat(F.lit(0.0), p.gap), F.array(p.v))))
+    return found.where(F.size("points") >= min_scans).select("channel", "trace", "scan_start", "scan_end", whole.alias("profile"))
+
+
+def last_peak(profile) -> F.Column:
+    """Index of the last greatest value."""
+    return F.size(profile) - F.array_position(F.reverse(profile), F.array_max(profile)).cast("int")
+
+
+def shape_score(profile) -> F.Column:
+    """Share of steps that rise to the (last) apex or fall from it; ties count, and 1 where there are no steps."""
+    good = lambda i, apex: F.when(i < apex, F.get(profile, i) <= F.get(profile, i + 1)).otherwise(F.get(profile, i) >= F.get(profile, i + 1))
+    right = bound(last_peak(profile), lambda apex: F.size(F.filter(F.sequence(F.lit(0), F.size(profile) - 2), lambda i: good(i, apex))))
+    return F.when(F.size(profile) < 2, 1.0).otherwise(right / (F.size(profile) - 1))
+
+
 def shape(peaks: DataFrame) -> DataFrame:
-    """Share of steps that rise to the apex or fall from it (ties count); 1 for a lone peak."""
-    rows = members(peaks)
-    whole, by_scan = Window.partitionBy("channel", "trace"), Window.partitionBy("channel", "trace").orderBy("scan")
-    rows = rows.withColumn("apex", F.max(F.struct("intensity", "scan")).over(whole).getField("scan")).withColumn("before", F.lag("intensity").over(by_scan))
-    good = F.when(F.col("before").isNull(), None).when(F.col("scan") <= F.col("apex"), F.col("intensity") >= F.col("before")).otherwise(F.col("intensity") <= F.col("before"))
-    out = rows.groupBy("channel", "trace").agg(F.count("*").alias("n"), F.coalesce(F.avg(good.cast("int")), F.lit(1.0)).alias("shape"))
-    return out.where(F.col("n") >= MIN_SCANS).select("channel", "trace", F.round("shape", 6).alias("shape"))
+    return profiles(peaks).select("channel", "trace", F.round(shape_score(F.col("profile")), 6).alias("shape"))
 
 
-def estimators(peaks: DataFrame) -> DataFrame:
-    """Sum of the five greatest peaks, best sum of five in a row, and the parabolic apex height."""
-    rows = members(peaks)
-    whole, by_scan = Window.partitionBy("channel", "trace"), Window.partitionBy("channel", "trace").orderBy("scan")
-    rows = (
-        rows.withColumn("nth", F.row_number().over(whole.orderBy(F.desc("intensity"), "scan")))
-        .withColumn("five", F.sum("intensity").over(by_scan.rowsBetween(-4, 0)))
-        .withColumn("a", F.lag("intensity").over(by_scan)).withColumn("c", F.lead("intensity").over(by_scan))
-        .withColumn("apex", F.max(F.struct("intensity", "scan")).over(whole).getField("scan"))
-    )
-    a, b, c = F.col("a").cast("double"), F.col("intensity").cast("double"), F.col("c").cast("double")
+def parabolic_apex(profile) -> F.Column:
+    """Height of the parabola through the first greatest value and its neighbours, where it bends down."""
+    at = F.array_position(profile, F.array_max(profile)).cast("int") - 1
+    a, b, c = (F.get(profile, at + i) for i in (-1, 0, 1))
     bend = a - 2 * b + c
-    height = F.when(F.col("scan") == F.col("apex"), F.when(a.isNotNull() & c.isNotNull() & (bend < 0), b - (a - c) * (a - c) / (8 * bend)).otherwise(b))
-    out = rows.groupBy("channel", "trace").agg(F.count("*").alias("n"), F.sum(F.when(F.col("nth") <= 5, F.col("intensity"))).alias("scattered5"), F.max("five").alias("consecutive5"), F.round(F.max(height), 3).alias("parabolic"))
-    return out.where(F.col("n") >= MIN_SCANS).drop("n")
+    inside = (at > 0) & (at + 1 < F.size(profile)) & (bend < 0)
+    return F.when(inside, b - (c - a) * (c - a) / (8 * bend)).otherwise(b)
+
 
+def _sum(values):
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
-def overlapping(found: DataFrame, tolerance: float, min_overlap: int = 3) -> DataFrame:
+
+def estimators(peaks: DataFrame) -> DataFrame:
+    """Sum of the five greatest scans, best sum of five scans in a row, and the parabolic apex height."""
+    p, width = F.col("profile"), F.least(F.lit(5), F.size("profile"))
+    rows = F.transform(F.sequence(F.lit(1), F.size(p) - width + 1), lambda i: _sum(F.slice(p, i, width)))
+    scattered = _sum(F.slice(F.sort_array(p, False), 1, 5))
+    return profiles(peaks).select("channel", "trace", F.round(scattered, 3).alias("scattered5"), F.round(F.array_max(rows), 3).alias("consecutive5"), F.round(parabolic_apex(p), 3).alias("parabolic"))
+
+
+def overlapping(found: DataFrame, tolerance: float, min_overlap: int = 3, scans_a_slice: int = 64) -> DataFrame:
     """Pairs of traces whose apexes' intensities lie within a relative band and whose scans overlap.
 
-    Bucketed band join: logarithmic buckets of the band's width; a trace meets
-    its own bucket and the next, so the join is an equi-join on buckets.
+    An equi-join on (bucket, slice): logarithmic buckets of the band's width, of
+    which a trace meets its own and the next two, and slices of the scan axis,
+    of which a trace is in all that it crosses; a pair counts in the first slice
+    that both are in.
     """
     import math
 
     width = math.log1p(tolerance)
     bucket = F.floor(F.log("intensity_max") / width)
-    left = found.select(F.col("channel").alias("channel_a"), F.col("trace").alias("trace_a"), F.col("intensity_max").alias("x"), F.col("scan_start").alias("s"), F.col("scan_end").alias("e"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    right = found.select(F.col("channel").alias("channel_b"), F.col("trace").alias("trace_b"), F.col("intensity_max").alias("y"), F.col("scan_start").alias("s2"), F.col("scan_end").alias("e2"), bucket.alias("bucket"))
+    slice_of = lambda c: F.floor(F.col(c) / scans_a_slice)
+    slices = F.explode(F.sequence(slice_of("scan_start"), slice_of("scan_end"))).alias("slice")
+    left = found.select(F.col("channel").alias("channel_a"), F.col("trace").alias("trace_a"), F.col("intensity_max").alias("x"), F.col("scan_start").alias("s"), F.col("scan_end").alias("e"), bucket.alias("b"), slices)
+    left = left.withColumn("bucket", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))).drop("b")
+    right = found.select(F.col("channel").alias("channel_b"), F.col("trace").alias("trace_b"), F.col("intensity_max").alias("y"), F.col("scan_start").alias("s2"), F.col("scan_end").alias("e2"), bucket.alias("bucket"), slices)
     overlap = F.least("e", "e2") - F.greatest("s", "s2") + 1
-    pairs = left.join(right, "bucket").where((F.col("y") >= F.col("x")) & (F.col("y") <= F.col("x") * (1 + tolerance)) & (overlap >= min_overlap) & (F.struct("channel_a", "trace_a") != F.struct("channel_b", "trace_b")))
+    first = F.col("slice") == F.floor(F.greatest("s", "s2") / scans_a_slice)
+    pairs = left.join(right, ["bucket", "slice"]).where(first & (F.col("y") >= F.col("x")) & (F.col("y") <= F.col("x") * (1 + tolerance)) & (overlap >= min_overlap) & (F.struct("channel_a", "trace_a") != F.struct("channel_b", "trace_b")))
     return pairs.select("channel_a", "trace_a", "channel_b", "trace_b", overlap.alias("overlap"))
 
 
-def coelution(peaks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Cosine of the profiles of paired traces: dot product over shared scans by the full norms."""
-    rows = members(peaks).select("channel", "trace", "scan", F.col("intensity").cast("double").alias("v"))
-    norms = rows.groupBy("channel", "trace").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    side = lambda df, i, v: df.select(F.col("channel").alias(f"channel_{i}"), F.col("trace").alias(f"trace_{i}"), *[F.col(c).alias(n) for c, n in v])
-    dots = pairs.join(side(rows, "a", [("scan", "scan"), ("v", "u")]), ["channel_a", "trace_a"]).join(side(rows, "b", [("scan", "scan"), ("v", "w")]), ["channel_b", "trace_b", "scan"], "left")
-    keys = ["channel_a", "trace_a", "channel_b", "trace_b"]
-    dots = dots.groupBy(*keys).agg(F.coalesce(F.sum(F.col("u") * F.col("w")), F.lit(0.0)).alias("dot"))
-    out = dots.join(side(norms, "a", [("norm", "na")]), ["channel_a", "trace_a"]).join(side(norms, "b", [("norm", "nb")]), ["channel_b", "trace_b"])
-    return out.select(*keys, F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
+def elution_cosine(p, q, p_start, q_start, min_overlap: int = 1) -> F.Column:
+    """Dot product of two profiles over their shared scans by their whole norms; 0 below ``min_overlap`` shared scans."""
+    start = F.greatest(p_start, q_start)
+    shared = F.least(p_start + F.size(p), q_start + F.size(q)) - start
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    part = lambda a, a_start: F.slice(a, start - a_start + 1, F.greatest(shared, F.lit(1)))
+    dot = _sum(F.zip_with(part(p, p_start), part(q, q_start), lambda x, y: x * y))
+    whole = norm(p) * norm(q)
+    return F.when((shared < min_overlap) | (whole <= 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / whole)))
+
+
+def coelution(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cosine of the profiles of paired traces; ``found`` as from ``profiles``, joined by id."""
+    side = lambda i: found.select(F.col("channel").alias(f"channel_{i}"), F.col("trace").alias(f"trace_{i}"), F.col("scan_start").alias(f"start_{i}"), F.col("profile").alias(f"profile_{i}"))
+    both = pairs.join(side("a"), ["channel_a", "trace_a"]).join(side("b"), ["channel_b", "trace_b"])
+    cosine = elution_cosine(F.col("profile_a"), F.col("profile_b"), F.col("start_a"), F.col("start_b"))
+    return both.select("channel_a", "trace_a", "channel_b", "trace_b", F.round(cosine, 6).alias("cosine"))
 
 
 def median_of_three(peaks: DataFrame) -> DataFrame:
