@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumentrace.operators import chains, isotopes, tracking
+from lumentrace.operators import alignment, chains, consensus, isotopes, quantification, targets, tracking
 from lumentrace.sources.adapters import table
 
 PPM, MAX_GAP, MIN_SCANS, CHARGE = 10.0, 1, 3, 2
@@ -66,8 +66,53 @@ def _best_sulfur(spark, d):
     return best.select("id", F.round("b.score", 9).alias("score"), F.col("b.sulfur").alias("sulfur"))
 
 
+#: Middle and half width of the extraction window, in weeks; half weeks keep scans off the columns' borders.
+MIDDLE, HALF, RUNGS = 1300.5, 50.0, [10, 20, 30]
+
+
+def _grid(spark, d):
+    found = hills(spark, d).withColumn("run", F.col("channel").cast("string"))
+    each = found.select("run").distinct().withColumn("cell_id", F.explode(F.array(*map(F.lit, RUNGS))))
+    mz = 500 + F.col("cell_id") * F.lit(isotopes.NEUTRON / CHARGE)
+    cells = each.select("cell_id", "run", F.lit(False).alias("decoy"), mz.alias("mz"), F.lit(CHARGE).alias("charge"), F.lit(MIDDLE).alias("rt"), F.lit(0.0).alias("im"))
+    rows = quantification.grids(cells, found, quantification.Extraction(ppm=PPM, half_window=HALF))
+    return rows.select("run", "cell_id", "iso", F.round("winner_mz", 6).alias("winner_mz"), F.posexplode("grid").alias("col", "v")).where("v > 0")
+
+
+def _run_features(spark, d):
+    """Parts as the features of run a; every third of them a little heavier and later as those of run b."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_retailprice").cast("double").alias("mz"), (F.col("p_size") % 3 + 1).cast("int").alias("charge"), F.col("p_size").cast("double").alias("rt"))
+    rows = part.withColumns({"run": F.lit("a"), "im": F.lit(0.0), "score": F.lit(0.9)})
+    second = rows.where("feature_id % 3 = 0").withColumns({"run": F.lit("b"), "mz": F.col("mz") + F.lit(0.001), "rt": F.col("rt") + 1})
+    return rows.unionByName(second)
+
+
+def _candidates(spark, d):
+    pairs = alignment.anchor_candidates(_run_features(spark, d), "a", alignment.Warping(anchor_ppm=5.0, rt_window=0.05))
+    return pairs.select("run", "charge", "ref_id", "run_id", F.round("ref_rt", 9).alias("ref_rt"), F.round("run_rt", 9).alias("run_rt"))
+
+
+def _groups(spark, d):
+    rows = consensus.projected(_run_features(spark, d).withColumns({"ref_mz": F.col("mz"), "ref_rt": F.col("rt")}))
+    return consensus.groups(consensus.clusters(rows)).select("charge", "group_id", "mass", "rt", "n_members", "n_runs", "group_score")
+
+
+def _targets(spark, d):
+    rows = table(spark, d, "events").select(
+        F.col("event_type").alias("run"), (F.col("user_id") % 40).cast("string").alias("peptide"), (F.col("event_id") % 2 + 2).cast("int").alias("charge"), (F.lit(900.0) + F.col("user_id") % 40).alias("mass"),
+        F.col("event_id").cast("double").alias("rt"), (F.col("value") % 1).alias("q"), F.lit(None).cast("double").alias("im"), F.col("event_id").alias("row"),
+    )
+    found = targets.build(rows, rt_span=1e9)
+    return found.select("peptide", "charge", "mass", F.round("mz", 6).alias("mz"), "n_runs", F.col("seed.row").alias("seed_row"), "reason")
+
+
 QUERIES = {
     "hil_track_ppm": _tracked,
+    "lfq_grid": _grid,
+    "aln_anchor_candidates": _candidates,
+    "aln_anchors": lambda s, d: alignment.anchors(alignment.anchor_candidates(_run_features(s, d), "a", alignment.Warping(anchor_ppm=5.0, rt_window=0.05))).select("run", "charge", "ref_id", "run_id"),
+    "con_groups": _groups,
+    "tgt_targets": _targets,
     "fea_ppm_neighbours": _neighbours,
     "fea_isotope_features": _features,
     "sco_isotope_pattern": _patterns,
@@ -107,6 +152,17 @@ ORACLE_SQL = {
   select h.channel, h.mz, h.k, h.scan_apex, s.scan, coalesce(n.v, 0) as v from hills h, lateral (select unnest(range(h.scan_start, h.scan_end + 1)) as scan) s left join numbered n on n.channel = h.channel and n.mz = h.mz and n.k = h.k and n.scan = s.scan
 ), g as (select *, lag(v) over (partition by channel, mz, k order by scan) as b from z), sc as (select channel, mz, k, avg(case when scan <= scan_apex then (v >= b)::int else (v <= b)::int end) filter (b is not null) as s from g group by all)
 select channel, round(mz, 6) as mz, scan_start, scan_apex, scan_end, n_scans, skipped_scans, intensity_sum, intensity_max, round(s, 9) as hill_score from hills join sc using (channel, mz, k)""",
+    "lfq_grid": _HILLS + f""", cells as (select distinct channel, q as cell_id, i as iso, 500 + q * {isotopes.NEUTRON / CHARGE!r}::double + i * {isotopes.NEUTRON!r}::double / {CHARGE} as target from hills, unnest({RUNGS}) a(q), unnest([0, 1, 2]) b(i)),
+near as (select c.channel, c.cell_id, c.iso, h.mz, h.k, h.intensity_sum from cells c join hills h on h.channel = c.channel and abs(h.mz - c.target) <= c.target * 10e-6::double and h.scan_end >= {MIDDLE - HALF} and h.scan_start <= {MIDDLE + HALF}),
+s as (select near.*, floor((n.scan - {MIDDLE - HALF}::double) / {2 * HALF} * 25)::int as col, n.v from near join numbered n using (channel, mz, k) where n.scan >= {MIDDLE - HALF} and n.scan < {MIDDLE + HALF}),
+w as (select channel, cell_id, iso, arg_max(mz, (intensity_sum, mz)) as winner_mz from s group by all)
+select channel::varchar as run, cell_id, iso, round(winner_mz, 6) as winner_mz, col, sum(v) as v from s join w using (channel, cell_id, iso) group by all""",
+    "aln_anchor_candidates": """with a as (select p_partkey as id, p_retailprice::double as mz, (p_size % 3 + 1)::int as charge, p_size::double as rt from part), b as (select id, mz + 0.001::double as mz, charge, rt + 1 as rt from a where id % 3 = 0),
+x as (select *, (rt - min(rt) over ()) / (max(rt) over () - min(rt) over ()) as x from a), y as (select *, (rt - min(rt) over ()) / (max(rt) over () - min(rt) over ()) as x from b)
+select 'b' as run, x.charge, x.id as ref_id, y.id as run_id, round(x.x, 9) as ref_rt, round(y.x, 9) as run_rt from x join y on x.charge = y.charge and abs(y.mz - x.mz) <= x.mz * 5e-6::double and abs(x.x - y.x) <= 0.05::double""",
+    "tgt_targets": f"""with i as (select event_type as run, (user_id % 40)::varchar as peptide, (event_id % 2 + 2)::int as charge, 900.0::double + user_id % 40 as mass, event_id::double as rt, value::double % 1 as q, event_id as row from events),
+d as (select *, row_number() over (partition by run, peptide, charge order by q, rt, mass, row) as nth from i)
+select peptide, charge, min(mass) as mass, round(min(mass) / charge + {isotopes.PROTON!r}::double, 6) as mz, count(*) as n_runs, arg_min(row, (q, rt)) as seed_row, null::varchar as reason from d where nth = 1 group by peptide, charge""",
     "fea_ppm_neighbours": _HILLS + f""" select a.channel, round(a.mz, 6) as from_mz, a.scan_start as start, round(b.mz, 6) as to_mz, b.scan_start as to_start from hills a join hills b on a.channel = b.channel
   and abs(b.mz - (a.mz + {isotopes.NEUTRON / CHARGE!r}::double)) <= a.mz * 10e-6::double and least(a.scan_end, b.scan_end) >= greatest(a.scan_start, b.scan_start) and b.intensity_max >= 0.5 * a.intensity_max""",
     "sco_isotope_pattern": _BASE + f", w as (select id, {_product('base', 's.p')} as p from b3 join t s on s.e = 's' and s.n = n_s) select id, " + ", ".join(f"round(p[{k + 1}] / list_sum(p), 9) as p{k}" for k in range(5)) + " from w",
