@@ -92,6 +92,31 @@ def split_points(p: np.ndarray, height_share: float = 0.1, valley_ratio: float =
     return [c for c in cuts if c >= min_scans and len(p) - c >= min_scans]
 
 
+def segments(p: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches (from, to) of a profile's peaks: cut behind the lowest scan between two peaks at least twice as high.
+
+    Peaks are those of the profile weighed 1, 2, 1 with its neighbours; of two
+    that no cut parts the higher goes on to the next.
+    """
+    v = np.where(np.isfinite(p), np.maximum(p, 0.0), 0.0)
+    if not len(v):
+        return []
+    s = (np.r_[v[:1], v[:-1]] + 2 * v + np.r_[v[1:], v[-1:]]) / 4
+    top = (s > 0) & np.r_[True, s[1:] >= s[:-1]] & np.r_[s[:-1] > s[1:], True]
+    cuts, held = [0], None
+    for peak in np.flatnonzero(top).tolist():
+        if held is None:
+            held = peak
+            continue
+        low = held + int(np.argmin(s[held : peak + 1]))
+        if 2 * s[low] <= min(s[held], s[peak]):
+            cuts.append(low + 1)
+            held = peak
+        elif s[peak] > s[held]:
+            held = peak
+    return list(zip(cuts, [*cuts[1:], len(v)]))
+
+
 def is_baseline(p: np.ndarray, min_scans: int = 40, factor: float = 2.0, half: int = 5) -> bool:
     """Whether a long profile does not stand out ``factor`` times above both its smoothed ends.
 

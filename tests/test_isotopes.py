@@ -84,14 +84,14 @@ def envelope(channel, first, mz, z, scale, start, n=4):
 def test_two_hills_join_only_in_one_channel(spark):
     step = iso.NEUTRON / 2
     for second, n in ((-50.0, 1), (-65.0, 0)):
-        found = ch.candidates(hills(spark, [(-50.0, 0, 500.0, 1.0, 0), (second, 1, 500.0 + step, 0.55, 0)]), ch.Chains())
+        found = ch.candidates(hills(spark, [(-50.0, 0, 500.0, 1.0, 0), (second, 1, 500.0 + step, 0.55, 0)]), ch.Chains(charges=(1, 2), max_isotopes=2))
         assert found.where("charge = 2").count() == n
 
 
 def test_chains_are_found_and_used_once(spark):
     rows = envelope(None, 0, 500.0, 2, 1.0, 10) + envelope(None, 10, 700.0, 3, 0.6, 10, 3) + envelope(None, 20, 500.25, 1, 0.4, 40, 3) + [(None, 30, 900.0, 1.0, 0)]
     frame = hills(spark, rows)
-    chains = ch.resolved(ch.with_evidence(ch.candidates(frame)))
+    chains = ch.resolved(ch.with_evidence(ch.candidates(frame, ch.Chains(max_isotopes=4))))
     found = {r.seed: (r.charge, [m.hill_id for m in r.members]) for r in chains.collect()}
     assert found == {0: (2, [0, 1, 2, 3]), 10: (3, [10, 11, 12]), 20: (1, [20, 21, 22])}
     out = {r.seed: r for r in ch.features(chains, frame).collect()}
@@ -138,14 +138,14 @@ def test_resolution_equals_one_heap(spark):
 def test_residuals_and_lookup(spark):
     rows = [x for k in range(12) for x in envelope(None, 10 * k, 400.0 + 20 * k, 2, 1.0, 10 * k, 2)]
     rows = [(c, i, mz * (1 + (2.5e-6 if i % 10 else 0)), s, t) for c, i, mz, s, t in rows]
-    frame = hills(spark, rows)
-    chains = ch.resolved(ch.with_evidence(ch.candidates(frame)))
+    frame, two = hills(spark, rows), ch.Chains(charges=(2, 2), max_isotopes=2)
+    chains = ch.resolved(ch.with_evidence(ch.candidates(frame, two)))
     residuals = ch.spacing_residuals(ch.features(chains, frame), frame)
     assert residuals.count() == 12 and residuals.agg(F.avg("residual")).first()[0] == pytest.approx(2.5, abs=0.01)
     surface = st.recalibration_surface(residuals, least=5)
     at = ch.looked_up(spark.createDataFrame([(500.0, 20.0), (1e6, -5.0)], "mz double, rt double"), surface).collect()
     assert [r.centre for r in at] == pytest.approx([2.5, 2.5], abs=0.01)
-    again = ch.candidates(frame, ch.Chains(), surface)
+    again = ch.candidates(frame, two, surface)
     assert again.where("charge = 2").count() == 12
     cells = spark.range(4000).select(F.when(F.col("id") < 2000, 400.0).otherwise(1200.0).alias("mz"), (F.col("id") % 60).cast("double").alias("rt"), F.when(F.col("id") < 2000, 1.0).otherwise(-3.0).alias("residual"))
     at = ch.looked_up(spark.createDataFrame([(400.0, 5.0), (1200.0, 5.0), (800.0, 5.0)], "mz double, rt double"), st.recalibration_surface(cells)).collect()

@@ -69,6 +69,11 @@ def test_kernels():
     assert kernels.covered(np.array([1.0, 2, 10, 3, 1]), 0.75) == (2, 3)
 
 
+def test_segments_of_peaks():
+    assert kernels.segments(np.array([1.0, 4, 1, 0, 1, 6, 1])) == [(0, 4), (4, 7)]
+    assert kernels.segments(np.array([1.0, 4, 3, 4, 1])) == [(0, 5)] and kernels.segments(np.zeros(3)) == [(0, 3)] and kernels.segments(np.zeros(0)) == []
+
+
 def test_two_peaks_are_split_and_one_is_not(spark):
     x = np.arange(100)
     bell = lambda c, s, n=100: 1000 * np.exp(-0.5 * ((np.arange(n) - c) / s) ** 2)
