@@ -2,6 +2,14 @@
 
 Each stage reads all that its predecessor kept, as a table with the columns of
 ``documents``; the last returns the packed pieces.
+
+Edge cases, by stage: a null text counts as empty and stays null up to packing,
+where it is one end id; a text that loses all its lines stays as an empty one; a
+row without doc_id is scored, deduplicated, mixed and packed like others; of
+wholly repeated rows one keeps its lines, and near-dedup keeps one row a group;
+a document of no words takes no place in the mix; without labelled rows of both
+classes nothing counts as toxic; an empty table gives no pieces; extra columns
+pass through all but the last stage, whatever their names.
 """
 
 from __future__ import annotations
