@@ -43,14 +43,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from lumentrace.llm.common import cut_lineage, held, released, table
 
 #: Labelled rows that a model is fitted on, at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Segments kept of each kind, at most; documents a toxic one needs.
 ORDINARY, TOXIC, LEAST_DOCS, LEAST_RATIO = 1800, 400, 3, 15.0
 #: Windows of toxic text must be so many times as common as those of ordinary text beyond the two thresholds.
 NEAR_TIMES, FAR_TIMES = 2.0, 5.0
 CARRIER = b"0123456789ABCDEFGHIJKLMNOPQRSTUV"
 #: Windows whose distance a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Segments that a task counts together.
+SEGMENTS_AT_ONCE = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -124,12 +126,19 @@ def _segments(text: str | None) -> set[str]:
 
 
 def _segment_rows(batches):
+    seen: dict[tuple[str, int], int] = {}
+
+    def counted():
+        return pa.RecordBatch.from_pydict({"segment": pa.array([k[0] for k in seen], pa.string()), "toxic": pa.array([k[1] for k in seen], pa.int64()), "n": pa.array(seen.values(), pa.int64())})
+
     for batch in batches:
-        seen: dict[tuple[str, int], int] = {}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             for x in _segments(text):
                 seen[x, toxic] = seen.get((x, toxic), 0) + 1
-        yield pa.RecordBatch.from_pydict({"segment": [k[0] for k in seen], "toxic": pa.array([k[1] for k in seen], pa.int64()), "n": pa.array(seen.values(), pa.int64())})
+            if len(seen) > SEGMENTS_AT_ONCE:
+                yield counted()
+                seen.clear()
+    yield counted()
 
 
 def _ratio(k: int, n: int, m: int, of: int) -> float:
@@ -204,12 +213,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """row (a struct of the columns of ``docs``) and score (0 to 1)."""
-    rows = held(docs, text=F.col("text"))
+    rows = held(docs)
+    at = docs.columns.index("text")
 
     def score(batches):
         distances = Distances(model) if model.weights else None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("row").field(at).to_pylist()
             if distances is None:
                 s = np.zeros(len(texts))
             else:
