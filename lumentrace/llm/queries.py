@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumentrace.llm.curriculum import OP5_SQL, op5_curriculum
+from lumentrace.llm.filter_audit import OP11_SQL, op11_filter_audit
 from lumentrace.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lumentrace.llm.main_text import op2_main_text
 from lumentrace.llm.packing import op4_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_simhash_groups": op10_simhash_groups,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_topk": OP3_SQL,
     "op5_curriculum": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
