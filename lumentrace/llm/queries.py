@@ -8,6 +8,7 @@ from lumentrace.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lumentrace.llm.main_text import op2_main_text
 from lumentrace.llm.packing import op4_packing
 from lumentrace.llm.pii import op7_pii
+from lumentrace.llm.prefix_trie import op12_prefix_trie
 from lumentrace.llm.quality import op9_quality
 from lumentrace.llm.simhash_groups import op10_simhash_groups
 from lumentrace.llm.topk import OP3_SQL, op3_topk
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_simhash_groups": op10_simhash_groups,
     "op11_filter_audit": op11_filter_audit,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
