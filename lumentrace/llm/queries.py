@@ -6,6 +6,7 @@ from lumentrace.llm.curriculum import OP5_SQL, op5_curriculum
 from lumentrace.llm.filter_audit import OP11_SQL, op11_filter_audit
 from lumentrace.llm.line_dedup import OP6_SQL, op6_line_dedup
 from lumentrace.llm.main_text import op2_main_text
+from lumentrace.llm.neighbours import op13_neighbours
 from lumentrace.llm.packing import op4_packing
 from lumentrace.llm.pii import op7_pii
 from lumentrace.llm.prefix_trie import op12_prefix_trie
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_simhash_groups": op10_simhash_groups,
     "op11_filter_audit": op11_filter_audit,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
