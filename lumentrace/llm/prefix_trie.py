@@ -293,4 +293,24 @@ def prefix_trie(conversations: DataFrame, primes: tuple[int, int] = PRIMES) -> D
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_trie(table(spark, sf_dir, "conversations"))
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("turn_conv_id", "turn_place")
+
+
+#: DuckDB: whole prefixes as keys; the id's CRC-32 from its table.
+OP12_SQL = """
+with tab as (
+  select list(x order by i) as t from (select i, list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as x from range(256) r(i))
+), own as (
+  select conv_id as c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} order by turn nulls first, sha256(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as o
+  from conversations where conv_id is not null group by conv_id
+), hs as (
+  select c, o, (xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda z: ord(z)::bigint)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::bigint) % 6)::int as h from own, tab
+), seqs as (select a.c, list_concat(coalesce(list_slice(b.o, 1, a.h), []), list_slice(a.o, a.h + 1, len(a.o))) as s from hs a left join own b on b.c = a.c - a.c % 100),
+pre as (select c, d::int as d, list_slice(s, 1, d::int) as p, len(s) = d as ends from seqs, lateral (select unnest(range(0, len(s) + 1)) as d) r),
+nodes as (select p, d, min(c) as conv_id, count(*) as n, coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '') as e from pre group by p, d),
+kids as (select list_slice(p, 1, d - 1) as p, count(*) as k from nodes where d > 0 group by 1),
+x as (select nodes.*, coalesce(k, 0) as k, case when d = 0 then 0 else (n - 1) * length(p[d].x) end as own from nodes left join kids using (p)),
+sub as (select list_slice(p, 1, a::int) as p, count(*) filter (k = 0) as leaves, sum(own) as saved from x, lateral (select unnest(range(0, d + 1)) as a) r group by 1)
+select x.conv_id, x.d::bigint as depth, up.conv_id as parent_conv_id, x.n as n_convs, x.k as n_children, leaves as n_leaves, saved::bigint as saved_tokens, sha256(x.e) as ends_sha256
+from x join sub on sub.p = x.p left join nodes up on x.d > 0 and up.d = x.d - 1 and up.p = list_slice(x.p, 1, x.d - 1)
+"""

@@ -9,7 +9,7 @@ from lumentrace.llm.main_text import op2_main_text
 from lumentrace.llm.neighbours import op13_neighbours
 from lumentrace.llm.packing import op4_packing
 from lumentrace.llm.pii import op7_pii
-from lumentrace.llm.prefix_trie import op12_prefix_trie
+from lumentrace.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from lumentrace.llm.quality import op9_quality
 from lumentrace.llm.simhash_groups import op10_simhash_groups
 from lumentrace.llm.topk import OP3_SQL, op3_topk
@@ -38,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_curriculum": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
