@@ -52,11 +52,12 @@ FOUND = "query long, query_id long, vec_id long, score double"
 
 
 def sound_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, v (doubles), dim."""
+    """vec_id, v (floats or doubles, as given), dim."""
+    kind = rows.schema["embedding"].dataType.elementType.simpleString()
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(sound)
     # Adding zero makes -0.0 the same as 0.0.
-    return kept.select("vec_id", F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v"), F.size("embedding").alias("dim"))
+    return kept.select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0).cast(kind)).alias("v"), F.size("embedding").alias("dim"))
 
 
 def distinct_vectors(vectors: DataFrame, k: int = TOP) -> DataFrame:
@@ -68,9 +69,10 @@ def distinct_vectors(vectors: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def _matrix(column, dim: int) -> np.ndarray:
+    """Rows of an array column as a matrix of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dim)
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -250,10 +252,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = TOP, recall: float
 
 
 def _nearest_of(held: DataFrame, queries: DataFrame, dim: int, k: int, recall: float) -> DataFrame:
-    context = held.sparkSession.sparkContext
+    context, kind = held.sparkSession.sparkContext, held.schema["v"].dataType.simpleString()
     most = max(2 * BRANCHES, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
-    rows = held.orderBy(F.xxhash64("v"), "number").limit(most + CALIBRATION).select("v").collect()  # SAMPLE and CALIBRATION rows, SAMPLE_BYTES at most
-    sample = np.array([r["v"] for r in rows]).reshape(-1, dim)
+    rows = held.orderBy(F.xxhash64("v"), "number").limit(most + CALIBRATION).select("v").toArrow()  # SAMPLE and CALIBRATION rows, SAMPLE_BYTES at most
+    sample = _matrix(rows["v"], dim)
     # Rows that the tree has not seen, where there are enough.
     asked, sample = sample[-CALIBRATION:], sample[: -CALIBRATION if len(sample) > 2 * CALIBRATION else None]
     tree = grow(sample)
@@ -264,7 +266,7 @@ def _nearest_of(held: DataFrame, queries: DataFrame, dim: int, k: int, recall: f
             leaf = shared.value.leaf_of(_matrix(batch.column("v"), dim)) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=[*batch.schema.names, "leaf"])
 
-    found = cut_lineage(held.select("number", "v", "ids").mapInArrow(placed, "number long, v array<double>, ids array<long>, leaf long"))
+    found = cut_lineage(held.select("number", "v", "ids").mapInArrow(placed, f"number long, v {kind}, ids array<long>, leaf long"))
     counts = found.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("rows")).collect()  # a row for each leaf
     n, n_rows = np.zeros(tree.n_leaves, np.int64), np.zeros(tree.n_leaves, np.int64)
     for r in counts:
@@ -303,7 +305,7 @@ def _nearest_of(held: DataFrame, queries: DataFrame, dim: int, k: int, recall: f
             columns = [batch.column(c).take(at) for c in ("query", "vec_id", "v")]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[j] for x in out], pa.int64()) for j in (1, 2)], pa.array([x[3] for x in out], pa.list_(pa.int64()))], names=["query", "vec_id", "v", "home", "bin", "leaves"])
 
-    each = cut_lineage(queries.select("query", "vec_id", "v").mapInArrow(dealt, "query long, vec_id long, v array<double>, home long, bin long, leaves array<long>"))
+    each = cut_lineage(queries.select("query", "vec_id", "v").mapInArrow(dealt, f"query long, vec_id long, v {kind}, home long, bin long, leaves array<long>"))
     # Queries of neighbouring home bins go together, as many as a task may hold.
     n_queries = {r["home"]: r["n"] for r in each.where("home = bin").groupBy("home").agg(F.count("*").alias("n")).collect()}  # a row for each bin
     groups, group, filled = [], 0, 0
