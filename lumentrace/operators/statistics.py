@@ -242,8 +242,8 @@ def surface_bin(axis: str, n: int) -> F.Column:
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(axis) - F.col(f"{axis}_low")) * n / span))).cast("int")
 
 
-def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, n, median (midpoint of the middle two) of each group, however large.
+def medians(rows: DataFrame, keys: list[str], value: str, upper: bool = False) -> DataFrame:
+    """keys, n, median (midpoint of the middle two, or the ``upper`` of them) of each group, however large.
 
     Values are counted and spread over hash-free ranges of their group, the
     ranges' counts tell which one holds the middle, and only its rows are ranked.
@@ -258,7 +258,8 @@ def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     sizes = sizes.withColumn("end", F.sum("size").over(upto)).withColumn("begin", F.col("end") - F.col("size")).where((F.col("end") > low) & (F.col("begin") <= high))
     inside = Window.partitionBy(*keys, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     held = counts.select(*keys, "range", "v", "c").join(sizes.select(*keys, "range", "n", "begin"), [*keys, "range"]).withColumn("last", F.col("begin") + F.sum("c").over(inside))
-    return held.groupBy(*keys, "n").agg(((F.min(F.when(F.col("last") > low, F.col("v"))) + F.min(F.when(F.col("last") > high, F.col("v")))) / 2).alias("median"))
+    first, second = F.min(F.when(F.col("last") > low, F.col("v"))), F.min(F.when(F.col("last") > high, F.col("v")))
+    return held.groupBy(*keys, "n").agg((second if upper else (first + second) / 2).alias("median"))
 
 
 def noise_floor(found: DataFrame, share: float = 0.05, factor: float = 0.8) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumentrace.operators import alignment, chains, consensus, isotopes, quantification, targets, tracking
+from lumentrace.operators import alignment, chains, consensus, isotopes, ownership, quantification, targets, tracking
 from lumentrace.sources.adapters import table
 
 PPM, MAX_GAP, MIN_SCANS, CHARGE = 10.0, 1, 3, 2
@@ -79,6 +79,27 @@ def _grid(spark, d):
     return rows.select("run", "cell_id", "iso", F.round("winner_mz", 6).alias("winner_mz"), F.posexplode("grid").alias("col", "v")).where("v > 0")
 
 
+#: Isotope shares and middles of the windows that cells of every rung are measured in.
+TEMPLATE, MIDDLES = [0.55, 0.3, 0.15], [1200.5, 1300.5, 1400.5]
+EXTRACTION = quantification.Extraction(ppm=PPM, half_window=HALF)
+
+
+def _measured_cells(found):
+    """A target cell of every rung and window in each run (channel)."""
+    each = found.select("run").distinct().withColumn("rung", F.explode(F.sequence(F.lit(1), F.lit(50)))).withColumn("rt", F.explode(F.array(*map(F.lit, MIDDLES))))
+    group = (F.col("rung") * 10000 + F.floor("rt")).cast("long")
+    mz = 500 + F.col("rung") * F.lit(isotopes.NEUTRON / CHARGE)
+    return each.select(group.alias("cell_id"), group.alias("group"), "run", F.lit(False).alias("decoy"), mz.alias("mz"), F.lit(CHARGE).alias("charge"), "rt", F.lit(0.0).alias("im"), F.array(*map(F.lit, TEMPLATE)).alias("template"))
+
+
+def _quantify(spark, d, method):
+    found = tracking.numbered(hills(spark, d)).withColumn("run", F.col("channel").cast("string"))
+    rows = method(_measured_cells(found), found, EXTRACTION)
+    values = ["hybrid", "pattern", "coelution", "preceding", "observed_mz"]
+    more = [c for c in ("owned_samples", "excluded_samples", "ownership", "competitor") if c in rows.columns]
+    return rows.select("run", "group", "intensity", "apex", "start", "end", "n_found", *[F.round(c, 6).alias(c) for c in values], *more)
+
+
 def _run_features(spark, d):
     """Parts as the features of run a; every third of them a little heavier and later as those of run b."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_retailprice").cast("double").alias("mz"), (F.col("p_size") % 3 + 1).cast("int").alias("charge"), F.col("p_size").cast("double").alias("rt"))
@@ -109,6 +130,8 @@ def _targets(spark, d):
 QUERIES = {
     "hil_track_ppm": _tracked,
     "lfq_grid": _grid,
+    "lfq_quantify": lambda s, d: _quantify(s, d, quantification.quantified),
+    "lfq_ownership": lambda s, d: _quantify(s, d, ownership.two_passes),
     "aln_anchor_candidates": _candidates,
     "aln_anchors": lambda s, d: alignment.anchors(alignment.anchor_candidates(_run_features(s, d), "a", alignment.Warping(anchor_ppm=5.0, rt_window=0.05))).select("run", "charge", "ref_id", "run_id"),
     "con_groups": _groups,
@@ -155,8 +178,26 @@ select channel, round(mz, 6) as mz, scan_start, scan_apex, scan_end, n_scans, sk
     "lfq_grid": _HILLS + f""", cells as (select distinct channel, q as cell_id, i as iso, 500 + q * {isotopes.NEUTRON / CHARGE!r}::double + i * {isotopes.NEUTRON!r}::double / {CHARGE} as target from hills, unnest({RUNGS}) a(q), unnest([0, 1, 2]) b(i)),
 near as (select c.channel, c.cell_id, c.iso, h.mz, h.k, h.intensity_sum from cells c join hills h on h.channel = c.channel and abs(h.mz - c.target) <= c.target * 10e-6::double and h.scan_end >= {MIDDLE - HALF} and h.scan_start <= {MIDDLE + HALF}),
 s as (select near.*, floor((n.scan - {MIDDLE - HALF}::double) / {2 * HALF} * 25)::int as col, n.v from near join numbered n using (channel, mz, k) where n.scan >= {MIDDLE - HALF} and n.scan < {MIDDLE + HALF}),
-w as (select channel, cell_id, iso, arg_max(mz, (intensity_sum, mz)) as winner_mz from s group by all)
+w as (select channel, cell_id, iso, arg_max(mz, (intensity_sum, -mz)) as winner_mz from s group by all)
 select channel::varchar as run, cell_id, iso, round(winner_mz, 6) as winner_mz, col, sum(v) as v from s join w using (channel, cell_id, iso) group by all""",
+    "lfq_quantify": _HILLS + f""", cells as (select distinct channel, q * 10000 + floor(m)::bigint as grp, m::double as rt, i as iso, 500 + q * {isotopes.NEUTRON / CHARGE!r}::double + i * {isotopes.NEUTRON!r}::double / {CHARGE} as target
+  from hills, range(1, 51) a(q), unnest({MIDDLES}) b(m), unnest([-1, 0, 1, 2]) c(i)),
+near as (select c.*, h.mz, h.k, h.intensity_sum from cells c join hills h on h.channel = c.channel and abs(h.mz - c.target) <= c.target * 10e-6::double and h.scan_end >= c.rt - {HALF} and h.scan_start <= c.rt + {HALF}),
+s as (select near.*, floor((n.scan - (rt - {HALF}::double)) / {2 * HALF} * 25)::int as col, n.v from near join numbered n using (channel, mz, k) where n.scan >= rt - {HALF} and n.scan < rt + {HALF}),
+t as (select distinct channel, grp, c::int as col from cells, range(25) r(c)),
+g as (select channel, grp, col, coalesce(sum(v) filter (iso = -1), 0) as p, coalesce(sum(v) filter (iso = 0), 0) as a, coalesce(sum(v) filter (iso = 1), 0) as b, coalesce(sum(v) filter (iso = 2), 0) as c from t left join s using (channel, grp, col) group by all),
+w as (select channel, grp, max(a + b + c) as top, arg_max(col, (a + b + c, col)) as apex, (max(a) > 0)::int + (max(b) > 0)::int + (max(c) > 0)::int as n_found, max(b) > 0 as has_b, max(c) > 0 as has_c,
+  coalesce(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0), 0) as ab, coalesce(sum(a * c) / nullif(sqrt(sum(a * a)) * sqrt(sum(c * c)), 0), 0) as ac, coalesce(sum(a * p) / nullif(sqrt(sum(a * a)) * sqrt(sum(p * p)), 0), 0) as ap from g group by all),
+x as (select *, case when has_b or has_c then (case when has_b then {TEMPLATE[1]}::double * ab else 0 end + case when has_c then {TEMPLATE[2]}::double * ac else 0 end) / (case when has_b then {TEMPLATE[1]}::double else 0 end + case when has_c then {TEMPLATE[2]}::double else 0 end) else 0.5 end as coelution from w),
+y as (select *, case when a + b + c > 0 then (sqrt(a * {TEMPLATE[0]}::double) + sqrt(b * {TEMPLATE[1]}::double) + sqrt(c * {TEMPLATE[2]}::double)) / sqrt(a + b + c) else 0 end as pattern from g join x using (channel, grp) where top > 0),
+h as (select *, greatest(0, (1 - cbrt(abs(col - 12) / 12.0::double)) * sqrt((a + b + c) / top) * pattern * coelution) ^ 0.25 as hybrid from y),
+e as (select *, max(hybrid) filter (col = apex) over (partition by channel, grp) as best from h),
+u as (select channel, grp, apex, greatest(0, apex - 7, coalesce(max(col) filter (col < apex and (pattern < 0.5 or hybrid < best / 2)), -1) + 1) as start, least(24, apex + 7, coalesce(min(col) filter (col > apex and (pattern < 0.5 or hybrid < best / 2)), 25) - 1) as end_ from e group by channel, grp, apex),
+o as (select channel, grp, arg_max(mz, (intensity_sum, -mz)) as observed_mz from s where iso = 0 group by all),
+z as (select e.channel, e.grp, e.apex, u.start, u.end_, n_found, sum(a + b + c) as intensity, max(hybrid) filter (col = e.apex) as hybrid, max(pattern) filter (col = e.apex) as pattern, coelution, ap * sum(p) / greatest(sum(p) + sum(a + b + c), 1e-300::double) as preceding
+  from e join u using (channel, grp) where (col between u.start and u.end_) group by e.channel, e.grp, e.apex, u.start, u.end_, n_found, coelution, ap)
+select t.channel::varchar as run, t.grp as "group", coalesce(intensity, 0) as intensity, coalesce(apex, -1) as apex, coalesce(start, -1) as start, coalesce(end_, -1) as "end", coalesce(n_found, 0) as n_found, round(coalesce(hybrid, 0), 6) as hybrid, round(coalesce(pattern, 0), 6) as pattern,
+  round(coalesce(coelution, 0), 6) as coelution, round(coalesce(preceding, 0), 6) as preceding, round(observed_mz, 6) as observed_mz from (select distinct channel, grp from t) t left join z using (channel, grp) left join o using (channel, grp)""",
     "aln_anchor_candidates": """with a as (select p_partkey as id, p_retailprice::double as mz, (p_size % 3 + 1)::int as charge, p_size::double as rt from part), b as (select id, mz + 0.001::double as mz, charge, rt + 1 as rt from a where id % 3 = 0),
 x as (select *, (rt - min(rt) over ()) / (max(rt) over () - min(rt) over ()) as x from a), y as (select *, (rt - min(rt) over ()) / (max(rt) over () - min(rt) over ()) as x from b)
 select 'b' as run, x.charge, x.id as ref_id, y.id as run_id, round(x.x, 9) as ref_rt, round(y.x, 9) as run_rt from x join y on x.charge = y.charge and abs(y.mz - x.mz) <= x.mz * 5e-6::double and abs(x.x - y.x) <= 0.05::double""",

@@ -6,7 +6,7 @@ from lumentrace.operators import isotopes as iso
 from lumentrace.operators import quantification as qu
 from lumentrace.operators import targets as tg
 
-HILLS = "run string, mz double, im double, rt_start double, rt_end double, scan_start int, scan_end int, intensity_sum double, profile array<double>"
+HILLS = "run string, hill_id long, mz double, im double, rt_start double, rt_end double, scan_start int, scan_end int, intensity_sum double, profile array<double>"
 CELLS = "cell_id long, group long, run string, decoy boolean, mz double, charge int, rt double, im double, template array<double>"
 
 
@@ -14,14 +14,14 @@ def test_cells_are_measured(spark):
     x = np.linspace(0, 1, 101)
     bell = np.exp(-0.5 * ((x - 0.5) / 0.02) ** 2) * (np.abs(x - 0.5) <= 0.06)
     keep = np.flatnonzero(bell > 0)
-    hills = [("a", 500 + k * iso.NEUTRON / 2, 0.0, float(x[keep[0]]), float(x[keep[-1]]), int(keep[0]), int(keep[-1]), float(s * bell.sum()), (s * bell[keep]).tolist()) for k, s in enumerate([600.0, 300.0, 100.0])]
+    hills = [("a", k, 500 + k * iso.NEUTRON / 2, 0.0, float(x[keep[0]]), float(x[keep[-1]]), int(keep[0]), int(keep[-1]), float(s * bell.sum()), (s * bell[keep]).tolist()) for k, s in enumerate([600.0, 300.0, 100.0])]
     cells = [(1, 1, "a", False, 500.0, 2, 0.5, 0.0, [0.6, 0.3, 0.1]), (1, 1, "a", True, 505.5, 2, 0.49, 0.0, [0.6, 0.3, 0.1])]
     found = {r.decoy: r for r in qu.quantified(spark.createDataFrame(cells, CELLS), spark.createDataFrame(hills, HILLS)).collect()}
     one, none = found[False], found[True]
     assert one.intensity == pytest.approx(1000 * bell.sum()) and one.pattern == pytest.approx(1) and one.coelution == pytest.approx(1) and one.apex == 12 and one.hybrid == pytest.approx(1)
-    assert one.rt_apex == pytest.approx(0.5) and one.winner_mz == 500.0 and one.preceding == 0 and (none.intensity, none.apex, none.rt_apex) == (0.0, -1, None)
+    assert one.rt_apex == pytest.approx(0.5) and one.observed_mz == 500.0 and one.preceding == 0 and (none.intensity, none.apex, none.rt_apex) == (0.0, -1, None)
     assert {r.run: r["columns"] for r in qu.columns_for(spark.createDataFrame(hills, HILLS)).collect()} == {"a": 25}
-    long = qu.details(spark.createDataFrame([(1, "a", False, 500.0, 500.001, 0.0, 0.0, 1.0, 1.5, 0.2), (1, "a", True, 500.0, None, 0.0, None, 1.0, None, None)], "group long, run string, decoy boolean, mz double, winner_mz double, im double, winner_im double, rt double, rt_apex double, q double")).collect()
+    long = qu.details(spark.createDataFrame([(1, "a", False, 500.0, 500.001, 0.0, 0.0, 1.0, 1.5, 0.2), (1, "a", True, 500.0, None, 0.0, None, 1.0, None, None)], "group long, run string, decoy boolean, mz double, observed_mz double, im double, observed_im double, rt double, rt_apex double, q double")).collect()
     assert {r.q for r in long} == {0.2} and {r.mz_ppm and round(r.mz_ppm, 6) for r in long} == {2.0, None}
 
 
