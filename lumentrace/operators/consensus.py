@@ -44,62 +44,145 @@ def projected(features: DataFrame) -> DataFrame:
 ORDER = ["charge", "mass", "rt", "im", "run", "feature_id"]
 
 
-def clusters(rows: DataFrame, o: Grouping = Grouping(), by: tuple[str, ...] = ()) -> DataFrame:
+#: A group's spans: its seed's place and rank, and the least and greatest of its members.
+STATE = ["seed_mass", "seed_rt", "seed_im", "mass_low", "mass_high", "rt_low", "rt_high", "im_low", "im_high"]
+
+
+def _fits(g: list, mass: float, rt: float, im: float, o: Grouping) -> float | None:
+    """Squared distance from the seed of a group that keeps its spans with a row; None where it does not."""
+    seed_mass, seed_rt, seed_im, mass_low, mass_high, rt_low, rt_high, im_low, im_high = g
+    low, high = min(mass_low, mass), max(mass_high, mass)
+    if (high - low) / low * 1e6 > o.ppm or max(rt_high, rt) - min(rt_low, rt) > o.rt:
+        return None
+    if im_low is not None:
+        low, high = (min(im_low, im), max(im_high, im)) if im != 0 else (im_low, im_high)
+        if high - low > o.im:
+            return None
+    far = ((mass - seed_mass) / seed_mass * 1e6 / max(o.ppm, 1e-12)) ** 2 + ((rt - seed_rt) / max(o.rt, 1e-12)) ** 2
+    return far + (((im - seed_im) / max(o.im, 1e-12)) ** 2 if im != 0 and seed_im != 0 else 0.0)
+
+
+class _Block:
+    """What a task knows of a block: groups by their seeds' masses, and where better rows still wait."""
+
+    def __init__(self, o: Grouping):
+        self.o, self.masses, self.groups, self.changed, self.waiting = o, [], {}, set(), {}
+
+    def add(self, rank: tuple, name: str, state: list) -> None:
+        insort(self.masses, (state[0], rank))
+        self.groups[rank] = [name, state]
+
+    def waits(self, cell: tuple[int, int], rank: tuple) -> bool:
+        near = ((cell[0] + i, cell[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1))
+        if any(c in self.waiting and self.waiting[c] < rank for c in near):
+            self.waiting[cell] = min(self.waiting.get(cell, rank), rank)
+            return True
+        return False
+
+    def place(self, rank: tuple, name: str, mass: float, rt: float, im: float) -> str:
+        """The name of the nearest group, the older of equally near ones, which takes the row in; its own otherwise."""
+        best, ratio = None, 1 + self.o.ppm * 1e-6
+        at = bisect_left(self.masses, (mass / ratio,))
+        while at < len(self.masses) and self.masses[at][0] <= mass * ratio:
+            seed = self.masses[at][1]
+            far = _fits(self.groups[seed][1], mass, rt, im, self.o)
+            if far is not None and (best is None or (far, seed) < best):
+                best = (far, seed)
+            at += 1
+        has = im if im != 0 else None
+        if best is None:
+            self.add(rank, name, [mass, rt, im, mass, mass, rt, rt, has, has])
+            self.changed.add(rank)
+            return name
+        name, g = self.groups[best[1]]
+        g[3:7] = min(g[3], mass), max(g[4], mass), min(g[5], rt), max(g[6], rt)
+        if has is not None:
+            g[7:] = (im, im) if g[7] is None else (min(g[7], im), max(g[8], im))
+        self.changed.add(best[1])
+        return name
+
+
+def clusters(rows: DataFrame, o: Grouping = Grouping(), by: tuple[str, ...] = (), side: int = 32) -> DataFrame:
     """``rows`` with ``group_id`` (the seed's run and feature): greedy groups of bounded spans.
 
     In quality order a row joins the group whose seed is nearest among those
     that keep their whole mass, time and mobility spans with it, the older of
-    equally near ones, or starts its own.  A group never spans an empty stretch
-    of masses as wide as the tolerance, so each charge is cut there first, by
-    its occupied mass bins; an island is read by one task, which holds its
-    groups' spans.  ``by`` names columns whose values are grouped apart.
+    equally near ones, or starts its own.  ``by`` names columns whose values are
+    grouped apart.
+
+    The order is kept without one task going through all of it: what a row does
+    depends on better rows within twice the tolerances only.  Mass and time are
+    cut into squares that wide, ``side`` by ``side`` squares are a block, and a
+    task takes its block's rows in order, as a stream.  A row waits for the next
+    round if a better one that waits, or is another block's, lies in its square
+    or one beside it.  Blocks move by half their width from round to round; the
+    best row of all never waits.
     """
     keys = [*by, "charge"]
-    rows = rows.withColumn("bin", F.floor(F.log("mass") / math.log1p(o.ppm * 1e-6)))
-    by_bin = Window.partitionBy(*keys).orderBy("bin")  # a row for each occupied bin
-    bins = rows.select(*keys, "bin").distinct().withColumn("opens", F.coalesce(F.col("bin") - F.lag("bin").over(by_bin) > 1, F.lit(True)).cast("int"))
-    bins = bins.select(*keys, "bin", F.sum("opens").over(by_bin.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
-    cut = rows.join(bins, [*keys, "bin"]).drop("bin").repartition(*keys, "island").sortWithinPartitions(*keys, "island", F.desc("score"), *ORDER[1:])
-    kept = [c for c in cut.columns if c != "island"]
+    wide = 2 * math.log1p(o.ppm * 1e-6) * (1 + 1e-9)
+    square = F.struct(F.floor(F.log("mass") / max(wide, 1e-12)).alias("x"), F.floor(F.col("rt") / max(2 * o.rt * (1 + 1e-9), 1e-9)).alias("y"))
+    rank = F.struct((-F.col("score")).alias("score"), *ORDER[1:])
+    kept = rows.columns
+    open_ = cut_lineage(rows.select(F.struct(*kept).alias("row"), *[F.col(c).alias(f"key_{c}") for c in keys], rank.alias("rank"), square.alias("square")))
+    key = [f"key_{c}" for c in keys]
+    kinds = {c: open_.schema[c].dataType.simpleString() for c in ("row", *key, "rank", "square")}
+    state_kind = "struct<" + ",".join(f"{c}:double" for c in STATE) + ">"
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    held, settled, turn = None, None, 0
 
     def solve(batches):
-        island, masses, groups = None, [], []
+        now, block = None, None
         for part in batches:
             out = []
-            for key, run, i, mass, rt, im in zip(zip(*(part[c] for c in [*keys, "island"])), part["run"], part["feature_id"], part["mass"], part["rt"], part["im"]):
-                if key != island:
-                    island, masses, groups = key, [], []
-                best = None
-                at = bisect_left(masses, (mass / (1 + o.ppm * 1e-6), -1))
-                while at < len(masses) and masses[at][0] <= mass * (1 + o.ppm * 1e-6):
-                    number = masses[at][1]
-                    g = groups[number]
-                    at += 1
-                    low, high = min(g[1], mass), max(g[2], mass)
-                    if (high - low) / low * 1e6 > o.ppm or max(g[4], rt) - min(g[3], rt) > o.rt:
-                        continue
-                    if im != 0 and g[5] is not None and max(g[6], im) - min(g[5], im) > o.im:
-                        continue
-                    seed_mass, seed_rt, seed_im = g[7:10]
-                    far = ((mass - seed_mass) / seed_mass * 1e6 / o.ppm) ** 2 + ((rt - seed_rt) / max(o.rt, 1e-12)) ** 2
-                    far += ((im - seed_im) / max(o.im, 1e-12)) ** 2 if im != 0 and seed_im != 0 else 0.0
-                    if best is None or (far, number) < best:
-                        best = (far, number)
-                if best is None:
-                    insort(masses, (mass, len(groups)))
-                    has = im if im != 0 else None
-                    groups.append([f"{run}:{i}", mass, mass, rt, rt, has, has, mass, rt, im])
-                    out.append(groups[-1][0])
-                    continue
-                g = groups[best[1]]
-                g[1], g[2], g[3], g[4] = min(g[1], mass), max(g[2], mass), min(g[3], rt), max(g[4], rt)
-                if im != 0:
-                    g[5], g[6] = (im, im) if g[5] is None else (min(g[5], im), max(g[6], im))
-                out.append(g[0])
-            yield part[kept].assign(group_id=pd.Series(out, index=part.index, dtype=object))
-
-    kinds = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in kept)
-    return cut.mapInPandas(solve, f"{kinds}, group_id string")
+            for r in part.to_dict("records"):
+                at = tuple(r[k] for k in key) + (r["block"]["x"], r["block"]["y"])
+                if at != now:
+                    out += finished(block, now)
+                    now, block = at, _Block(o)
+                rank, cell = tuple(r["rank"][c] for c in ("score", *ORDER[1:])), (r["square"]["x"], r["square"]["y"])
+                if r["kind"] == 0:
+                    block.add(rank, r["group_id"], [r["state"][c] for c in STATE])
+                elif r["kind"] == 1:
+                    block.waiting[cell] = rank
+                else:
+                    wait = block.waits(cell, rank)
+                    name = None if wait else block.place(rank, f"{r['rank']['run']}:{r['rank']['feature_id']}", r["rank"]["mass"], r["rank"]["rt"], r["rank"]["im"])
+                    out.append({k: r[k] for k in ("row", *key, "rank", "square")} | {"group_id": name, "state": None})
+            yield framed(out)
+        yield framed(finished(block, now))
+
+    def finished(block, now):
+        names = ["score", *ORDER[1:]]
+        return [] if block is None else [dict(zip(key, now)) | {"row": None, "rank": dict(zip(names, k)), "square": None, "group_id": block.groups[k][0], "state": dict(zip(STATE, block.groups[k][1]))} for k in block.changed]
+
+    def framed(out: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["row", *key, "rank", "square", "group_id", "state"], dtype=object)
+
+    while True:
+        moved = lambda c: F.struct(*[F.floor((F.col(f"{c}.{a}") + turn * side // 2) / side).alias(a) for a in ("x", "y")])  # noqa: B023, E731
+        around = lambda c: F.array(*[F.struct((F.col(f"{c}.x") + i).alias("x"), (F.col(f"{c}.y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        mine = open_.select(*key, moved("square").alias("block"), F.lit(2).alias("kind"), "rank", "square", "row", none("group_id", "string"), none("state", state_kind))
+        # The best waiting row of each square, for the blocks beside it.
+        best = open_.groupBy(*key, "square").agg(F.min("rank").alias("rank")).withColumn("near", F.explode(around("square")))
+        best = best.select(*key, moved("near").alias("block"), F.lit(1).alias("kind"), "rank", "square", none("row", kinds["row"]), none("group_id", "string"), none("state", state_kind), moved("square").alias("own")).where(F.col("block") != F.col("own")).drop("own").distinct()
+        every = mine.unionByName(best)
+        if held is not None:
+            seeds = held.withColumns({"mass": F.col("state.seed_mass"), "rt": F.col("state.seed_rt")}).withColumn("square", square)
+            near = seeds.withColumn("near", F.explode(around("square"))).select(*key, moved("near").alias("block"), F.lit(0).alias("kind"), "rank", "square", none("row", kinds["row"]), "group_id", "state").distinct()
+            every = every.unionByName(near.join(mine.select(*key, "block").distinct(), [*key, "block"], "left_semi"))
+        sorted_ = every.repartition(*key, "block").sortWithinPartitions(*key, "block", "kind", "rank")
+        done = cut_lineage(sorted_.mapInPandas(solve, f"row {kinds['row']}, " + ", ".join(f"{k} {kinds[k]}" for k in key) + f", rank {kinds['rank']}, square {kinds['square']}, group_id string, state {state_kind}"))
+        placed = done.where("row is not null and group_id is not null").select("row.*", "group_id")
+        settled = placed if settled is None else settled.unionByName(placed)
+        open_ = done.where("row is not null and group_id is null").select("row", *key, "rank", "square")
+        if open_.isEmpty():
+            return settled
+        fresh = done.where("state is not null").select(*key, "rank", "group_id", "state.*")
+        both = fresh if held is None else fresh.unionByName(held.select(*key, "rank", "group_id", "state.*"))
+        # Spans only grow, so the widest of a group's states is its last.
+        ends = [(F.max if c.endswith("high") else F.min)(c).alias(c) for c in STATE]
+        held = cut_lineage(both.groupBy(*key, "rank", "group_id").agg(*ends).select(*key, "rank", "group_id", F.struct(*STATE).alias("state")))
+        turn += 1
 
 
 def groups(members: DataFrame, o: Grouping = Grouping(), by: tuple[str, ...] = ()) -> DataFrame:
