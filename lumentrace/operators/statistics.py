@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,60 +106,78 @@ def spread_bins(rows: DataFrame, bins: int = 12, prior: float = 20.0, floor: flo
     return out.select("run", "bin", "n", F.greatest(F.sqrt(variance), floor * F.sqrt("whole")).alias("sigma"))
 
 
-def _prefix_sums(counts: DataFrame, order: str, values: list[str], slices: int = 256) -> DataFrame:
-    """``counts`` with the sums of ``values`` from the greatest ``order`` down to each row (``upto_`` them).
-
-    Two levels: rows are cut into ranges of ``order`` by sampled quantiles,
-    ranges are summed (``slices`` rows) and each range is cumulated by itself,
-    so no task sees more than a range.  ``range`` (0 is the top) stays.
+def _scan_sums(values: list[str]):
+    def scan(batches):
+        """Numbers sorted rows of a partition and sums their values, from the start of each key."""
+        piece, last, nth, carried = TaskContext.get().partitionId(), None, 0, {v: 0 for v in values}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("__key").to_numpy()
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
+            goes_on = (group == 0) & (last is not None and key[0] == last)
+            sums = []
+            for v in values:
+                x = batch.column(v).to_numpy().astype(np.int64)
+                upto = np.cumsum(x)
+                sums.append(upto - (upto - x)[starts[group]] + np.where(goes_on, carried[v], 0))
+            last, carried = key[-1], {v: int(u[-1]) for v, u in zip(values, sums)}
+            arrays = [*batch.columns, pa.array(np.full(len(key), piece, np.int32)), pa.array(np.arange(nth, nth + len(key))), *map(pa.array, sums)]
+            nth += len(key)
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "__piece", "__nth", *[f"upto_{v}" for v in values]])
+
+    return scan
+
+
+def cumulated(rows: DataFrame, keys: list[str], order: list, values: list[str]) -> DataFrame:
+    """``rows`` with ``upto_`` sums of whole numbers in the given order within each key, and __key, __piece, __nth (place in a piece).
+
+    Rows are range-sorted, ties and all, so no key or value fills a task; what
+    the pieces before hold comes by broadcast, a row for each piece and key in it.
     """
-    cuts = counts.agg(F.percentile_approx(order, [i / slices for i in range(1, slices)], 20 * slices)).first()[0] or []
-    cuts = sorted({float(c) for c in cuts})
-    ranged = counts.withColumn("range", F.lit(len(cuts)) - F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c < F.col(order))))
-    ranged = cut_lineage(ranged)
-    totals = ranged.groupBy("range").agg(*[F.sum(v).alias(f"all_{v}") for v in values])
-    above = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
-    totals = totals.select("range", *[F.coalesce(F.sum(f"all_{v}").over(above), F.lit(0)).alias(f"above_{v}") for v in values])
-    inside = Window.partitionBy("range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(totals), "range")
-    return out.withColumns({f"upto_{v}": F.col(f"above_{v}") + F.sum(v).over(inside) for v in values}).drop(*[f"above_{v}" for v in values])
-
-
-def _least_from_below(ranged: DataFrame, order: str, value: str) -> DataFrame:
-    """``ranged`` (of ``_prefix_sums``) with ``least``, the least ``value`` among rows at or below each in ``order``."""
-    ends = ranged.groupBy("range").agg(F.min(value).alias("own"))
-    below = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
-    ends = ends.select("range", F.min("own").over(below).alias("below"))
-    inside = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.join(F.broadcast(ends), "range").withColumn("least", F.least(F.min(value).over(inside), F.col("below")))
-
-
-def target_decoy_q(rows: DataFrame, conservative: bool = False) -> DataFrame:
-    """q of each entry (id, score, decoy): decoys over targets at or above it, then the least at or below; 1 at most.
+    key = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long")
+    near = rows.withColumn("__key", key)
+    order = [F.col("__key"), *order]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in near.schema.fields) + ", __piece int, __nth long, " + ", ".join(f"upto_{v} long" for v in values)
+    out = cut_lineage(near.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan_sums(values), kinds))
+    before = Window.partitionBy("__key").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    pieces = out.groupBy("__key", "__piece").agg(*[F.max(f"upto_{v}").alias(v) for v in values])
+    pieces = pieces.select("__key", "__piece", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"__{v}") for v in values])
+    near = out.join(F.broadcast(pieces), ["__key", "__piece"])
+    return near.select(*rows.columns, "__key", "__piece", "__nth", *[(F.col(f"upto_{v}") + F.col(f"__{v}")).alias(f"upto_{v}") for v in values])
+
+
+def _least_behind(ranked: DataFrame, value: str) -> DataFrame:
+    """``cumulated`` rows with ``least``, the least ``value`` of a row's own and all behind it in its key."""
+    behind = Window.partitionBy("__key").orderBy(F.desc("__piece")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    ends = ranked.groupBy("__key", "__piece").agg(F.min(value).alias("own")).select("__key", "__piece", F.min("own").over(behind).alias("far"))
+    inside = Window.partitionBy("__key", "__piece").orderBy(F.desc("__nth")).rowsBetween(Window.unboundedPreceding, 0)
+    return ranked.join(F.broadcast(ends), ["__key", "__piece"]).withColumn("least", F.least(F.min(value).over(inside), F.col("far")))
+
+
+def target_decoy_q(rows: DataFrame, conservative: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, id, score, decoy, q: decoys over targets at or above an entry in its key, then the least at or below; 1 at most.
 
     Entries of one score are ordered by id, as separate ranks; under
     ``conservative`` they share a block, and one decoy more is counted.  Decoys'
-    q is 1.  Scores are counted first; blocks of one score are ranked apart.
+    q is 1.
     """
-    rows = cut_lineage(rows.select("id", F.col("score").cast("double").alias("score"), "decoy"))
-    counts = rows.groupBy("score").agg(F.count_if(~F.col("decoy")).alias("t"), F.count_if("decoy").alias("d"))
-    blocks = _prefix_sums(counts, "score", ["t", "d"])
+    keys = list(keys)
+    rows = rows.select(*keys, "id", F.col("score").cast("double").alias("score"), "decoy")
     if conservative:
-        blocks = blocks.withColumn("rate", F.least(F.lit(1.0), (F.col("upto_d") + 1) / F.greatest(F.lit(1), F.col("upto_t"))))
-        blocks = _least_from_below(blocks.withColumn("rate", F.when(F.col("t") > 0, F.col("rate")).otherwise(1.0)), "score", "rate")
-        out = rows.join(blocks.select("score", "least"), "score").withColumn("q", F.col("least"))
+        counts = rows.groupBy(*keys, "score").agg(F.count_if(~F.col("decoy")).alias("t"), F.count_if("decoy").alias("d"))
+        ranked = cumulated(counts, keys, [F.desc("score")], ["t", "d"])
+        rate = F.when(F.col("t") > 0, F.least(F.lit(1.0), (F.col("upto_d") + 1) / F.greatest(F.lit(1), F.col("upto_t")))).otherwise(1.0)
+        blocks = _least_behind(ranked.withColumn("rate", rate), "rate").select(*keys, "score", "least")
+        on = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "score")]
+        out = rows.alias("r").join(blocks.alias("b"), on).select(*[f"r.{c}" for c in rows.columns], F.col("b.least").alias("q"))
     else:
-        inside = Window.partitionBy("score").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-        ranks = rows.join(blocks.select("score", "range", (F.col("upto_t") - F.col("t")).alias("t0"), (F.col("upto_d") - F.col("d")).alias("d0")), "score")
-        ranks = ranks.withColumns({"nt": F.col("t0") + F.sum((~F.col("decoy")).cast("int")).over(inside), "nd": F.col("d0") + F.sum(F.col("decoy").cast("int")).over(inside)})
-        ranks = ranks.withColumn("rate", F.when(~F.col("decoy"), F.least(F.lit(1.0), F.col("nd") / F.col("nt"))).otherwise(1.0))
-        worst = _least_from_below(ranks.groupBy("range", "score").agg(F.min("rate").alias("rate")), "score", "rate")
-        before = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-        ends = ranks.groupBy("range").agg(F.min("rate").alias("own")).select("range", F.min("own").over(Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)).alias("far"))
-        worse = worst.join(F.broadcast(ends), "range").select("score", F.least(F.min("rate").over(before), F.col("far")).alias("lower"))
-        after = Window.partitionBy("score").orderBy(F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-        out = ranks.join(worse, "score").withColumn("q", F.least(F.min("rate").over(after), F.col("lower"), F.lit(1.0)))
-    return out.select("id", "score", "decoy", F.when(F.col("decoy"), 1.0).otherwise(F.coalesce("q", F.lit(1.0))).alias("q"))
+        marked = rows.withColumns({"t": (~F.col("decoy")).cast("int"), "d": F.col("decoy").cast("int")})
+        ranked = cumulated(marked, keys, [F.desc("score"), F.col("id")], ["t", "d"])
+        rate = F.when(~F.col("decoy"), F.least(F.lit(1.0), F.col("upto_d") / F.greatest(F.lit(1), F.col("upto_t")))).otherwise(1.0)
+        out = _least_behind(ranked.withColumn("rate", rate), "rate").withColumn("q", F.col("least"))
+    return out.select(*keys, "id", "score", "decoy", F.when(F.col("decoy"), 1.0).otherwise(F.coalesce("q", F.lit(1.0))).alias("q"))
 
 
 def group_q(scores: DataFrame, nulls: DataFrame, cohorts: int) -> DataFrame:
@@ -164,9 +185,9 @@ def group_q(scores: DataFrame, nulls: DataFrame, cohorts: int) -> DataFrame:
     of = lambda df, n, m: df.groupBy(F.col("score").cast("double").alias("score")).agg(n.alias("n"), m.alias("m"))
     zero = F.lit(0).cast("long")
     counts = of(scores, F.count("*"), F.max(zero)).union(of(nulls, F.max(zero), F.count("*"))).groupBy("score").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    ranked = _prefix_sums(counts, "score", ["n", "m"])
+    ranked = cumulated(counts, [], [F.desc("score")], ["n", "m"])
     rate = F.when((F.col("n") > 0) & (F.col("score") > 0), F.least(F.lit(1.0), (1 + F.col("upto_m") / cohorts) / F.col("upto_n"))).otherwise(1.0)
-    found = _least_from_below(ranked.withColumn("rate", rate), "score", "rate").where("n > 0")
+    found = _least_behind(ranked.withColumn("rate", rate), "rate").where("n > 0")
     return found.select("score", "n", F.when(F.col("score") <= 0, 1.0).otherwise(F.col("least")).alias("q"))
 
 
