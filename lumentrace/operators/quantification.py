@@ -1,4 +1,4 @@
-"""Extracted signal of cells (a group in a run, or its decoy), scored, integrated and rescored.
+"""Extracted signal of cells (a group in a run, or its decoy), scored and integrated.
 
 ``cells`` rows are cell_id, run, decoy, mz, charge, rt, im, template (isotope
 shares); ``hills`` as from ``tracking.track``.
@@ -275,71 +275,6 @@ def q_by_class(rows: DataFrame, classes: list[str], conservative: bool = False)
     return out
 
 
-def rescored(rows: DataFrame, features: list[str], iterations: int = 10, folds: int = 3, ridge: float = 1e-2, top: int = 1000, most_q: float = 0.01) -> DataFrame:
-    """id, decoy, score, q: a quadratic discriminant of targets against decoys, learnt on the other folds.
-
-    Missing values become medians, features are standardised.  Each round learns
-    from the best targets so far (q up to ``most_q``, else the ``top`` ones) and
-    all decoys of the other folds; a few moments for each fold reach the driver.
-    """
-    k = len(features)
-    middle = rows.agg(*[F.percentile_approx(F.when(~F.isnan(f), F.col(f)), 0.5, 10_000).alias(f) for f in features]).first()
-    clean = [F.coalesce(F.when(~F.isnan(f), F.col(f)), F.lit(float(middle[f] or 0.0))).cast("double") for f in features]
-    x = rows.select("id", "decoy", F.pmod(F.col("id"), F.lit(folds)).cast("int").alias("fold"), *[c.alias(f) for c, f in zip(clean, features)])
-    spread = x.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    scale = [((F.col(f) - float(spread[f"m_{f}"] or 0.0)) / (float(spread[f"s_{f}"] or 0.0) or 1.0)).alias(f) for f in features]
-    x = cut_lineage(x.select("id", "decoy", "fold", *scale))
-    state = x.withColumn("score", sum((F.col(f) for f in features), F.lit(0.0)) / k)
-    moments = [F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(features)], *[F.sum(F.col(features[i]) * F.col(features[j])).alias(f"p{i}_{j}") for i in range(k) for j in range(i + 1)]]
-    for _ in range(iterations):
-        state = cut_lineage(state)
-        q = st.target_decoy_q(state.select("id", "score", "decoy")).select("id", "q")
-        marked = cut_lineage(state.join(q, "id"))
-        few = marked.where((~F.col("decoy")) & (F.col("q") <= most_q)).limit(k + 2).count() < k + 2
-        if few:
-            cut = marked.where("not decoy").orderBy(F.desc("score"), "id").limit(top).agg(F.min("score")).first()[0]
-            chosen = F.col("decoy") | (F.col("score") >= F.lit(cut))
-        else:
-            chosen = F.col("decoy") | (F.col("q") <= most_q)
-        sums = {(r["fold"], r["decoy"]): r for r in marked.where(chosen).groupBy("fold", "decoy").agg(*moments).collect()}
-        models = {}
-        for fold in range(folds):
-            models[fold] = [_gaussian([r for (f, d), r in sums.items() if f != fold and d == decoy], k, ridge) for decoy in (False, True)]
-        if any(m is None for pair in models.values() for m in pair):
-            break
-        score = F.coalesce(*[F.when(F.col("fold") == fold, _log_ratio(features, *pair)) for fold, pair in models.items()])
-        state = cut_lineage(x.withColumn("score", score))
-        means = {(r["fold"], r["decoy"]): r["m"] for r in state.groupBy("fold", "decoy").agg(F.avg("score").alias("m")).collect()}
-        turned = [f for f in range(folds) if means.get((f, False), 0.0) < means.get((f, True), 0.0)]
-        if turned:
-            state = state.withColumn("score", F.when(F.col("fold").isin(turned), -F.col("score")).otherwise(F.col("score")))
-    state = cut_lineage(state)
-    return state.select("id", "decoy", "score").join(st.target_decoy_q(state.select("id", "score", "decoy")).select("id", "q"), "id")
-
-
-def _gaussian(rows, k: int, ridge: float):
-    n = sum(r["n"] for r in rows)
-    if n < k + 2:
-        return None
-    mean = np.array([sum(r[f"s{i}"] for r in rows) for i in range(k)]) / n
-    cov = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i + 1):
-            cov[i, j] = cov[j, i] = (sum(r[f"p{i}_{j}"] for r in rows) - n * mean[i] * mean[j]) / (n - 1)
-    cov += ridge * np.eye(k)
-    return mean, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
-
-
-def _log_ratio(features: list[str], target, decoy) -> Column:
-    def density(model):
-        mean, inverse, logdet = model
-        off = [F.col(f) - float(m) for f, m in zip(features, mean)]
-        far = sum((float(inverse[i, j]) * (1 if i == j else 2) * off[i] * off[j] for i in range(len(off)) for j in range(i + 1)), F.lit(0.0))
-        return -0.5 * far - 0.5 * logdet
-
-    return density(target) - density(decoy)
-
-
 def matrices(found: DataFrame, runs: list[str]) -> dict[str, DataFrame]:
     """Wide tables by group: intensity (0 where missing), q (1) and decoy intensity (0), with a column for each run."""
     wide = lambda rows, value, none: rows.groupBy("group").pivot("run", runs).agg(F.first(value)).na.fill(none)

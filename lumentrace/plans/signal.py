@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumentrace.operators import alignment, chains, consensus, isotopes, ownership, quantification, targets, tracking
+from lumentrace.operators import alignment, chains, consensus, isotopes, ownership, quantification, rescoring, targets, tracking
 from lumentrace.sources.adapters import table
 
 PPM, MAX_GAP, MIN_SCANS, CHARGE = 10.0, 1, 3, 2
@@ -100,6 +100,18 @@ def _quantify(spark, d, method):
     return rows.select("run", "group", "intensity", "apex", "start", "end", "n_found", *[F.round(c, 6).alias(c) for c in values], *more)
 
 
+def _scored_cells(spark, d):
+    """Events as cells: users are groups and peptides, odd events decoys, and a target's values lie apart from a decoy's the more the greater they are."""
+    tenth = lambda k: (F.pmod(F.xxhash64("event_id", F.lit(k)), F.lit(1000)) / 1000).cast("double")
+    rows = table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("group"), (F.col("event_id") % 2 == 1).alias("decoy"), F.when(F.col("event_id") % 19 > 0, F.col("value")).otherwise(0.0).alias("intensity"),
+        F.concat(F.lit("P"), F.col("user_id")).alias("peptide"), (F.col("user_id") % 4 + 1).cast("int").alias("charge"), (F.col("value") / (1 + F.col("value"))).alias("weight"), *[tenth(k).alias(f"x{k}") for k in range(6)],
+    )
+    lift = F.when(F.col("decoy"), 0.0).otherwise(F.col("weight"))
+    values = {"hybrid": F.col("x0") + 0.5 * lift, "ppm": F.col("x1") - 0.5 * lift, "rt_off": F.col("x2") - lift, "pattern": F.col("x3") + lift, "coelution": F.when(F.col("x4") > 0.05, F.col("x4") + lift), "im_off": F.lit(None).cast("double")}
+    return rows.withColumns(values)
+
+
 def _run_features(spark, d):
     """Parts as the features of run a; every third of them a little heavier and later as those of run b."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_retailprice").cast("double").alias("mz"), (F.col("p_size") % 3 + 1).cast("int").alias("charge"), F.col("p_size").cast("double").alias("rt"))
@@ -132,6 +144,8 @@ QUERIES = {
     "lfq_grid": _grid,
     "lfq_quantify": lambda s, d: _quantify(s, d, quantification.quantified),
     "lfq_ownership": lambda s, d: _quantify(s, d, ownership.two_passes),
+    "lfq_rescored": lambda s, d: rescoring.rescored(_scored_cells(s, d)).withColumns({c: F.round(c, 6) for c in ("score", "q")}),
+    "lfq_search_rescored": lambda s, d: rescoring.search_rescored(_scored_cells(s, d)).withColumns({c: F.round(c, 6) for c in ("score", "q")}),
     "aln_anchor_candidates": _candidates,
     "aln_anchors": lambda s, d: alignment.anchors(alignment.anchor_candidates(_run_features(s, d), "a", alignment.Warping(anchor_ppm=5.0, rt_window=0.05))).select("run", "charge", "ref_id", "run_id"),
     "con_groups": _groups,
