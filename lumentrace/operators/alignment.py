@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentrace.operators import statistics as st
+
 
 @dataclass(frozen=True)
 class Warping:
@@ -212,3 +214,57 @@ def expected_rt(ref_rt, ref_low, ref_high, low, high, knot_x, knot_y) -> Column:
     """Where a reference time lies in a run: the warp's shift at the reference position, taken back."""
     x = normalise(ref_rt, ref_low, ref_high)
     return denormalise(x - F.coalesce(shift_at(x, knot_x, knot_y), F.lit(0.0)), low, high)
+
+
+def drift_lines(pairs: DataFrame, least_im: int = 4) -> DataFrame:
+    """run, mz_slope, mz_intercept (ppm that a run measures too high), im_slope, im_intercept, on the reference's position.
+
+    Lines with clip over all anchors; zero where there are fewer than two, for
+    mobility fewer than ``least_im`` of known mobility on both sides.
+    """
+    mass = pairs.select("run", F.col("ref_rt").alias("x"), ((F.col("run_mz") - F.col("ref_mz")) / F.col("ref_mz") * 1e6).alias("value"))
+    mobility = pairs.where("ref_im <> 0 and run_im <> 0").select("run", F.col("ref_rt").alias("x"), (F.col("run_im") - F.col("ref_im")).alias("value"))
+    enough = mobility.groupBy("run").count().where(F.col("count") >= least_im).select("run")
+    line = lambda rows, s: st.clipped_line(rows).select("run", F.col("slope").alias(f"{s}_slope"), F.col("intercept").alias(f"{s}_intercept"))
+    out = pairs.select("run").distinct().join(line(mass, "mz"), "run", "left").join(line(mobility.join(F.broadcast(enough), "run"), "im"), "run", "left")  # a row for each run
+    return out.na.fill(0.0)
+
+
+def run_places(features: DataFrame, reference: str, lines: DataFrame, drift: DataFrame) -> DataFrame:
+    """A row for each run: its extent and the reference's (low, high, ref_low, ref_high), its warp and its drift; the reference's are zero."""
+    ranges = rt_ranges(features)
+    ref = ranges.where(F.col("run") == reference).select(F.col("low").alias("ref_low"), F.col("high").alias("ref_high"))
+    out = ranges.join(F.broadcast(ref)).join(lines.select("run", "knot_x", "knot_y"), "run", "left").join(drift, "run", "left")
+    return out.withColumn("is_reference", F.col("run") == reference).na.fill(0.0, ["mz_slope", "mz_intercept", "im_slope", "im_intercept"])
+
+
+def _shift(x) -> Column:
+    return F.coalesce(shift_at(x, F.col("knot_x"), F.col("knot_y")), F.lit(0.0))
+
+
+def to_reference(features: DataFrame, places: DataFrame, own_axis: bool = False) -> DataFrame:
+    """``features`` with ref_rt, ref_mz, ref_im: their places in the reference.
+
+    Drift is read at the position in the reference, which its lines are fitted
+    on; with ``own_axis`` that of mobility is read at the run's own position.
+    """
+    names = [c for c in places.columns if c != "run"]
+    rows = features.join(F.broadcast(places.select("run", F.struct(*names).alias("__p"))), "run").select("*", *[F.col(f"__p.{c}").alias(c) for c in names])  # a row for each run
+    x = normalise(F.col("rt"), F.col("low"), F.col("high"))
+    moved = denormalise(x + _shift(x), F.col("ref_low"), F.col("ref_high"))
+    at = normalise(moved, F.col("ref_low"), F.col("ref_high"))
+    ppm, off = F.col("mz_intercept") + F.col("mz_slope") * at, F.col("im_intercept") + F.col("im_slope") * (x if own_axis else at)
+    own = lambda c, there: F.when(F.col("is_reference"), F.col(c)).otherwise(there).alias(f"ref_{c}")
+    im = F.when(F.coalesce("im", F.lit(0.0)) == 0, F.col("im")).otherwise(F.col("im") - off)
+    return rows.select(*features.columns, own("rt", moved), own("mz", F.col("mz") / (1 + ppm * 1e-6)), own("im", im))
+
+
+def to_runs(groups: DataFrame, places: DataFrame) -> DataFrame:
+    """``groups`` (ref_mz, ref_rt, ref_im) in each run: run, rt, mz, im where that run should have them, low and high."""
+    each = groups.join(F.broadcast(places))  # a row for each group and run is the result
+    x = normalise(F.col("ref_rt"), F.col("ref_low"), F.col("ref_high"))
+    moved = denormalise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x - _shift(x))), F.col("low"), F.col("high"))
+    ppm, off = F.col("mz_intercept") + F.col("mz_slope") * x, F.col("im_intercept") + F.col("im_slope") * x
+    own = lambda c, there: F.when(F.col("is_reference"), F.col(f"ref_{c}")).otherwise(there).alias(c)
+    im = F.when(F.col("ref_im") == 0, 0.0).otherwise(F.col("ref_im") + off)
+    return each.select(*groups.columns, "run", own("rt", moved), own("mz", F.col("ref_mz") * (1 + ppm * 1e-6)), own("im", im), "low", "high")

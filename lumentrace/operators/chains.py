@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lumentrace.functions.binding import bound
 from lumentrace.functions.lineage import cut_lineage
 from lumentrace.operators.isotopes import NEUTRON, neutral_mass, with_patterns
-from lumentrace.operators.statistics import surface_bin
+from lumentrace.operators.statistics import recalibration_surface, surface_bin
 from lumentrace.operators.traces import elution_cosine
 
 KEYS = ["run", "channel"]
@@ -96,7 +96,7 @@ def candidates(hills: DataFrame, o: Chains = Chains(), surface: DataFrame | None
         asked = growing.withColumn("target", target)
         if surface is not None:
             asked = looked_up(asked.withColumns({"mz": F.col("target"), "rt": F.col("seed.rt")}), surface)
-            asked = asked.withColumn("target", F.col("target") * (1 + F.col("centre") * 1e-6)).drop("mz", "rt", "centre", "spread")
+            asked = asked.withColumn("target", F.col("target") * (1 + F.coalesce("centre", F.lit(0.0)) * 1e-6)).drop("mz", "rt", "centre", "spread")
         asked = asked.withColumns({
             "tolerance": F.col("seed.mz") * F.col("seed_ppm") * 1e-6, "ref_start": F.col("last.scan_start"), "ref_end": F.col("last.scan_end"),
             "ref_im": F.col("last.im"), "ref_intensity": F.col("last.intensity_max"), "taken": F.transform("members", lambda m: m.hill_id),
@@ -220,17 +220,32 @@ def spacing_residuals(found: DataFrame, hills: DataFrame, most_ppm: float = 40.0
     before = F.lag("mz").over(Window.partitionBy(*KEYS, "seed", "charge").orderBy("mz"))
     step = NEUTRON / F.col("charge")
     rows = rows.withColumn("gap", F.col("mz") - before).where(F.abs(F.col("gap") - step) <= 0.5 * step)
-    return rows.select("run", "mz", "rt", ((F.col("gap") - step) / F.col("mz") * 1e6).alias("residual")).where(F.abs("residual") <= most_ppm)
+    return rows.select(*KEYS, "mz", "rt", ((F.col("gap") - step) / F.col("mz") * 1e6).alias("residual")).where(F.abs("residual") <= most_ppm)
+
+
+def unit(*names: str):
+    """A number for a run's channel, which may be null."""
+    return F.xxhash64(*(names or KEYS)).alias("unit")
+
+
+def recalibration(residuals: DataFrame, least: int = 50) -> DataFrame:
+    """The surface of each run's channel from its ``spacing_residuals``, by ``unit``; none where there are fewer than ``least``."""
+    return recalibration_surface(residuals.select(unit(), "mz", "rt", "residual"), least=least, keys=("unit",))
 
 
 def looked_up(rows: DataFrame, surface: DataFrame, mz_bins: int = 20, rt_bins: int = 8) -> DataFrame:
     """``rows`` (mz, rt) with centre and spread of a ``recalibration_surface``: of the cell, else the column, else the whole.
 
-    Places beyond the surface take its edge bins.  The surface is broadcast:
-    ``mz_bins * (rt_bins + 1) + 1`` rows at most.
+    Places beyond the surface take its edge bins.  A surface with ``unit`` is
+    that of each run's channel; where a channel has none, both are null.  The
+    surface is broadcast: ``mz_bins * (rt_bins + 1) + 1`` rows at most a channel.
     """
     value = F.struct("centre", "spread")
-    maps = surface.agg(F.map_from_entries(F.collect_list(F.struct((F.col("mz_bin") * 1000 + F.col("rt_bin")).alias("k"), value.alias("v")))).alias("cells"), *[F.max(c).alias(c) for c in ("mz_low", "mz_high", "rt_low", "rt_high")])
-    near = rows.join(F.broadcast(maps)).withColumns({"__m": surface_bin("mz", mz_bins) * 1000, "__r": surface_bin("rt", rt_bins)})
+    made = [F.map_from_entries(F.collect_list(F.struct((F.col("mz_bin") * 1000 + F.col("rt_bin")).alias("k"), value.alias("v")))).alias("cells"), *[F.max(c).alias(c) for c in ("mz_low", "mz_high", "rt_low", "rt_high")]]
+    if "unit" in surface.columns:
+        near = rows.withColumn("unit", unit()).join(F.broadcast(surface.groupBy("unit").agg(*made)), "unit", "left")
+    else:
+        near = rows.join(F.broadcast(surface.agg(*made)))
+    near = near.withColumns({"__m": surface_bin("mz", mz_bins) * 1000, "__r": surface_bin("rt", rt_bins)})
     got = F.coalesce(*[F.try_element_at("cells", k) for k in (F.col("__m") + F.col("__r"), F.col("__m") - 1, F.lit(-1001))])
     return near.withColumn("__got", got).select(*rows.columns, F.col("__got.centre").alias("centre"), F.col("__got.spread").alias("spread"))

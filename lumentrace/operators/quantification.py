@@ -40,13 +40,20 @@ class Extraction:
     projected: bool = False
 
 
-def columns_for(hills: DataFrame, o: Extraction = Extraction(), scans_a_column: float = 2.0, least: int = 6) -> DataFrame:
-    """run, columns: as many as the window holds at the run's scan spacing (upper median over hills of three scans or more), within limits."""
+SCANS_A_COLUMN, LEAST_COLUMNS = 2.0, 6
+
+
+def scan_spacing(hills: DataFrame) -> DataFrame:
+    """run, spacing: the upper median of the time from scan to scan over hills of three scans or more."""
     rows = hills.where((F.col("scan_end") - F.col("scan_start") >= 2) & (F.col("rt_end") > F.col("rt_start")))
     spacing = (F.col("rt_end") - F.col("rt_start")) / (F.col("scan_end") - F.col("scan_start"))
-    found = st.medians(rows.select("run", spacing.alias("spacing")), ["run"], "spacing", upper=True).withColumnRenamed("median", "spacing")
+    return st.medians(rows.select("run", spacing.alias("spacing")), ["run"], "spacing", upper=True).select("run", F.col("median").alias("spacing"))
+
+
+def columns_for(hills: DataFrame, o: Extraction = Extraction(), scans_a_column: float = SCANS_A_COLUMN, least: int = LEAST_COLUMNS) -> DataFrame:
+    """run, columns: as many as the window holds at the run's scan spacing, within limits."""
     wanted = F.round(2 * o.half_window / (scans_a_column * F.col("spacing")))
-    each = hills.select("run").distinct().join(found, "run", "left")
+    each = hills.select("run").distinct().join(scan_spacing(hills), "run", "left")
     return each.select("run", F.coalesce(F.greatest(F.lit(least), F.least(F.lit(o.columns), wanted)), F.lit(o.columns)).cast("int").alias("columns"))
 
 

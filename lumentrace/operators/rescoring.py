@@ -108,11 +108,11 @@ def _moments(rows: DataFrame, features: list[str]) -> dict:
 
 def _learnt(train: DataFrame, features: list[str], rounds: int, conservative: bool, least: int = LEAST_POSITIVES) -> dict[int, Quadratic]:
     """The last model of each unit.  ``train`` has unit, id, decoy, score (where to start) and standardised features."""
-    train, models, at_work = cut_lineage(train), {}, None
+    now, models = cut_lineage(train), {}
+    units = sorted(r["unit"] for r in now.select("unit").distinct().collect())  # a handful
     for _ in range(rounds):
-        now = train if at_work is None else at_work
         ranked = now.withColumns({"t": (~F.col("decoy")).cast("int"), "d": F.col("decoy").cast("int")})
-        ranked = cut_lineage(st.cumulated(ranked, ["unit"], [F.desc("score"), F.col("id")], ["t", "d"]))
+        ranked = st.cumulated(ranked, ["unit"], [F.desc("score"), F.col("id")], ["t", "d"])
         if conservative:
             ends = ranked.groupBy("unit", "score").agg(F.max("upto_t").alias("upto_t"), F.max("upto_d").alias("upto_d"), F.max("t").alias("t"))
             picked = ends.where((F.col("t") > 0) & ((F.col("upto_d") + 1) / F.greatest(F.lit(1), F.col("upto_t")) <= MOST_Q))
@@ -120,7 +120,6 @@ def _learnt(train: DataFrame, features: list[str], rounds: int, conservative: bo
             picked = ranked.where(~F.col("decoy") & (F.col("upto_d") / F.greatest(F.lit(1), F.col("upto_t")) <= MOST_Q))
         # The targets down to the last one with a low rate; the best ones where those are few.
         counts = {r["unit"]: r["n"] for r in picked.groupBy("unit").agg(F.max("upto_t").alias("n")).collect()}
-        units = sorted(r["unit"] for r in ranked.select("unit").distinct().collect())  # a handful
         most = F.coalesce(*[F.when(F.col("unit") == u, max(least, counts.get(u, 0))) for u in units], F.lit(least))
         moments = _moments(ranked.where(F.col("decoy") | (F.col("upto_t") <= most)), features)
         fresh = {u: fitted([moments[u, d] for d in (False, True) if (u, d) in moments]) for u in units}
@@ -129,7 +128,7 @@ def _learnt(train: DataFrame, features: list[str], rounds: int, conservative: bo
         if not fresh:
             break
         score = F.coalesce(*[F.when(F.col("unit") == u, m.score([F.col(f) for f in features])) for u, m in fresh.items()], F.lit(0.0))
-        at_work = now.where(F.col("unit").isin(list(fresh))).select("unit", "id", "decoy", score.alias("score"), *features)
+        now = now.where(F.col("unit").isin(list(fresh))).select("unit", "id", "decoy", score.alias("score"), *features)
     return models
 
 

@@ -238,23 +238,26 @@ def run_report(found: DataFrame) -> DataFrame:
     return rows.groupBy("run").agg(F.count("*").alias("n"), F.percentile("n_scans", 0.5).alias("median_scans"), F.percentile("intensity_max", 0.5).alias("median_apex"), F.round(F.stddev_samp("n_scans"), 6).alias("std_scans"))
 
 
-def recalibration_surface(rows: DataFrame, mz_bins: int = 20, rt_bins: int = 8, least: int = 50) -> DataFrame:
-    """Median and scaled MAD of ``residual`` in each (mz, rt) cell of ``least`` rows or more, each mz column and overall.
+def recalibration_surface(rows: DataFrame, mz_bins: int = 20, rt_bins: int = 8, least: int = 50, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Median and scaled MAD of ``residual`` in each (mz, rt) cell of ``least`` rows or more, each mz column and overall, within ``keys``.
 
     A column has rt_bin -1, the whole has -1 for both; extents stay in mz_low,
     mz_high, rt_low, rt_high.  No rows where there are fewer than ``least``.
     Medians go out again by broadcast: a row for each cell,
-    ``mz_bins * (rt_bins + 1) + 1`` at most.
+    ``mz_bins * (rt_bins + 1) + 1`` at most for each key.
     """
-    extent = rows.agg(F.min("mz").alias("mz_low"), F.max("mz").alias("mz_high"), F.min("rt").alias("rt_low"), F.max("rt").alias("rt_high"), F.count("*").alias("whole")).where(F.col("whole") >= least)
-    cells = rows.join(F.broadcast(extent)).select(surface_bin("mz", mz_bins).alias("m"), surface_bin("rt", rt_bins).alias("r"), "residual")
+    keys = list(keys)
+    beside = lambda left, right: left.join(F.broadcast(right), keys) if keys else left.join(F.broadcast(right))
+    extent = rows.groupBy(*keys).agg(F.min("mz").alias("mz_low"), F.max("mz").alias("mz_high"), F.min("rt").alias("rt_low"), F.max("rt").alias("rt_high"), F.count("*").alias("whole")).where(F.col("whole") >= least)
+    cells = beside(rows, extent).select(*keys, surface_bin("mz", mz_bins).alias("m"), surface_bin("rt", rt_bins).alias("r"), "residual")
     none = F.lit(-1)
     levels = F.array(F.struct(F.col("m").alias("mz_bin"), F.col("r").alias("rt_bin")), F.struct(F.col("m").alias("mz_bin"), none.alias("rt_bin")), F.struct(none.alias("mz_bin"), none.alias("rt_bin")))
-    each = cells.select(F.col("residual").cast("double").alias("residual"), F.inline(levels))
-    centre = medians(each, ["mz_bin", "rt_bin"], "residual").withColumnRenamed("median", "centre").where((F.col("rt_bin") < 0) | (F.col("n") >= least))
-    off = each.join(F.broadcast(centre), ["mz_bin", "rt_bin"]).select("mz_bin", "rt_bin", F.abs(F.col("residual") - F.col("centre")).alias("off"))
-    spread = medians(off, ["mz_bin", "rt_bin"], "off").select("mz_bin", "rt_bin", F.when(F.col("n") < 2, 0.0).otherwise(1.4826 * F.col("median")).alias("spread"))
-    return centre.join(spread, ["mz_bin", "rt_bin"]).join(F.broadcast(extent.drop("whole")))
+    each = cells.select(*keys, F.col("residual").cast("double").alias("residual"), F.inline(levels))
+    bins = [*keys, "mz_bin", "rt_bin"]
+    centre = medians(each, bins, "residual").withColumnRenamed("median", "centre").where((F.col("rt_bin") < 0) | (F.col("n") >= least))
+    off = each.join(F.broadcast(centre), bins).select(*bins, F.abs(F.col("residual") - F.col("centre")).alias("off"))
+    spread = medians(off, bins, "off").select(*bins, F.when(F.col("n") < 2, 0.0).otherwise(1.4826 * F.col("median")).alias("spread"))
+    return beside(centre.join(spread, bins), extent.drop("whole"))
 
 
 def surface_bin(axis: str, n: int) -> F.Column:
