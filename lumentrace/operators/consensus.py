@@ -148,8 +148,10 @@ def clusters(rows: DataFrame, o: Grouping = Grouping(), by: tuple[str, ...] = ()
                     wait = block.waits(cell, rank)
                     name = None if wait else block.place(rank, f"{r['rank']['run']}:{r['rank']['feature_id']}", r["rank"]["mass"], r["rank"]["rt"], r["rank"]["im"])
                     out.append({k: r[k] for k in ("row", *key, "rank", "square")} | {"group_id": name, "state": None})
-            yield framed(out)
-        yield framed(finished(block, now))
+            if out:
+                yield framed(out)
+        if block is not None and block.changed:
+            yield framed(finished(block, now))
 
     def finished(block, now):
         names = ["score", *ORDER[1:]]

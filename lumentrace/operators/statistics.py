@@ -63,23 +63,28 @@ def clipped_line(rows: DataFrame, rounds: int = 5, sigmas: float = 3.0, least_si
     done when its spread is below ``least_sigma``, and has all its rows back,
     under the line before, where fewer than two would be left.
     """
-    line = lambda df: df.groupBy("run").agg(F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"), F.count("*").alias("n"))
     none = F.array().cast("array<struct<slope:double,intercept:double,most:double>>")
-    state = cut_lineage(line(rows).withColumns({"cuts": none, "done": F.lit(False)}))
+    first = rows.groupBy("run").agg(F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"), F.count("*").alias("n"))
+    state = cut_lineage(first.withColumns({"cuts": none, "done": F.lit(False)}))
+
+    def again(state: DataFrame) -> DataFrame:
+        """The line through the rows that keep all cuts, and their spread around it, in one pass: both from how they lie off the line before."""
+        off = F.col("value") - F.col("slope") * F.col("x") - F.col("intercept")
+        kept = kept_rows(rows, state).select("run", "x", off.alias("off"), "slope", "intercept")
+        spread = F.sqrt(F.greatest(F.lit(0.0), F.regr_syy("off", "x") - F.regr_sxy("off", "x") * F.regr_slope("off", "x")) / (F.count("*") - 1))
+        new = F.struct((F.first("slope") + F.regr_slope("off", "x")).alias("slope"), (F.first("intercept") + F.regr_intercept("off", "x")).alias("intercept"), F.count("*").alias("n"), F.when(F.count("*") > 1, spread).alias("sigma"))
+        return state.join(F.broadcast(kept.groupBy("run").agg(new.alias("new"))), "run", "left")  # a row for each run
+
+    state = cut_lineage(again(state).select(*state.columns, F.col("new.sigma").alias("sigma")))
     for _ in range(rounds):
-        kept = kept_rows(rows, state)
-        spread = kept.groupBy("run").agg(F.stddev_samp(F.col("value") - F.col("slope") * F.col("x") - F.col("intercept")).alias("sigma"))
-        state = state.join(F.broadcast(spread), "run", "left")  # a row for each run, here and below
         state = state.withColumn("done", F.col("done") | F.coalesce(F.col("sigma") < least_sigma, F.lit(True)))
         cut = F.struct("slope", "intercept", (sigmas * F.col("sigma")).alias("most"))
-        state = cut_lineage(state.withColumn("cuts", F.when(F.col("done"), F.col("cuts")).otherwise(F.concat("cuts", F.array(cut)))))
-        fresh = line(kept_rows(rows, state)).select("run", F.struct("slope", "intercept", "n").alias("new"))
-        state = state.join(F.broadcast(fresh), "run", "left").withColumn("few", ~F.col("done") & (F.coalesce("new.n", F.lit(0)) < 2))
-        take = ~F.col("done") & ~F.col("few")
+        state = again(state.withColumn("cuts", F.when(F.col("done"), F.col("cuts")).otherwise(F.concat("cuts", F.array(cut)))))
+        few = ~F.col("done") & (F.coalesce("new.n", F.lit(0)) < 2)
+        take = ~F.col("done") & ~few
         state = state.select(
-            "run", *[F.when(take, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("slope", "intercept")],
-            F.when(take, F.col("new.n")).otherwise(F.col("n")).alias("n"),
-            F.when(F.col("few"), none).otherwise(F.col("cuts")).alias("cuts"), (F.col("done") | F.col("few")).alias("done"),
+            "run", *[F.when(take, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("slope", "intercept", "n", "sigma")],
+            F.when(few, none).otherwise(F.col("cuts")).alias("cuts"), (F.col("done") | few).alias("done"),
         )
         state = cut_lineage(state)
     whole = rows.groupBy("run").agg(F.count("*").alias("whole"))

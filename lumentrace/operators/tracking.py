@@ -237,7 +237,8 @@ def track(spectra: DataFrame, options: Tracking = Tracking()) -> DataFrame:
             if len(held) == 5000:
                 yield frame()
                 held = []
-        yield frame()
+        if held:
+            yield frame()
 
     cut = islands(rows, options.ppm, options.max_gap).select("run", "channel", F.col("island.band").alias("band"), F.col("island.stretch").alias("stretch"), "scan", "rt", "mz", "intensity", "im")
     cut = cut.repartition("run", "channel", "band", "stretch").sortWithinPartitions("run", "channel", "band", "stretch", "scan", "mz", "intensity")
@@ -296,7 +297,7 @@ def options_for(level: int, base: Tracking = Tracking(), **fragment) -> Tracking
     return base if level == 1 else Tracking(**asdict(base) | {k: v for k, v in fragment.items() if v is not None})
 
 
-def clip_noise(spectra: DataFrame, sigma: float = 3.0, rounds: int = 64) -> DataFrame:
+def clip_noise(spectra: DataFrame, sigma: float = 3.0) -> DataFrame:
     """Peaks above their scan's noise: median + sigma * 1.4826 * MAD of what stays below it, until nothing more leaves.
 
     ``spectra`` has scans of three peaks or more clipped; smaller ones pass.
@@ -313,21 +314,23 @@ def clip_noise(spectra: DataFrame, sigma: float = 3.0, rounds: int = 64) -> Data
         off = F.transform(centre, lambda m: middle(F.array_sort(F.transform(a, lambda x: F.abs(x - m)))))
         return F.get(centre, F.lit(0)) + sigma * 1.4826 * F.get(off, F.lit(0))
 
-    def shrink(a, _):
-        less = F.transform(F.array(threshold(a)), lambda t: F.filter(a, lambda x: x <= t))[0]
-        return F.when(F.size(a) < 3, a).otherwise(less)
+    def shrink(state, _):
+        less = F.transform(F.array(threshold(state.left)), lambda t: F.filter(state.left, lambda x: x <= t))[0]
+        now = F.transform(F.array(less), lambda a: F.struct(a.alias("left"), (F.size(a) == F.size(state.left)).alias("done")))[0]
+        return F.when(state.done | (F.size(state.left) < 3), state).otherwise(now)
 
-    kept = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("all"), shrink)
+    # Each turn takes a peak at least or is the last, so there are no more turns than peaks.
+    kept = F.aggregate(F.sequence(F.lit(1), F.size("all")), F.struct(F.col("all").alias("left"), F.lit(False).alias("done")), shrink).left
     scans = scans.withColumn("noise", F.when(F.size("all") >= 3, kept)).select(*keys, F.when(F.col("noise").isNotNull() & (F.size("noise") > 0), threshold(F.col("noise"))).alias("floor"))
     on = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in keys]
     return spectra.alias("s").join(scans.alias("n"), on).where(F.col("n.floor").isNull() | (F.col("s.intensity") > F.col("n.floor"))).select("s.*")
 
 
 def shuffled_scans(spectra: DataFrame, seed: int = 0) -> DataFrame:
-    """Decoys: each channel's scans in a hashed order, the same on every run."""
+    """Decoys: each channel's scans in the order of a hash, the same on every run."""
     scans = spectra.select("run", "channel", "scan").distinct()
     window = Window.partitionBy("run", "channel")  # a row for each scan
-    scans = scans.withColumn("nth", F.row_number().over(window.orderBy("scan"))).withColumn("drawn", F.row_number().over(window.orderBy(F.xxhash64("scan", F.lit(seed)), "scan")))
+    scans = scans.withColumn("nth", F.row_number().over(window.orderBy("scan"))).withColumn("drawn", F.row_number().over(window.orderBy(F.md5(F.concat_ws(":", F.col("scan").cast("string"), F.lit(str(seed)))), "scan")))
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("run", "channel")]
     moved = scans.alias("a").join(scans.alias("b"), [*on, F.col("a.nth") == F.col("b.drawn")]).select("a.run", "a.channel", F.col("a.scan").alias("scan"), F.col("b.scan").alias("new"))
     on = [F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("run", "channel", "scan")]

@@ -155,7 +155,7 @@ QUERIES = {
     "sco_isotope_pattern": _patterns,
     "sco_best_sulfur": _best_sulfur,
     "pre_noise_clip": lambda s, d: tracking.clip_noise(spectra(s, d), 1.0).select("channel", "scan", F.round("mz", 6).alias("mz"), "intensity"),
-    "pre_decoy_scans": lambda s, d: tracking.shuffled_scans(spectra(s, d)).groupBy("channel").agg(F.count("*").alias("n"), F.count_distinct("scan").alias("n_scans"), F.sum("intensity").alias("intensity")),
+    "pre_decoy_scans": lambda s, d: tracking.shuffled_scans(spectra(s, d).withColumn("old", F.col("scan"))).groupBy("channel", "old", F.col("scan").alias("new")).agg(F.count("*").alias("n"), F.sum("intensity").alias("intensity")),
 }
 
 _RUNGS = f"""
@@ -226,5 +226,7 @@ w as (select id, sulfur, {_product("base", "s.p")} as p from tried join t s on s
 q as (select id, sulfur, p[1] + p[2] + p[3] as q, 5.0::double + (id % 7 + 1) + id % 3 as total, sqrt(5.0 * p[1]) + sqrt((id % 7 + 1) * p[2]) + sqrt((id % 3) * p[3]) as dot from u),
 x as (select id, sulfur, dot / sqrt(total * q) * q as score from q)
 select id, round(score, 9) as score, sulfur from x qualify row_number() over (partition by id order by score desc, sulfur) = 1""",
-    "pre_decoy_scans": f"with {_RUNGS}, c as (select channel, count(*) as n, count(distinct scan) as n_scans, sum(v) as intensity from rungs group by channel) select * from c",
+    "pre_decoy_scans": f"""with {_RUNGS}, c as (select channel, scan, count(*) as n, sum(v) as intensity from rungs group by all),
+o as (select *, row_number() over (partition by channel order by scan) as nth, row_number() over (partition by channel order by md5(scan::varchar || ':0'), scan) as drawn from c)
+select a.channel, a.scan as old, b.scan as new, a.n, a.intensity from o a join o b on a.channel = b.channel and a.nth = b.drawn""",
 }

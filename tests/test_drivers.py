@@ -33,14 +33,14 @@ def test_recalibrated_features(spark):
         rows += [(*r[:3], r[3] + 0.002 * j, *r[4:]) for j, r in enumerate(envelope("b", 10 * k, mz, 2, float(rng.uniform(1, 9)), 1000.0, isotopes=2))]
     rows += envelope("c", 0, 500.0, 2, 5.0, 1000.0)
     hills = spark.createDataFrame(rows, HILLS)
-    o = chains.Chains(charges=(2, 2), ppm=10.0)
+    o = chains.Chains(charges=(2, 2), ppm=10.0, max_isotopes=2)
     found, surface = drivers.find_features(hills, o, least=50)
     units = {r.unit: r.centre for r in surface.where("mz_bin = -1").collect()}
     runs = {r.run: units.get(r.unit) for r in hills.select("run", chains.unit("run", "channel")).distinct().collect()}
     assert runs["a"] == pytest.approx(0.0, abs=0.01) and runs["b"] == pytest.approx(0.002 / 650 * 1e6, abs=0.5) and runs["c"] is None
     assert found.groupBy("run", "n_isotopes").count().orderBy("run").collect() == [("a", 3, 60), ("b", 2, 60), ("c", 3, 1)]
     # With a tolerance below the drift, the surface finds what plain targets miss.
-    narrow = chains.Chains(charges=(2, 2), ppm=2.5)
+    narrow = chains.Chains(charges=(2, 2), ppm=2.5, max_isotopes=1)
     b = hills.where("run = 'b'")
     assert chains.candidates(b, narrow).count() < 45 and chains.candidates(b, narrow, surface).count() >= 50
     few, none = drivers.find_features(hills.where("run = 'c'"), o)
