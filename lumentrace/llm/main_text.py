@@ -41,6 +41,10 @@ APART = frozenset("nav footer aside form menu dialog search fieldset".split())
 APART_NAMES = frozenset("ad ads adv advert advertisement adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 #: Such a word after one of these names a part of the article itself.
 OWN_NAMES = frozenset("article content entry page post story text".split())
+#: Names of elements that hold an article, and what may follow them.
+ARTICLE_NAMES, ARTICLE_PARTS = frozenset("article entry post story".split()), frozenset("body content main text".split())
+#: Words behind a name that sets apart which leave its meaning; inside an article others change it (a share price is text).
+CARRIERS = frozenset("area articles bar block blocks box button buttons card cards column container content count cta form group header heading icon icons inner item items label left link links list message news outer pages panel posts reading right row section slot stories strip text thread tile title top unit wrap wrapper".split())
 #: A part of a name that has one of these says what a wrapper has or lacks, not what it is.
 HAVING = frozenset("has have having with without no not hide hides show shows".split())
 #: Elements that no name sets apart.
@@ -54,14 +58,15 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: What stands between a tag's name and its end: a quote opens a value only behind an equals sign.
 INSIDE = r"""(?:=\s*+(?:"[^"]*"|'[^']*')|[^>])*+"""
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({INSIDE})>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
+LINK = re.compile(r"<(/)?a(?=[\s>/])", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 CUES = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden", "data-main"))
 WORD_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @lru_cache(maxsize=4096)
-def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """(apart, apart by a name, article, marked as main in the labelled table) of an opening tag."""
+def _kind(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool, bool, bool]:
+    """(apart, apart by a name, article, marked as main in the labelled table) of an opening tag, ``inside`` an article or not."""
     apart, named, article, marked = tag in APART, False, tag in ("article", "main"), False
     for name, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), next(filter(None, values), "")
@@ -73,6 +78,10 @@ def _kind(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
             for part in value.split():
                 words = [w.lower() for w in WORD_OF_NAME.findall(part)]
                 first = next((i for i, w in enumerate(words) if w in APART_NAMES), None)
+                if words and words[0] in ARTICLE_NAMES and (len(words) == 1 or len(words) == 2 and words[1] in ARTICLE_PARTS):
+                    article = article or tag in HOLDERS
+                if inside and first is not None and words[-1] not in APART_NAMES and words[-1] not in CARRIERS:
+                    first = None
                 if first is not None and not HAVING.intersection(words[:first]) and not (words[0] in OWN_NAMES and words[-1] not in APART_NAMES):
                     named = True
                 if words and words[0] in ("header", "masthead") or words[-2:] in (["site", "header"], ["page", "header"]):
@@ -125,7 +134,7 @@ def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = [("", False, False, False, ())]
     parts: list[str] = []
-    link_chars, in_link, heading, title, marked, own, n_named = 0, False, False, False, False, False, 0
+    link_chars, in_link, over, heading, title, marked, own, n_named = 0, False, False, False, False, False, False, 0
 
     def close() -> None:
         nonlocal link_chars
@@ -155,11 +164,14 @@ def blocks(html: str) -> list[Block]:
         tag, closing = tag.lower(), bool(token[2])
         if tag == "a":
             in_link = not closing
+            # A link goes over blocks if its end comes before another link begins; else the next block ends it.
+            end = LINK.search(html, at) if in_link else None
+            over = end is not None and end[1] is not None
         elif tag in ("br", "img", "input", "wbr"):
             parts.append("" if tag == "wbr" else " ")
         elif tag in BLOCKS:
             close()
-            in_link = False
+            in_link = in_link and over
             heading = tag[0] == "h" and tag[1:].isdigit() and not closing
             title, marked, own = heading and tag == "h1", False, False
             if closing:
@@ -169,8 +181,8 @@ def blocks(html: str) -> list[Block]:
                 continue
             while stack[-1][0] in SHORT or stack[-1][0] in ITEMS.get(tag, ()):
                 stack.pop()
-            apart, named, article, main = _kind(tag, token[4])
             _, was_apart, was_article, was_main, names = stack[-1]
+            apart, named, article, main = _kind(tag, token[4], was_article)
             if named and tag in SHORT:
                 own = True
             elif named:
