@@ -24,9 +24,11 @@ repeated records; an empty table gives no records; other columns are ignored.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import html as references
 import io
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -157,14 +159,67 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, "headers map<string,string>, block binary")
 
 
+def _unchunked(body: bytes) -> bytes:
+    """The parts of a chunked body; what follows a length that is no number is left as it is."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0].strip(), 16)
+        except ValueError:
+            return b"".join(out) + body[at:]
+        if size <= 0:
+            break
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(out)
+
+
+def decoded(head: str, body: bytes) -> str:
+    """The text of an HTTP body: its transfer and content encoding undone, in its charset; wrong bytes become U+FFFD, unknown encodings stay."""
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.split(CRLF)[1:])}
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        body = _unchunked(body)
+    for coding in reversed(fields.get("content-encoding", "").lower().split(",")):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding.strip(), ()):
+            try:
+                body = zlib.decompressobj(bits).decompress(body)
+                break
+            except zlib.error:
+                continue
+    charset = re.search(r"charset\s*=\s*[\"']?([^\s\"';]+)", fields.get("content-type", ""), re.I)
+    try:
+        return body.decode(charset[1] if charset else "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        return body.decode("utf-8", "replace")
+
+
+NAMED = {"record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "block_digest": "warc-block-digest"}
+
+
+def _read_responses(batches):
+    names = [*NAMED, "http_headers", "payload"]
+    sha = lambda b: f"sha256:{hashlib.sha256(b).hexdigest()}"
+    for batch in batches:
+        out = []
+        for headers, block in zip(batch.column("headers").to_pylist(), batch.column("block").to_pylist()):
+            held, block = dict(headers), block or b""
+            head, found, body = block.partition(b"\r\n\r\n")
+            row = {c: held.get(name) for c, name in NAMED.items()}
+            row |= {"payload_digest": row["payload_digest"] or sha(body), "block_digest": row["block_digest"] or sha(block)}
+            head = head.decode("utf-8", "replace")
+            out.append([*row.values(), head, decoded(head, body) if found else None])
+        columns = list(zip(*out)) or [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
+
+
 def responses(records: DataFrame) -> DataFrame:
-    """The response records among those of ``read_warc``, for ``derive``: the HTTP head goes up to the first empty line."""
-    rows = records.where(F.lower(F.element_at("headers", "warc-type")) == "response")
-    block = F.make_valid_utf8(F.col("block").cast("string"))
-    named = {"record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "block_digest": "warc-block-digest"}
-    rows = rows.select(*[F.try_element_at("headers", F.lit(name)).alias(c) for c, name in named.items()], F.locate(CRLF + CRLF, block).alias("end"), block.alias("text"))
-    head = F.when(F.col("end") > 0, F.expr("substring(text, 1, end - 1)")).otherwise(F.col("text"))
-    return rows.select(*named, head.alias("http_headers"), F.when(F.col("end") > 0, F.expr("substring(text, end + 4)")).alias("payload"))
+    """The response records among those of ``read_warc``, for ``derive``: the HTTP head goes up to the first empty line.
+
+    Digests that a record lacks are of its bytes as they are; the payload is
+    their text, decoded.
+    """
+    rows = records.where(F.lower(F.element_at("headers", "warc-type")) == "response").select("headers", "block")
+    return rows.mapInArrow(_read_responses, ", ".join(f"{c} string" for c in [*NAMED, "http_headers", "payload"]))
 
 
 def responses_of(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:

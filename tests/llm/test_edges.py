@@ -1,5 +1,9 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for each operator."""
 
+import gzip
+import hashlib
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +109,22 @@ def test_names_of_wrappers_and_open_elements():
     assert main_text.main_text(opened, tree) == f"{one}\n{two}\n{three}"
 
 
+def test_cards_and_names_inside_articles():
+    tree = main_text.grow(*main_text.LABELLED())
+    long = " ".join(["The paragraph tells the reader at some length what was found and why it came to be so."] * 2)
+    want = f"The title\nPart one\n{long}\nPart two\nshort one.\n{long}\nfirst item\nsecond item"
+    body = f"<h1>The title</h1><h2>Part one</h2><p>{long}</p><h2>Part two</h2><p>short one.</p><blockquote>{long}</blockquote><ul><li>first item<li>second item</ul>"
+    for name in ("post", "entry-content", "article-body", "story"):
+        assert main_text.main_text(f"<body><nav><a href=a>Home</a></nav><div class={name}>{body}</div><footer>All rights</footer>", tree) == want
+    own = f"<div class='share-price'><p>{long}</p></div><section id='related-work'><p>{long}</p></section>"
+    other = f"<div class='share-buttons'>Tell your friends</div><div class='related-posts'><p>{long}</p></div><div class='comment-list'><p>{long}</p></div>"
+    assert main_text.main_text(f"<article><h1>The title</h1><p>{long}</p>{own}{other}</article>", tree) == "\n".join(["The title", long, long, long])
+    card = lambda text: f"<a href=x><div><h3>Another page about things</h3><p>{text}</p></div></a>"
+    found = main_text.blocks(f"<div>{card(long)}{card('short')}<a href=y>open<p>not in a link</p><a href=z>two</a></div>")
+    assert [(b.text == long or b.text, b.linked) for b in found if b.linked < 1] == [("not in a link", 0.0)]
+    assert main_text.main_text(f"<article><h1>The title</h1><p>{long}</p></article><div>{card(long)}{card('short')}</div>", tree) == f"The title\n{long}"
+
+
 def test_quotes_open_only_behind_equals_signs():
     text = lambda html: [b.text for b in main_text.blocks(html)]
     assert text("<p title=it's>Hello don't <b>x</b> stop</p>") == ["Hello don't x stop"]
@@ -172,6 +192,24 @@ def test_responses_of_files(spark, tmp_path):
     assert rows["conversion", "<urn:uuid:3>"].source_payload_digest.startswith("sha256:")
 
 
+def test_digests_and_encodings_of_files(spark, tmp_path):
+    """Digests are those of the bytes; the text comes after transfer, content encoding and charset."""
+    html = "<p>Grüße für alle</p>"
+    latin, chunks = html.encode("latin-1"), b"8\r\n%s\r\n%x;x=y\r\n%s\r\n0\r\n\r\n"
+    utf, packed = html.encode(), gzip.compress(html.encode())
+    bodies = [
+        (b"Content-Type: text/html; charset=ISO-8859-1", latin), (b"Content-Encoding: gzip", packed), (b"Transfer-Encoding: chunked", chunks % (utf[:8], len(utf) - 8, utf[8:])),
+        (b"Content-Encoding: deflate", zlib.compress(utf)), (b"Content-Encoding: gzip", b"no gzip at all"), (b"Content-Type: text/html; charset=nosuch", utf),
+    ]
+    blocks = [b"HTTP/1.1 200 OK\r\n%s\r\n\r\n%s" % x for x in bodies]
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%d>\r\nContent-Length: %d\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(b"".join(head % (i, len(b)) + b + b"\r\n\r\n" for i, b in enumerate(blocks)))
+    rows = {r.refers_to: r for r in warc.derive(warc.responses(warc.read_warc(spark, str(tmp_path)))).collect() if r.warc_type == "conversion"}
+    for i, (_, body) in enumerate(bodies):
+        assert rows[f"<urn:uuid:{i}>"].source_payload_digest == "sha256:" + hashlib.sha256(body).hexdigest()
+    assert [rows[f"<urn:uuid:{i}>"].block for i in range(6)] == ["Grüße für alle"] * 4 + ["no gzip at all", "Grüße für alle"]
+
+
 def test_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (None, [1.0, 1.0]), (6, [1.0])]
     vectors = topk.numbered(topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
