@@ -174,7 +174,7 @@ def _unchunked(body: bytes) -> bytes:
     return b"".join(out)
 
 
-def decoded(head: str, body: bytes) -> str:
+def body_text(head: str, body: bytes) -> str:
     """The text of an HTTP body: its transfer and content encoding undone, in its charset; wrong bytes become U+FFFD, unknown encodings stay."""
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.split(CRLF)[1:])}
     if "chunked" in fields.get("transfer-encoding", "").lower():
@@ -207,7 +207,7 @@ def _read_responses(batches):
             row = {c: held.get(name) for c, name in NAMED.items()}
             row |= {"payload_digest": row["payload_digest"] or sha(body), "block_digest": row["block_digest"] or sha(block)}
             head = head.decode("utf-8", "replace")
-            out.append([*row.values(), head, decoded(head, body) if found else None])
+            out.append([*row.values(), head, body_text(head, body) if found else None])
         columns = list(zip(*out)) or [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names)
 
