@@ -1,7 +1,7 @@
 """Quality rules: base counts, and a hashed n-gram logistic model.
 
-Features of a text are hashed counts of its words, word pairs, and byte 3- and
-4-grams in ``SLOTS`` slots, as square roots of shares.  A ridge logistic
+Features of a text are hashed counts of its words, word pairs, and character
+3- and 4-grams in ``SLOTS`` slots, as square roots of shares.  A ridge logistic
 regression is fitted on four fifths of a bounded sample of labelled rows
 (``SAMPLE``, least hash of doc_id first), and a sigmoid calibrated on the rest.
 Rows are scored in Arrow batches; a row is kept if the base rules pass and the
@@ -32,6 +32,8 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 #: Distinct words that a task remembers (their numbers fit 21 bits).
 REMEMBERED = 1 << 20
+#: Characters whose n-grams are counted at once.
+PART = 1 << 18
 
 
 class Words(dict):
@@ -90,15 +92,15 @@ def _slots(codes: np.ndarray) -> np.ndarray:
     return ((codes * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
 
 
-def ngram_shares(raw: bytes, hashes: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of hashed n-grams: bytes (threes, fours) and words (ones, pairs)."""
-    counts = np.zeros(SLOTS)
-    for at in range(0, max(1, len(raw)), 1 << 20):
-        b = np.frombuffer(raw[at : at + (1 << 20) + 3], np.uint8).astype(np.uint32)
-        if len(b) >= 4:
-            three = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16)
-            counts += np.bincount(_slots(three ^ np.uint32(0x5BD1E995)), minlength=SLOTS)
-            counts += np.bincount(_slots(three | b[3:] << np.uint32(24)), minlength=SLOTS)
+def ngram_shares(text: str, hashes: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of hashed n-grams: characters (threes, fours) and words (ones, pairs)."""
+    counts, codes, factor = np.zeros(SLOTS), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.uint32(0x01000193)
+    for at in range(0, max(1, len(codes)), PART):
+        c = codes[at : at + PART + 3]
+        if len(c) >= 3:
+            three = ((c[:-2] * factor ^ c[1:-1]) * factor) ^ c[2:]
+            counts += np.bincount(_slots(three[:PART] ^ np.uint32(0x5BD1E995)), minlength=SLOTS)
+            counts += np.bincount(_slots(three[:-1] * factor ^ c[3:]), minlength=SLOTS)
     if len(hashes):
         counts += np.bincount(_slots(hashes), minlength=SLOTS)
         counts += np.bincount(_slots(hashes[:-1] * np.uint32(31) ^ hashes[1:]), minlength=SLOTS)
@@ -146,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             out = []
             for text in batch.column("text").to_pylist():
                 raw = (text or "").encode("utf-8", "replace")
-                out.append(ngram_shares(raw, words.crc[words.numbers(raw.split())]).astype(np.float32).tobytes())
+                out.append(ngram_shares(text or "", words.crc[words.numbers(raw.split())]).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_pydict({"x": pa.array(out, pa.binary()), "y": batch.column("y"), "held": batch.column("held")})
 
     got = texts.mapInArrow(shares, "x binary, y int, held boolean").collect()  # ``sample`` rows of fixed length at most
@@ -179,7 +181,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 n = numbers.numbers(words)
                 counts.append(base_counts(text, words, n))
                 failed.append(base_failed(counts[-1]))
-                good.append(model.probability(ngram_shares(raw, numbers.crc[n])))
+                good.append(model.probability(ngram_shares(text, numbers.crc[n])))
             cols = np.array(counts, np.int64).reshape(-1, 5).T
             kept = [not f and g >= KEEP_FROM for f, g in zip(failed, good)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols), pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(good, pa.float64())], ["doc_id", *names, "base_failed", "kept", "p_good"])

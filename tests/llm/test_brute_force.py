@@ -231,3 +231,12 @@ def test_search_blocks_lose_nothing(spark):
     asked = vectors.where("vec_id % 50 = 0")
     rows = lambda **k: sorted(map(tuple, topk.top_inner_products(vectors, asked, **k).collect()))
     assert rows() == rows(block=16, chunk=2)
+
+
+def test_ngrams_go_by_characters_and_parts(monkeypatch):
+    none = np.zeros(0, np.uint32)
+    assert [(quality.ngram_shares(t, none) > 0).sum() for t in ("", "ab", "é中", "é中\U0001f600")] == [0, 0, 0, 1]
+    text = "abc é中文 " * 400
+    whole = quality.ngram_shares(text, none)
+    monkeypatch.setattr(quality, "PART", 97)
+    assert np.array_equal(quality.ngram_shares(text, none), whole)
