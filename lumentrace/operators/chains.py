@@ -107,13 +107,18 @@ def candidates(hills: DataFrame, o: Chains = Chains(), surface: DataFrame | None
         found = found.withColumn("cosine", cosine(anchor)).withColumn("to_seed", F.col("cosine") if o.seed_cosine else cosine("seed"))
         # The greatest cosine, then the greatest m/z.
         keys = [*KEYS, F.col("seed.hill_id").alias("seed_id"), "charge"]
-        best = found.groupBy(*keys).agg(F.max_by(F.struct("seed", "seed_ppm", "last", "members", "hill", "cosine", "to_seed"), F.struct("cosine", "hill.mz", "hill.hill_id")).alias("b")).select(*KEYS, "charge", "b.*")
-        best = best.where(F.col("cosine") >= o.min_cosine).withColumn("mass", neutral_mass(F.col("seed.mz"), F.col("charge")))
-        step = with_patterns(best, "mass").withColumn("wanted", F.log2(F.greatest(F.lit(1e-12), F.get("pattern", F.lit(k))) / F.greatest(F.lit(1e-12), F.get("pattern", F.lit(k - 1)))))
+        held = ["seed", "seed_ppm", "last", "members", "hill", "cosine", "to_seed", *([] if k == 1 else ["pattern"])]
+        best = found.groupBy(*keys).agg(F.max_by(F.struct(*held), F.struct("cosine", "hill.mz", "hill.hill_id")).alias("b")).select(*KEYS, "charge", "b.*")
+        step = best.where(F.col("cosine") >= o.min_cosine)
+        if k == 1:  # a seed's pattern goes with its chain from here on
+            step = with_patterns(step.withColumn("mass", neutral_mass(F.col("seed.mz"), F.col("charge"))), "mass").drop("mass")
+        step = step.withColumn("wanted", F.log2(F.greatest(F.lit(1e-12), F.get("pattern", F.lit(k))) / F.greatest(F.lit(1e-12), F.get("pattern", F.lit(k - 1)))))
         step = step.where(F.abs(F.log2(F.col("hill.intensity_max") / F.col("last.intensity_max")) - F.col("wanted")) <= o.max_log2_ratio)
         hill = {c: F.col(f"hill.{c}") for c in columns}
-        growing = cut_lineage(step.select(*KEYS, "seed", "seed_ppm", "charge", F.col("hill").alias("last"), F.concat("members", F.array(member(hill, F.col("to_seed")))).alias("members")))
+        growing = cut_lineage(step.select(*KEYS, "seed", "seed_ppm", "charge", "pattern", F.col("hill").alias("last"), F.concat("members", F.array(member(hill, F.col("to_seed")))).alias("members")))
         grown = growing if grown is None else grown.unionByName(growing)
+        if growing.isEmpty():
+            break
     longest = grown.groupBy(*KEYS, F.col("seed.hill_id").alias("seed"), "charge", F.col("seed.mz").alias("seed_mz")).agg(F.max_by("members", F.size("members")).alias("members"))
     return longest
 

@@ -20,6 +20,7 @@ def find_features(hills: DataFrame, o: chains.Chains = chains.Chains(), recalibr
     tolerances from it.  A channel of fewer than ``least`` spacings goes without.
     Shuffled scans would bend the surface: leave it off for decoys.
     """
+    hills = cut_lineage(hills)  # read in every round
 
     def once(surface: DataFrame | None) -> DataFrame:
         chosen = chains.resolved(chains.with_evidence(chains.candidates(hills, o, surface), o))
@@ -82,6 +83,7 @@ def quantify(features: DataFrame, hills: DataFrame, reference: str, o: Study = S
     permuted copies, every group's cell extracted from every run with each
     sample used once, rescored against decoys, and scaled by run.
     """
+    features, hills = cut_lineage(features), cut_lineage(hills)  # read in every step
     pairs = cut_lineage(alignment.anchors(alignment.anchor_candidates(features, reference, o.warping)))
     lines, _ = alignment.warps(pairs, o.warping)
     places = cut_lineage(alignment.run_places(features, reference, cut_lineage(lines), alignment.drift_lines(pairs)))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumentrace.functions.lineage import cut_lineage
 from lumentrace.operators import alignment, chains, consensus, isotopes, ownership, quantification, rescoring, targets, tracking
 from lumentrace.sources.adapters import table
 
@@ -44,7 +45,7 @@ def _neighbours(spark, d):
 
 
 def _features(spark, d):
-    found = tracking.numbered(hills(spark, d))
+    found = cut_lineage(tracking.numbered(hills(spark, d)))
     chosen = chains.resolved(chains.with_evidence(chains.candidates(found, chains.Chains(charges=(CHARGE, CHARGE)))))
     scored = isotopes.score_features(chains.features(chosen, found), SULFUR)
     return scored.select("run", "channel", "charge", "mz", "mass", "n_isotopes", "cosine_score", "ppm_error", "isotope_score", "combined_score", "hill_ids")
@@ -93,7 +94,7 @@ def _measured_cells(found):
 
 
 def _quantify(spark, d, method):
-    found = tracking.numbered(hills(spark, d)).withColumn("run", F.col("channel").cast("string"))
+    found = cut_lineage(tracking.numbered(hills(spark, d)).withColumn("run", F.col("channel").cast("string")))
     rows = method(_measured_cells(found), found, EXTRACTION)
     values = ["hybrid", "pattern", "coelution", "preceding", "observed_mz"]
     more = [c for c in ("owned_samples", "excluded_samples", "ownership", "competitor") if c in rows.columns]
