@@ -1,23 +1,22 @@
 """Spectra from mzML files; hills and features from and to TSV or Parquet; reports.
 
-Files are read through Spark's own readers, so any store that Spark reaches will
-do.  An mzML file, of 2 GB at most, is one task's.
+Tables are read through Spark's own readers; mzML files through ``sources.mzml``,
+in byte ranges.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
-import io
+import re
 import zlib
-from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumentrace.operators.tracking import channel_key
+from lumentrace.sources import mzml
 
 SPECTRA = (
     "run string, scan int, ms_level int, rt double, voltage double, iso_target double, iso_lower double, iso_upper double, "
@@ -36,6 +35,11 @@ def run_name(path) -> F.Column:
     return F.regexp_replace(F.regexp_replace(path, r"^.*[/\\]", ""), r"(?i)(\.(gz|mzml|raw|d))+$", "")
 
 
+def name_of(path: str) -> str:
+    """``run_name`` of one path."""
+    return re.sub(r"(?i)(\.(gz|mzml|raw|d))+$", "", re.split(r"[/\\]", path)[-1])
+
+
 def _params(element) -> dict[str, tuple[str, str]]:
     return {p.get("accession"): (p.get("value", ""), p.get("unitAccession", "")) for p in element.iter() if p.tag.endswith("cvParam")}
 
@@ -48,13 +52,30 @@ def _number(params, key) -> float | None:
 
 
 def _picked(mz: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Indices of a profile's local maxima."""
+    """Indices of a profile's local maxima: each is as high as the valleys beside it at least, a signal-to-noise of 1."""
     if len(value) < 3:
         return np.arange(len(value))
     return 1 + np.flatnonzero((value[1:-1] > value[:-2]) & (value[1:-1] >= value[2:]))
 
 
-def _spectrum(element, index: int) -> dict:
+def _apexes(mz: np.ndarray, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """m/z of the tops of parabolas through each local maximum and its two neighbours, whatever their spacing."""
+    inner = (at > 0) & (at < len(mz) - 1)
+    left, right = np.maximum(at - 1, 0), np.minimum(at + 1, len(mz) - 1)
+    before, after = mz[at] - mz[left], mz[right] - mz[at]
+    up, down = value[at] - value[left], value[at] - value[right]
+    bend = after * up + before * down
+    sound = inner & (before > 0) & (after > 0) & (bend > 0)
+    return mz[at] + np.where(sound, (after**2 * up - before**2 * down) / np.where(sound, 2 * bend, 1.0), 0.0)
+
+
+def level_of(element) -> int:
+    level = _number(_params(element), LEVEL)
+    return int(level) if level else 1
+
+
+def spectrum_row(element, index: int) -> dict:
+    """A row of SPECTRA's columns, but for the run."""
     params = _params(element)
     time, unit = params.get(TIME, ("0", ""))
     arrays = {}
@@ -69,7 +90,7 @@ def _spectrum(element, index: int) -> dict:
     im = arrays.get("im", np.zeros(len(mz)))
     if PROFILE in params:
         keep = _picked(mz, value)
-        mz, value, im = mz[keep], value[keep], im[keep]
+        mz, value, im = _apexes(mz, value, keep), value[keep], im[keep]
     keep = np.flatnonzero(value > 0)
     keep = keep[np.argsort(mz[keep], kind="stable")]
     low, high = _number(params, LOWER_LIMIT), _number(params, UPPER_LIMIT)
@@ -80,47 +101,43 @@ def _spectrum(element, index: int) -> dict:
     windowed = any(e.tag.endswith("isolationWindow") for e in element.iter())
     if windowed and target is not None and (low is None or high is None or not low < high):
         low = high = target
-    level = _number(params, LEVEL)
     return {
-        "scan": index, "ms_level": int(level) if level else 1, "rt": float(time or 0) / (60 if unit == SECONDS else 1), "voltage": _number(params, VOLTAGE),
+        "scan": index, "ms_level": level_of(element), "rt": float(time or 0) / (60 if unit == SECONDS else 1), "voltage": _number(params, VOLTAGE),
         "iso_target": target if windowed else None, "iso_lower": low if windowed else None, "iso_upper": high if windowed else None,
         "peaks": [{"mz": a, "intensity": b, "im": c} for a, b, c in zip(mz[keep].tolist(), value[keep].tolist(), im[keep].tolist())],
     }
 
 
-def spectra_in(f):
-    """Spectra of an open mzML file in its order; a file that is cut off is an error."""
-    index = 0
-    for _, element in ElementTree.iterparse(f):
-        if element.tag.endswith("}spectrum") or element.tag == "spectrum":
-            yield _spectrum(element, index)
-            index += 1
-            element.clear()
-
-
-def read_mzml(spark: SparkSession, path: str) -> DataFrame:
-    """SPECTRA's columns; ``scan`` is the place in the file, empty spectra included; plain or gzip files."""
+def batch_of(rows: list[dict]) -> pa.RecordBatch:
+    """Rows of SPECTRA's columns as Arrow."""
     kind = pa.struct([("mz", pa.float64()), ("intensity", pa.float64()), ("im", pa.float64())])
     types = {"run": pa.string(), "scan": pa.int32(), "ms_level": pa.int32(), "peaks": pa.list_(kind)}
     names = [c.split()[0] for c in SPECTRA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types.get(c, pa.float64())) for c in names], names)
+
+
+def read_mzml(spark: SparkSession, path: str, level: int | None = None, split_bytes: int = 128 << 20) -> DataFrame:
+    """SPECTRA's columns of a file or all files of a folder, in ranges of ``split_bytes`` (see ``sources.mzml``).
+
+    ``scan`` is the place in the file, empty spectra included; spectra of other
+    levels than ``level`` are not decoded.
+    """
+    mzml.register(spark)
+    options = {"splitBytes": split_bytes} | ({} if level is None else {"level": level})
+    return spark.read.format("mzml").options(**options).load(path)
+
+
+def by_time(spectra: DataFrame) -> DataFrame:
+    """Spectra of level 1 with peaks, ``scan`` numbered from 0 by time in each run, equal times by their places in the file."""
+    rows = spectra.where((F.col("ms_level") == 1) & (F.size("peaks") > 0))
+    nth = F.row_number().over(Window.partitionBy("run").orderBy("rt", "scan")) - 1  # over keys, without peaks
+    places = rows.select("run", "scan", "rt").withColumn("nth", nth).select("run", "scan", "nth")
+    return rows.join(places, ["run", "scan"]).withColumn("scan", F.col("nth")).select(*spectra.columns)
+
 
-    def parse(batches):
-        for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content")):
-                raw = io.BytesIO(content.as_buffer())
-                rows = []
-                for row in spectra_in(gzip.open(raw) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw):
-                    rows.append(row | {"run": name})
-                    if len(rows) == 200:
-                        yield _batch(rows)
-                        rows = []
-                yield _batch(rows)
-
-    def _batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types.get(c, pa.float64())) for c in names], names)
-
-    files = spark.read.format("binaryFile").load(path).select(run_name(F.col("path")).alias("name"), "content")
-    return files.mapInArrow(parse, SPECTRA)
+def voltage_in(text) -> F.Column:
+    """The voltage that a text begins with, null where its first word is no finite number; minus zero is zero."""
+    return channel_key(F.try_element_at(F.split(F.trim(text), r"\s+"), F.lit(1)).try_cast("double"))
 
 
 def peaks(spectra: DataFrame, level: int = 1) -> DataFrame:
