@@ -61,7 +61,12 @@ def cells_of(groups: DataFrame, places: DataFrame, hills: DataFrame, o: Study =
     Windows and the decoys' shift in time are shares of the run's extent; the
     number of columns follows the run's scan spacing.
     """
-    each = alignment.to_runs(groups, places).withColumn("half_window", o.window_share * (F.col("high") - F.col("low")))
+    return with_decoys(alignment.to_runs(groups, places), hills, o)
+
+
+def with_decoys(each: DataFrame, hills: DataFrame, o: Study = Study()) -> DataFrame:
+    """Cells of places in runs (group, charge, mass, run, rt, mz, im, low, high): windows, columns, templates, and a decoy of each."""
+    each = each.withColumn("half_window", o.window_share * (F.col("high") - F.col("low")))
     each = each.withColumn("decoy", F.explode(F.array(F.lit(False), F.lit(True))))
     off = F.col("decoy").cast("int")
     each = each.withColumns({"rt": F.col("rt") - off * o.decoy_share * (F.col("high") - F.col("low")), "mz": F.col("mz") + off * o.decoy_da / F.col("charge"), "cell_id": F.col("group")})
@@ -76,6 +81,14 @@ def cells_of(groups: DataFrame, places: DataFrame, hills: DataFrame, o: Study =
     return each.drop("low", "high", "template_mass")
 
 
+def placed(features: DataFrame, reference: str, o: Study = Study()) -> tuple[DataFrame, DataFrame]:
+    """Each run's place against the reference (``alignment.run_places``), and the anchors that it comes from."""
+    pairs = cut_lineage(alignment.anchors(alignment.anchor_candidates(features, reference, o.warping)))
+    lines, active = alignment.warps(pairs, o.warping)
+    places = cut_lineage(alignment.run_places(features, reference, cut_lineage(lines), alignment.drift_lines(pairs)))
+    return places, active
+
+
 def quantify(features: DataFrame, hills: DataFrame, reference: str, o: Study = Study()) -> dict[str, DataFrame]:
     """groups, cells and factors of ``features`` (run, feature_id, mz, charge, rt, im, score) and ``hills`` (run, hill_id, ...) of all runs.
 
@@ -84,9 +97,7 @@ def quantify(features: DataFrame, hills: DataFrame, reference: str, o: Study = S
     sample used once, rescored against decoys, and scaled by run.
     """
     features, hills = cut_lineage(features), cut_lineage(hills)  # read in every step
-    pairs = cut_lineage(alignment.anchors(alignment.anchor_candidates(features, reference, o.warping)))
-    lines, _ = alignment.warps(pairs, o.warping)
-    places = cut_lineage(alignment.run_places(features, reference, cut_lineage(lines), alignment.drift_lines(pairs)))
+    places, _ = placed(features, reference, o)
     rows = alignment.to_reference(features, places)
     known = consensus.projected(rows.drop("im").withColumnRenamed("ref_im", "im"))
     groups = cut_lineage(consensus.gated(consensus.confident(known, o.grouping), o.grouping))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumentrace.functions.lineage import cut_lineage
-from lumentrace.operators import alignment, chains, consensus, isotopes, ownership, quantification, rescoring, targets, tracking
+from lumentrace.operators import alignment, chains, consensus, guided, isotopes, ownership, quantification, rescoring, targets, tracking
 from lumentrace.sources.adapters import table
 
 PPM, MAX_GAP, MIN_SCANS, CHARGE = 10.0, 1, 3, 2
@@ -131,15 +131,28 @@ def _groups(spark, d):
     return consensus.groups(consensus.clusters(rows)).select("charge", "group_id", "mass", "rt", "n_members", "n_runs", "group_score")
 
 
-def _targets(spark, d):
-    rows = table(spark, d, "events").select(
+def _identifications(spark, d):
+    return table(spark, d, "events").select(
         F.col("event_type").alias("run"), (F.col("user_id") % 40).cast("string").alias("peptide"), (F.col("event_id") % 2 + 2).cast("int").alias("charge"), (F.lit(900.0) + F.col("user_id") % 40).alias("mass"),
         F.col("event_id").cast("double").alias("rt"), (F.col("value") % 1).alias("q"), F.lit(None).cast("double").alias("im"), F.col("event_id").alias("row"),
     )
-    found = targets.build(rows, rt_span=1e9)
+
+
+def _targets(spark, d):
+    found = targets.build(_identifications(spark, d), rt_span=1e9)
     return found.select("peptide", "charge", "mass", F.round("mz", 6).alias("mz"), "n_runs", F.col("seed.row").alias("seed_row"), "reason")
 
 
+def _search_quant(spark, d):
+    """Each peptide's charges in every run: evidence and status of cells whose signal is the number of every third event."""
+    ids = _identifications(spark, d)
+    observed = ids.groupBy("run").agg(*[f(F.col("mass") / F.col("charge") + isotopes.PROTON).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))])
+    aligned = targets.eligible_runs(table(spark, d, "events").select(F.col("event_type").alias("run"), (F.col("user_id") % 7 == 0).alias("active")), 2).where("run <> 'click'")
+    measured = ids.where("row % 3 = 0").groupBy("peptide", "charge", "run").agg(F.count("*").cast("double").alias("intensity"), F.min("q").alias("q"))
+    planned = guided.plan(targets.expanded(targets.build(ids, rt_span=1e9), observed, (1, 4)), ids, observed, aligned)
+    return guided.labelled(planned, measured, 0.3, True)
+
+
 QUERIES = {
     "hil_track_ppm": _tracked,
     "lfq_grid": _grid,
@@ -151,6 +164,7 @@ QUERIES = {
     "aln_anchors": lambda s, d: alignment.anchors(alignment.anchor_candidates(_run_features(s, d), "a", alignment.Warping(anchor_ppm=5.0, rt_window=0.05))).select("run", "charge", "ref_id", "run_id"),
     "con_groups": _groups,
     "tgt_targets": _targets,
+    "tgt_search_quant": _search_quant,
     "fea_ppm_neighbours": _neighbours,
     "fea_isotope_features": _features,
     "sco_isotope_pattern": _patterns,
@@ -216,6 +230,22 @@ select t.channel::varchar as run, t.grp as "group", coalesce(intensity, 0) as in
     "aln_anchor_candidates": """with a as (select p_partkey as id, p_retailprice::double as mz, (p_size % 3 + 1)::int as charge, p_size::double as rt from part), b as (select id, mz + 0.001::double as mz, charge, rt + 1 as rt from a where id % 3 = 0),
 x as (select *, (rt - min(rt) over ()) / (max(rt) over () - min(rt) over ()) as x from a), y as (select *, (rt - min(rt) over ()) / (max(rt) over () - min(rt) over ()) as x from b)
 select 'b' as run, x.charge, x.id as ref_id, y.id as run_id, round(x.x, 9) as ref_rt, round(y.x, 9) as run_rt from x join y on x.charge = y.charge and abs(y.mz - x.mz) <= x.mz * 5e-6::double and abs(x.x - y.x) <= 0.05::double""",
+    "tgt_search_quant": f"""with i as (select event_type as run, (user_id % 40)::varchar as peptide, (event_id % 2 + 2)::int as charge, 900.0::double + user_id % 40 as mass, event_id::double as rt, value::double % 1 as q, event_id as row from events),
+d as (select * from i qualify row_number() over (partition by run, peptide, charge order by q, rt, mass, row) = 1),
+n as (select * from d qualify row_number() over (partition by run, peptide order by q, charge, row) = 1),
+s as (select * from d qualify row_number() over (partition by peptide, charge order by q, rt, mass, run, row) = 1),
+b as (select * from s qualify row_number() over (partition by peptide order by q, charge) = 1),
+o as (select run, min(mass / charge + {isotopes.PROTON!r}::double) as low, max(mass / charge + {isotopes.PROTON!r}::double) as high from i group by run),
+t as (select peptide, charge, false as inferred, run as seed_run, q as seed_q, row as seed_row, mass from s
+  union all select b.peptide, z::int, true, b.run, b.q, b.row, b.mass from b, range(1, 5) x(z) where not exists (select 1 from s where s.peptide = b.peptide and s.charge = z) and exists (select 1 from o where b.mass / z + {isotopes.PROTON!r}::double between o.low and o.high)),
+g as (select event_type as run from events where user_id % 7 = 0 and event_type <> 'click' group by 1 having count(*) >= 2),
+m as (select peptide, charge, run, count(*)::double as intensity, min(q) as q from i where row % 3 = 0 group by all),
+p as (select t.peptide, t.charge, o.run, seed_run, seed_q, seed_row, d.q as direct_q, d.row as direct_row, coalesce(m.intensity, 0) as intensity, m.q,
+  case when d.row is not null then 'direct_ms2' when inferred and n.row is not null then 'inferred_charge' when inferred then 'mbr_inferred_charge' else 'mbr' end as evidence,
+  d.row is not null or (inferred and n.row is not null) or (g.run is not null and (not inferred or t.mass / t.charge + {isotopes.PROTON!r}::double between o.low and o.high)) as attempted
+  from t cross join o left join d on d.peptide = t.peptide and d.charge = t.charge and d.run = o.run left join n on n.peptide = t.peptide and n.run = o.run left join g on g.run = o.run left join m on m.peptide = t.peptide and m.charge = t.charge and m.run = o.run),
+l as (select *, case when not attempted then 'not_attempted' when intensity <= 0 then 'no_signal' when evidence = 'direct_ms2' or q <= 0.3 then 'accepted' else 'rejected' end as status from p)
+select peptide, charge, run, evidence, status, intensity, case when status = 'accepted' then intensity else 0.0 end as accepted_intensity, case when attempted then q end as extraction_q, direct_q, seed_run, seed_q, direct_row, seed_row from l""",
     "tgt_targets": f"""with i as (select event_type as run, (user_id % 40)::varchar as peptide, (event_id % 2 + 2)::int as charge, 900.0::double + user_id % 40 as mass, event_id::double as rt, value::double % 1 as q, event_id as row from events),
 d as (select *, row_number() over (partition by run, peptide, charge order by q, rt, mass, row) as nth from i)
 select peptide, charge, min(mass) as mass, round(min(mass) / charge + {isotopes.PROTON!r}::double, 6) as mz, count(*) as n_runs, arg_min(row, (q, rt)) as seed_row, null::varchar as reason from d where nth = 1 group by peptide, charge""",
