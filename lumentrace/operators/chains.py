@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from lumentrace.functions.binding import bound
 from lumentrace.functions.lineage import cut_lineage
-from lumentrace.operators.isotopes import NEUTRON, neutral_mass, with_patterns
-from lumentrace.operators.statistics import recalibration_surface, surface_bin
+from lumentrace.operators.isotopes import NEUTRON, best_affinity, neutral_mass, with_patterns
+from lumentrace.operators.statistics import noise_floor, recalibration_surface, surface_bin
 from lumentrace.operators.traces import elution_cosine
 
 KEYS = ["run", "channel"]
@@ -43,6 +43,10 @@ class Chains:
     #: Spread of the ratio of unrelated hills, in log2.
     noise_sigma: float = 2.0
     sulfur_offsets: tuple[int, ...] = ()
+    #: Whether a chain ends where its template puts the next isotope below the channel's noise floor.
+    predicted_intensity: bool = False
+    #: Least isotope score of a prefix that may claim its hills; 0 lets all.
+    min_isotope_score: float = 0.0
 
 
 def _bin(mz, ppm: float):
@@ -89,11 +93,18 @@ def candidates(hills: DataFrame, o: Chains = Chains(), surface: DataFrame | None
     else:
         seeds = seeds.withColumn("seed_ppm", F.lit(o.ppm))
     seeds = seeds.withColumn("charge", F.explode(F.sequence(F.lit(o.charges[0]), F.lit(o.charges[1]))))
+    if o.predicted_intensity:
+        # A whole channel's floor, in a row each; the template is that of the seed at each charge.
+        floors = noise_floor(hills.select(unit().alias("run"), F.col("intensity_max").alias("apex"))).withColumnsRenamed({"run": "unit", "floor": "seed_floor"})
+        seeds = seeds.withColumn("unit", unit()).join(F.broadcast(floors), "unit").drop("unit")
+        seeds = with_patterns(seeds.withColumn("mass", neutral_mass(F.col("seed.mz"), F.col("charge"))), "mass").drop("mass")
     growing = seeds.withColumns({"last": F.col("seed"), "members": F.array(member({c: F.col(f"seed.{c}") for c in columns}, F.lit(1.0)))})
     grown = None
     for k in range(1, o.max_isotopes + 1):
         target = F.col("seed.mz") + k * NEUTRON / F.col("charge")
         asked = growing.withColumn("target", target)
+        if o.predicted_intensity:
+            asked = asked.where(F.col("seed.intensity_max") * F.get("pattern", F.lit(k)) / F.get("pattern", F.lit(0)) >= F.col("seed_floor"))
         if surface is not None:
             asked = looked_up(asked.withColumns({"mz": F.col("target"), "rt": F.col("seed.rt")}), surface)
             asked = asked.withColumn("target", F.col("target") * (1 + F.coalesce("centre", F.lit(0.0)) * 1e-6)).drop("mz", "rt", "centre", "spread")
@@ -107,15 +118,15 @@ def candidates(hills: DataFrame, o: Chains = Chains(), surface: DataFrame | None
         found = found.withColumn("cosine", cosine(anchor)).withColumn("to_seed", F.col("cosine") if o.seed_cosine else cosine("seed"))
         # The greatest cosine, then the greatest m/z.
         keys = [*KEYS, F.col("seed.hill_id").alias("seed_id"), "charge"]
-        held = ["seed", "seed_ppm", "last", "members", "hill", "cosine", "to_seed", *([] if k == 1 else ["pattern"])]
+        held = ["seed", "seed_ppm", "last", "members", "hill", "cosine", "to_seed", *([] if k == 1 and not o.predicted_intensity else ["pattern"]), *(["seed_floor"] if o.predicted_intensity else [])]
         best = found.groupBy(*keys).agg(F.max_by(F.struct(*held), F.struct("cosine", "hill.mz", "hill.hill_id")).alias("b")).select(*KEYS, "charge", "b.*")
         step = best.where(F.col("cosine") >= o.min_cosine)
-        if k == 1:  # a seed's pattern goes with its chain from here on
+        if k == 1 and not o.predicted_intensity:  # a seed's pattern goes with its chain from here on
             step = with_patterns(step.withColumn("mass", neutral_mass(F.col("seed.mz"), F.col("charge"))), "mass").drop("mass")
         step = step.withColumn("wanted", F.log2(F.greatest(F.lit(1e-12), F.get("pattern", F.lit(k))) / F.greatest(F.lit(1e-12), F.get("pattern", F.lit(k - 1)))))
         step = step.where(F.abs(F.log2(F.col("hill.intensity_max") / F.col("last.intensity_max")) - F.col("wanted")) <= o.max_log2_ratio)
         hill = {c: F.col(f"hill.{c}") for c in columns}
-        growing = cut_lineage(step.select(*KEYS, "seed", "seed_ppm", "charge", "pattern", F.col("hill").alias("last"), F.concat("members", F.array(member(hill, F.col("to_seed")))).alias("members")))
+        growing = cut_lineage(step.select(*KEYS, "seed", "seed_ppm", "charge", "pattern", *(["seed_floor"] if o.predicted_intensity else []), F.col("hill").alias("last"), F.concat("members", F.array(member(hill, F.col("to_seed")))).alias("members")))
         grown = growing if grown is None else grown.unionByName(growing)
         if growing.isEmpty():
             break
@@ -145,6 +156,25 @@ def with_evidence(chains: DataFrame, o: Chains = Chains()) -> DataFrame:
     return rows.withColumn("scores", best).drop("mass", "pattern", "templates", "by_template")
 
 
+def gated(chains: DataFrame, hills: DataFrame, o: Chains = Chains()) -> DataFrame:
+    """``chains`` (of ``with_evidence``) whose prefixes below ``min_isotope_score`` cannot be claimed; a lesser prefix that passes still can.
+
+    A prefix's score is the affinity of its isotopes at the apex of its summed
+    profile with the best of its sulfur templates.
+    """
+    if o.min_isotope_score <= 0:
+        return chains
+    ends = F.explode(F.sequence(F.lit(2), F.size("members"))).alias("length")
+    each = chains.select(*KEYS, "seed", "charge", "members", ends)
+    each = each.select(*KEYS, F.struct("seed", "length").alias("seed"), "charge", F.slice("members", 1, F.col("length")).alias("members"))
+    found = with_patterns(features(each, hills, o.min_overlap), "mass", list(o.sulfur_offsets))
+    score = best_affinity(F.col("observed"), F.col("templates")).score
+    good = found.where(score >= o.min_isotope_score).groupBy(*KEYS, "seed.seed", "charge").agg(F.collect_set("seed.length").alias("good"))  # a chain's lengths
+    on = [F.col(f"c.{x}").eqNullSafe(F.col(f"g.{x}")) for x in (*KEYS, "seed", "charge")]
+    rows = chains.alias("c").join(good.alias("g"), on, "left").select("c.*", F.coalesce("g.good", F.array().cast("array<int>")).alias("good"))
+    return rows.withColumn("scores", F.transform("scores", lambda x, i: F.when(F.array_contains("good", i + 2), x).otherwise(F.lit(float("-inf"))))).drop("good")
+
+
 def _best_prefix(members, scores):
     """(evidence, end): the best finite prefix among ``members``, the shortest of equal ones."""
     ends = F.transform(F.slice(scores, 1, F.greatest(F.lit(1), F.size(members) - 1)), lambda x, i: F.struct(x.alias("evidence"), (i + 2).alias("length")))

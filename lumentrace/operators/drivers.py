@@ -23,7 +23,7 @@ def find_features(hills: DataFrame, o: chains.Chains = chains.Chains(), recalibr
     hills = cut_lineage(hills)  # read in every round
 
     def once(surface: DataFrame | None) -> DataFrame:
-        chosen = chains.resolved(chains.with_evidence(chains.candidates(hills, o, surface), o))
+        chosen = chains.resolved(chains.gated(chains.with_evidence(chains.candidates(hills, o, surface), o), hills, o))
         return cut_lineage(chains.features(chosen, hills, o.min_overlap))
 
     found, surface = once(None), None

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumentrace.functions import profiles as kernels
+from lumentrace.operators.statistics import rolling_scale
 
 HILL = (
     "mz double, mz_std double, mz_se double, rt double, rt_start double, rt_end double, rt_width double, im double, im_std double, "
@@ -326,6 +327,19 @@ def clip_noise(spectra: DataFrame, sigma: float = 3.0) -> DataFrame:
     return spectra.alias("s").join(scans.alias("n"), on).where(F.col("n.floor").isNull() | (F.col("s.intensity") > F.col("n.floor"))).select("s.*")
 
 
+def normalised_scans(spectra: DataFrame, window: int = 11, low: float = 0.5, high: float = 3.0, median: bool = False) -> DataFrame:
+    """``spectra`` with intensities scaled scan by scan: a run's rolling median of its scans' sums over the scan's own, clamped.
+
+    With ``median`` scans are compared by their median intensity.  Scans count in
+    the order of the run, whatever their channels; a run of one scan stays.
+    """
+    value = F.median("intensity") if median else F.sum(F.col("intensity").cast("double"))
+    scans = spectra.groupBy("run", "scan").agg(value.cast("double").alias("value"))
+    scales = rolling_scale(scans.select(F.col("run").alias("channel"), F.col("scan").alias("seq"), "value"), window, low, high)
+    scales = scales.select(F.col("channel").alias("run"), F.col("seq").alias("scan"), "scale")
+    return spectra.join(scales, ["run", "scan"]).withColumn("intensity", F.col("intensity") * F.col("scale")).select(*spectra.columns)
+
+
 def shuffled_scans(spectra: DataFrame, seed: int = 0) -> DataFrame:
     """Decoys: each channel's scans in the order of a hash, the same on every run."""
     scans = spectra.select("run", "channel", "scan").distinct()
