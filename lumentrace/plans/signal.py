@@ -230,6 +230,21 @@ select t.channel::varchar as run, t.grp as "group", coalesce(intensity, 0) as in
     "aln_anchor_candidates": """with a as (select p_partkey as id, p_retailprice::double as mz, (p_size % 3 + 1)::int as charge, p_size::double as rt from part), b as (select id, mz + 0.001::double as mz, charge, rt + 1 as rt from a where id % 3 = 0),
 x as (select *, (rt - min(rt) over ()) / (max(rt) over () - min(rt) over ()) as x from a), y as (select *, (rt - min(rt) over ()) / (max(rt) over () - min(rt) over ()) as x from b)
 select 'b' as run, x.charge, x.id as ref_id, y.id as run_id, round(x.x, 9) as ref_rt, round(y.x, 9) as run_rt from x join y on x.charge = y.charge and abs(y.mz - x.mz) <= x.mz * 5e-6::double and abs(x.x - y.x) <= 0.05::double""",
+    "aln_anchors": """with recursive a as (select p_partkey as id, p_retailprice::double as mz, (p_size % 3 + 1)::int as charge, p_size::double as rt from part), b as (select id, mz + 0.001::double as mz, charge, rt + 1 as rt from a where id % 3 = 0),
+x as (select *, (rt - min(rt) over ()) / (max(rt) over () - min(rt) over ()) as x from a), y as (select *, (rt - min(rt) over ()) / (max(rt) over () - min(rt) over ()) as x from b),
+c as (select x.charge, x.id as ref_id, x.mz, y.id as run_id, abs(y.mz - x.mz) / x.mz * 1e6 as ppm, y.mz as run_mz from x join y on x.charge = y.charge and abs(y.mz - x.mz) <= x.mz * 5e-6::double and abs(x.x - y.x) <= 0.05::double),
+l as (select charge, ref_id, mz, list(run_id order by ppm, run_mz, run_id) as tries from c group by all),
+n as (select *, row_number() over (partition by charge order by mz, ref_id) as i from l),
+t as (select charge, ref_id, tries, i, tries[1] as pick, [tries[1]] as used from n where i = 1
+  union all select charge, ref_id, tries, i, pick, case when pick is null then used else list_append(used, pick) end
+  from (select n.charge, n.ref_id, n.tries, n.i, list_filter(n.tries, lambda z: not list_contains(t.used, z))[1] as pick, t.used from t join n on n.charge = t.charge and n.i = t.i + 1))
+select 'b' as run, charge, ref_id, pick as run_id from t where pick is not null""",
+    "pre_noise_clip": f"""with recursive {_RUNGS}, c as (select channel, scan, list(v order by v) as held from rungs group by all having count(*) >= 3),
+t as (select channel, scan, held, list_median(held) as m, false as done from c
+  union all select channel, scan, kept, list_median(kept), len(kept) = len(held) or len(kept) < 3
+  from (select *, list_filter(held, lambda x: x <= m + 1.4826::double * list_median(list_transform(held, lambda y: abs(y - m)))) as kept from t where not done)),
+f as (select channel, scan, m + 1.4826::double * list_median(list_transform(held, lambda y: abs(y - m))) as floor from t where done and len(held) > 0)
+select channel, scan, round(mz, 6) as mz, v as intensity from rungs left join f using (channel, scan) where floor is null or v > floor""",
     "tgt_search_quant": f"""with i as (select event_type as run, (user_id % 40)::varchar as peptide, (event_id % 2 + 2)::int as charge, 900.0::double + user_id % 40 as mass, event_id::double as rt, value::double % 1 as q, event_id as row from events),
 d as (select * from i qualify row_number() over (partition by run, peptide, charge order by q, rt, mass, row) = 1),
 n as (select * from d qualify row_number() over (partition by run, peptide order by q, charge, row) = 1),
