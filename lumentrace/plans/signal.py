@@ -128,7 +128,7 @@ def _candidates(spark, d):
 
 def _groups(spark, d):
     rows = consensus.projected(_run_features(spark, d).withColumns({"ref_mz": F.col("mz"), "ref_rt": F.col("rt")}))
-    return consensus.groups(consensus.clusters(rows)).select("charge", "group_id", "mass", "rt", "n_members", "n_runs", "group_score")
+    return consensus.groups(consensus.clusters(rows)).select("charge", "group_id", "mass", "rt", "n_members", "n_runs", F.round("group_score", 9).alias("group_score"))
 
 
 def _identifications(spark, d):
@@ -239,6 +239,20 @@ t as (select charge, ref_id, tries, i, tries[1] as pick, [tries[1]] as used from
   union all select charge, ref_id, tries, i, pick, case when pick is null then used else list_append(used, pick) end
   from (select n.charge, n.ref_id, n.tries, n.i, list_filter(n.tries, lambda z: not list_contains(t.used, z))[1] as pick, t.used from t join n on n.charge = t.charge and n.i = t.i + 1))
 select 'b' as run, charge, ref_id, pick as run_id from t where pick is not null""",
+    "con_groups": f"""with recursive a as (select 'a' as run, p_partkey as id, p_retailprice::double as mz, (p_size % 3 + 1)::int as charge, p_size::double as rt from part),
+u as (select * from a union all select 'b', id, mz + 0.001::double, charge, rt + 1 from a where id % 3 = 0), m as (select *, mz * charge - charge * {isotopes.PROTON!r}::double as mass from u),
+r as (select *, row_number() over (partition by charge order by mass, rt, run, id) as i from m where mass > 0),
+t as (select charge, i, i as g, [{{'s': i, 'sm': mass, 'sr': rt, 'low': mass, 'rl': rt, 'rh': rt}}] as held from r where i = 1
+  union all select charge, i, coalesce(pick.s, i), case when pick is null then list_append(near, {{'s': i, 'sm': mass, 'sr': rt, 'low': mass, 'rl': rt, 'rh': rt}})
+    else list_transform(near, lambda z: case when z.s = pick.s then {{'s': z.s, 'sm': z.sm, 'sr': z.sr, 'low': z.low, 'rl': least(z.rl, rt), 'rh': greatest(z.rh, rt)}} else z end) end
+  from (select *, list_sort(list_transform(list_filter(near, lambda z: greatest(z.rh, rt) - least(z.rl, rt) <= 1.0), lambda z: {{'far': ((mass - z.sm) / z.sm * 1e6 / 10.0::double) ** 2 + (rt - z.sr) ** 2, 's': z.s}}))[1] as pick
+    from (select r.charge, r.i, r.mass, r.rt, list_filter(t.held, lambda z: (r.mass - z.low) / z.low * 1e6 <= 10.0) as near from t join r on r.charge = t.charge and r.i = t.i + 1))),
+k as (select r.*, t.g from r join t using (charge, i)),
+p as (select charge, g, run, count(*) as n, min(i) as i from k group by all),
+q as (select p.*, r.mass, r.rt, 0.9::double * 0.9::double / (0.9::double * n) as quality from p join r using (charge, i)),
+s as (select x.charge, x.g, sqrt(x.quality * y.quality) * exp(-2 * (((x.mass - y.mass) / least(x.mass, y.mass) * 1e6 / 10.0::double) ** 2 + (x.rt - y.rt) ** 2)) as score from q x join q y on x.charge = y.charge and x.g = y.g and x.run = 'a' and y.run = 'b')
+select charge, r.run || ':' || r.id as group_id, r.mass, r.rt, w.n_members, w.n_runs, round(coalesce(s.score, 0), 9) as group_score
+from (select charge, g, sum(n)::bigint as n_members, count(*) as n_runs from q group by all) w join (select charge, i as g, run, id, mass, rt from r) r using (charge, g) left join s using (charge, g)""",
     "pre_noise_clip": f"""with recursive {_RUNGS}, c as (select channel, scan, list(v order by v) as held from rungs group by all having count(*) >= 3),
 t as (select channel, scan, held, list_median(held) as m, false as done from c
   union all select channel, scan, kept, list_median(kept), len(kept) = len(held) or len(kept) < 3
