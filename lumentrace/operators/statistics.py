@@ -201,7 +201,7 @@ def median_ratio(cells: DataFrame) -> DataFrame:
     n_runs = cells.select("run").distinct().agg(F.count("*").alias("n_runs"))
     full = cells.where("intensity > 0").withColumn("x", F.log2(F.col("intensity").cast("double")))
     rows = full.groupBy("row").agg(F.count("*").alias("n"), F.avg("x").alias("mean")).join(F.broadcast(n_runs), F.col("n") == F.col("n_runs")).select("row", "mean")
-    factors = full.join(rows, "row").groupBy("run").agg(F.percentile(F.col("x") - F.col("mean"), 0.5).alias("f"))
+    factors = medians(full.join(rows, "row").select("run", (F.col("x") - F.col("mean")).alias("f")), ["run"], "f").select("run", F.col("median").alias("f"))
     every = cells.select("run").distinct().join(factors, "run", "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
     return every.join(F.broadcast(every.agg(F.percentile("f", 0.5).alias("centre")))).select("run", (F.col("f") - F.col("centre")).alias("factor"))
 
@@ -239,8 +239,11 @@ def donors(psms: DataFrame) -> DataFrame:
 
 def run_report(found: DataFrame) -> DataFrame:
     """Medians and spreads of the traces of each channel parity (two runs)."""
-    rows = found.withColumn("run", F.col("channel") % 2)
-    return rows.groupBy("run").agg(F.count("*").alias("n"), F.percentile("n_scans", 0.5).alias("median_scans"), F.percentile("intensity_max", 0.5).alias("median_apex"), F.round(F.stddev_samp("n_scans"), 6).alias("std_scans"))
+    rows = cut_lineage(found.select((F.col("channel") % 2).alias("run"), "n_scans", "intensity_max"))  # read three times
+    whole = rows.groupBy("run").agg(F.count("*").alias("n"), F.round(F.stddev_samp("n_scans"), 6).alias("std_scans"))
+    for name, value in (("median_scans", "n_scans"), ("median_apex", "intensity_max")):
+        whole = whole.join(medians(rows, ["run"], value).select("run", F.col("median").alias(name)), "run", "left")
+    return whole.select("run", "n", "median_scans", "median_apex", "std_scans")
 
 
 def recalibration_surface(rows: DataFrame, mz_bins: int = 20, rt_bins: int = 8, least: int = 50, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumentrace.operators.statistics import medians
 from lumentrace.operators.tracking import channel_key
 from lumentrace.sources import mzml
 
@@ -191,8 +192,11 @@ def read_features(spark: SparkSession, path: str, format: str = "parquet", c13:
 def report(features: DataFrame) -> DataFrame:
     """run, report: medians, spreads and numbers by charge of each run as JSON."""
     measures = [c for c in ("mz", "rt_apex", "intensity_sum", "n_isotopes", "cosine_score", "isotope_score", "ppm_error") if c in features.columns]
-    each = F.struct(*[F.struct(F.percentile(c, 0.5).alias("median"), F.stddev_samp(c).alias("std")).alias(c) for c in measures])
-    whole = features.groupBy("run").agg(F.count("*").alias("n_features"), each.alias("measures"))
+    values = features.select("run", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in measures])).alias("x")).select("run", "x.*").where("v is not null")
+    middle = medians(values, ["run", "measure"], "v").groupBy("run").agg(*[F.max(F.when(F.col("measure") == c, F.col("median"))).alias(f"m_{c}") for c in measures])
+    whole = features.groupBy("run").agg(F.count("*").alias("n_features"), *[F.stddev_samp(c).alias(f"s_{c}") for c in measures]).join(middle, "run", "left")
+    each = F.struct(*[F.struct(F.col(f"m_{c}").alias("median"), F.col(f"s_{c}").alias("std")).alias(c) for c in measures])
+    whole = whole.select("run", "n_features", each.alias("measures"))
     charges = features.groupBy("run", "charge").agg(F.count("*").alias("n")).groupBy("run").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("charge").cast("string"), "n")))).alias("charges"))
     return whole.join(charges, "run").select("run", F.to_json(F.struct("n_features", "measures", "charges")).alias("report"))
 

@@ -67,6 +67,7 @@ def test_features_and_report(spark, tmp_path):
     assert {r.charge: round(r.raw_mz, 6) for r in back} == {2: round(500 + 1.0033548378 / 2, 6), 3: 700.0}
     found = files.report(rows.where("charge > 0")).first()["report"]
     assert '"n_features":2' in found and '"charges":{"2":1,"3":1}' in found
+    assert '"mz":{"median":600.0,"std":141.4' in found and '"intensity_sum":{"median":20.0,' in found
 
 
 def test_identifications(spark, tmp_path):
