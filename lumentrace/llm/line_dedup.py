@@ -6,16 +6,20 @@ within the bound of the shorter: 0 below ``EDIT_FROM`` words, else 1.  A line
 goes when an equal or near line stands earlier, by (doc_id, line number).
 Lines without words always stay.
 
-The join never makes pairs of a group:
+The join never makes pairs of a large group:
 
+* Texts are cut into lines once; their hashes are written down, and all but the
+  texts of lines in question is read from there.
 * Equal lines are folded to their earliest place first (map-side combined).
 * A cheap filter finds lines that can have a near partner at all: one edit
   leaves either the first or the last half of the words alone, so lines whose
   opening and closing are both unique are done.
-* Only the others emit their deletion variants as hashed keys.  Variants that
-  lack the same position are equal exactly when one word differs: each such
-  group yields its earliest line.  A variant equal to a whole line is one
-  inserted word: each variant joins one folded line at most.
+* Of up to ``FEW`` lines that share an opening or a closing, each is compared
+  with the earlier ones.
+* Only lines that share one with more emit their deletion variants as hashed
+  keys.  Variants that lack the same position are equal exactly when one word
+  differs: each such group yields its earliest line.  A variant equal to a whole
+  line is one inserted word: each variant joins one folded line at most.
 * The edit distance of each surviving (line, earlier line) is then verified on
   their words.
 
@@ -39,7 +43,9 @@ EDIT_FROM = 8
 #: Words of the shortest opening or closing. A line of n words has one of k words for the greatest k = 2^i - 1 with
 #: 2k + 1 <= n; a line of just 2k + 1 words also has the next smaller, for its partners with a word less.
 LEAST_END = 3
-#: The bitmap of shared ends grows with their number, by powers of two, up to so many words of 64 bits.
+#: Lines that share an opening or a closing and are compared in pairs, at most; those of larger groups go by their variants.
+FEW = 8
+#: A bitmap grows with the number of its values, by powers of two, up to so many words of 64 bits.
 MOST_BITMAP_WORDS = 1 << 21
 SPACES = " \t\n\v\f\r"
 
@@ -67,57 +73,74 @@ def _bound(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+def _worded(line):
+    """Whether a line has words: what is left of it by its first word, as trimming both sides reads all of it."""
+    return F.ltrim(line, F.lit(SPACES)) != ""
+
+
 def _norm(line):
     """Lower-case words, one space apart; lines that have single spaces only need no pattern."""
     line = F.lower(line)
     odd = F.contains(line, F.lit("  "))
-    for space in SPACES[1:]:
+    for space in SPACES[1:].replace("\n", ""):
         odd = odd | F.contains(line, F.lit(space))
     return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
 
 
 def _n_words():
-    return F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
+    return F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
 
 
 def _key(*parts) -> list:
     return [F.xxhash64(*parts).alias("h1"), F.hash(*parts).alias("h2")]
 
 
-def _places(keyed: DataFrame) -> DataFrame:
-    """place, norm (words, one space apart), n_words; only lines with words."""
+def _lines(keyed: DataFrame) -> DataFrame:
+    """place, line; only lines with words."""
     lines = keyed.select("doc_id", "_text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.btrim("line", F.lit(SPACES)) != "")
-    return lines.select(F.struct("doc_id", "_text_hash", "line_no").alias("place"), _norm(F.col("line")).alias("norm"))
+    return lines.where(_worded(F.col("line"))).select(F.struct("doc_id", "_text_hash", "line_no").alias("place"), "line")
+
+
+def _hashes(keyed: DataFrame) -> DataFrame:
+    """place, as_is (the line's hash), h1, h2 (those of its words), n_words, ends of lines with words."""
+    lines = _lines(keyed).select("place", F.xxhash64("line").alias("as_is"), _norm(F.col("line")).alias("norm"))
+    lines = lines.select("place", "as_is", *_key("norm"), "norm", _n_words().alias("n_words"))
+    return _with_ends(lines).drop("norm")
 
 
-def _ends() -> F.Column:
-    """Hashes of a line's openings and closings (array)."""
-    longest = F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.col("n_words") + 1)) - 2) - 1
-    half = F.shiftright(longest, 1)
+def _with_ends(lines: DataFrame) -> DataFrame:
+    """``lines`` with ends: hashes of a line's openings and closings (array; null of lines that must be equal)."""
+    longest, half = F.col("_longest"), F.shiftright("_longest", 1)
     end = lambda k: F.array(F.xxhash64(F.lit("first"), k, F.call_function("substring_index", F.col("norm"), F.lit(" "), k)), F.xxhash64(F.lit("last"), k, F.call_function("substring_index", F.col("norm"), F.lit(" "), -k)))
     both = (F.col("n_words") == 2 * longest + 1) & (half >= LEAST_END)
-    return F.when(both, F.concat(end(longest), end(half))).otherwise(end(longest))
+    ends = F.when(F.col("n_words") >= EDIT_FROM, F.when(both, F.concat(end(longest), end(half))).otherwise(end(longest)))
+    lines = lines.withColumn("_longest", F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.col("n_words") + 1)) - 2) - 1)
+    return lines.withColumn("ends", ends).drop("_longest")
 
 
-def _word_and_bit(end, words: int) -> tuple[F.Column, F.Column]:
-    return F.shiftrightunsigned(end, 6).bitwiseAND(F.lit(words - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), end.bitwiseAND(F.lit(63)).cast("int"))
+def _in_bitmap(rows: DataFrame, of: str, values: DataFrame) -> DataFrame:
+    """``rows`` whose hash ``of`` is one of the values (one column), and a few others."""
+    # 16 bits a value, at most MOST_BITMAP_WORDS rows of 16 bytes: this spares most rows the exact join.
+    words = 1 << max(10, min(MOST_BITMAP_WORDS.bit_length() - 1, (values.count() // 4).bit_length()))
+    word = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(words - 1))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    value = F.col(values.columns[0])
+    bitmap = values.select(word(value).alias("word"), bit(value).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.withColumn("word", word(F.col(of))).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit(F.col(of))) != 0).drop("word", "bits")
 
 
-def _candidates(places: DataFrame) -> DataFrame:
-    """id (h1), place (earliest), norm, n_words of distinct lines that share an opening or a closing with another."""
-    lines = places.select(*_key("norm"), "place", "norm", _n_words().alias("n_words"))
-    ends = lines.select("h1", "h2", "place", "norm", "n_words", F.explode(F.when(F.col("n_words") >= EDIT_FROM, _ends())).alias("end"))
+def _candidates(keyed: DataFrame, hashes: DataFrame) -> DataFrame:
+    """id (h1), h2, place (earliest), n_words, norm of distinct lines that share an opening or a closing with another."""
+    ends = hashes.select("h1", "h2", "place", "as_is", "n_words", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("end")
     shared = cut_lineage(shared)
-    # A bitmap of the shared ends (16 bits each, at most MOST_BITMAP_WORDS rows of 16 bytes) spares most lines the exact join.
-    words = 1 << max(10, min(MOST_BITMAP_WORDS.bit_length() - 1, (shared.count() // 4).bit_length()))
-    word, bit = _word_and_bit(F.col("end"), words)
-    bitmap = shared.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    passed = ends.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("bits").bitwiseAND(bit) != 0)
-    passed = passed.join(shared, "end")  # inner, on distinct keys: a semi join would be moved below the bitmap
-    found = passed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("norm").alias("norm"), F.first("n_words").alias("n_words"))
-    return found.select(F.col("h1").alias("id"), "h2", "place", "norm", "n_words")
+    passed = _in_bitmap(ends, "end", shared).join(shared, "end")  # inner, on distinct keys: a semi join would be moved below the bitmap
+    found = passed.groupBy("h1", "h2").agg(F.min(F.struct("place", "as_is")).alias("first"), F.first("n_words").alias("n_words"))
+    found = cut_lineage(found.select("h1", "h2", "first.place", "first.as_is", "n_words"))
+    # Only these lines' texts are fetched.
+    lines = _in_bitmap(_lines(keyed).select("line", F.xxhash64("line").alias("as_is")), "as_is", found.select("as_is"))
+    norms = lines.select(_norm(F.col("line")).alias("norm")).select(*_key("norm"), "norm").groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
+    return found.join(norms, ["h1", "h2"]).select(F.col("h1").alias("id"), "h2", "place", "n_words", "norm")
 
 
 def _near(a, b):
@@ -130,7 +153,19 @@ def _near(a, b):
 
 
 def _near_pairs(words: DataFrame) -> DataFrame:
-    """id, other: pairs of candidates with equal variants that hold each line's earliest partner."""
+    """id, other: pairs of candidates among which each line that is near an earlier one has such a partner."""
+    ends = _with_ends(words).select("id", "place", "n_words", F.explode("ends").alias("end"))
+    sizes = cut_lineage(ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1"))
+    ends = cut_lineage(ends.join(sizes, "end"))
+    few = ends.where(F.col("n") <= FEW).groupBy("end").agg(F.collect_list(F.struct("place", "id", "n_words")).alias("lines"))  # FEW at most
+    pairs = few.select("lines", F.explode("lines").alias("late")).select("late", F.explode("lines").alias("early"))
+    pairs = pairs.where("early.place < late.place and abs(early.n_words - late.n_words) <= 1").select("late.id", F.col("early.id").alias("other"))
+    many = ends.where(F.col("n") > FEW).select("id").distinct()
+    return pairs.union(_equal_variants(words.join(many, "id", "left_semi"))).distinct()
+
+
+def _equal_variants(words: DataFrame) -> DataFrame:
+    """id, other: pairs of lines with equal variants that hold each line's earliest partner."""
     each = words.select("id", "n_words", F.posexplode(F.split("norm", " ")).alias("gone", "word"))
     # A key adds up hashes of the words with their positions: running sums give all of a line's variants in one pass.
     value = lambda at, salt: F.shiftrightunsigned(F.xxhash64("word", at, F.lit(salt)), 24)  # noqa: E731  sums of 2^23 words fit
@@ -151,23 +186,24 @@ def _near_pairs(words: DataFrame) -> DataFrame:
     # One word inserted: a variant that is another whole line.
     longer = variants.where(F.col("n_words") > EDIT_FROM).select("key", F.col("id").alias("longer"))
     inserted = whole.join(longer, "key").select("id", F.col("longer").alias("other"))
-    return by_replacing.union(inserted).union(inserted.select("other", "id")).distinct()
+    return by_replacing.union(inserted).union(inserted.select("other", "id"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, _text_hash, _gone (sorted numbers of the lines that go) of the documents that lose lines."""
-    places = _places(_keyed(docs))
-    words = cut_lineage(_candidates(places))
+    keyed = _keyed(docs)
+    hashes = cut_lineage(_hashes(keyed))
+    words = cut_lineage(_candidates(keyed, hashes))
     a, b = (words.select(F.col("id").alias(i), F.col("h2").alias(f"{i}_h2"), F.col("place").alias(f"{i}_place"), F.col("norm").alias(f"{i}_norm")) for i in ("id", "other"))
     pairs = _near_pairs(words).join(a, "id").join(b, "other").where("other_place < id_place")
     near = pairs.where(_bound(F.struct(F.split("id_norm", " ").alias("a"), F.split("other_norm", " ").alias("b")), lambda x: _near(x.a, x.b)))
     near = near.select(F.col("id").alias("h1"), F.col("id_h2").alias("h2"), F.lit(True).alias("near")).distinct()
     # A line goes if it is not the earliest of its equals, or if those are near an earlier line.
-    keyed = places.select(*_key("norm"), "place")
-    lines = keyed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    places = hashes.select("h1", "h2", "place")
+    lines = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     going = lines.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # Written down, so that the join stands by itself and a line that many rows share can be split among tasks.
-    found = keyed.join(cut_lineage(going), ["h1", "h2"]).where("near or first < place")
+    found = places.join(cut_lineage(going), ["h1", "h2"]).where("near or first < place")
     return found.groupBy("place.doc_id", "place._text_hash").agg(F.sort_array(F.collect_set("place.line_no")).alias("_gone"))
 
 
@@ -177,7 +213,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = F.split("row.text", "\n")
     kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     text = _bound(lines, lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))
-    wordless = F.array_join(F.filter(lines, lambda x: F.btrim(x, F.lit(SPACES)) == ""), "\n")
+    wordless = F.array_join(F.filter(lines, lambda x: ~_worded(x)), "\n")
     text = F.when(F.col("again"), wordless).when(F.col("gone").isNull(), F.col("row.text")).otherwise(text)
     return rows.select("row", text.alias("text"), (F.col("again") | F.col("gone").isNotNull()).alias("changed"))
 
@@ -194,7 +230,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines with words, and the numbers (from 0, comma-joined) of those that go."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    worded = F.coalesce(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(F.btrim(x, F.lit(SPACES)) != "", i)), lambda i: i.isNotNull()), F.array().cast("array<int>"))
+    worded = F.coalesce(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(_worded(x), i)), lambda i: i.isNotNull()), F.array().cast("array<int>"))
     found = _with_gone(docs, worded=worded).select("row.doc_id", "worded", F.when(F.col("again"), F.col("worded")).otherwise(F.coalesce("gone", F.array().cast("array<int>"))).alias("gone"))
     return found.select("doc_id", F.size("worded").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_gone"), F.array_join("gone", ",").alias("gone"))
 
