@@ -2,9 +2,10 @@
 
 1. Tokenise (Arrow batches): byte-level BPE ids, then the end id.  A text is
    first cut at the vocabulary's added tokens, which have ids of their own and
-   are no part of the text around them.  What is between is cut at single spaces
-   between other characters, where the pre-tokeniser always cuts too, and each
-   distinct chunk of a batch is encoded once.
+   are no part of the text around them.  What is between is cut at spaces and
+   line ends, where the pre-tokeniser always cuts too (it has no token in which
+   white space follows anything else), and each distinct chunk that a worker
+   remembers is encoded once.
 2. Documents over the capacity are cut into full pieces; a shorter piece, if
    any, comes first.
 3. The piece lengths are counted.  The plan is made from that histogram alone
@@ -25,6 +26,8 @@ text are read.
 from __future__ import annotations
 
 import base64
+import functools
+import itertools
 import json
 import re
 import zlib
@@ -43,18 +46,24 @@ CAPACITY, END_ID = 2048, 0
 RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: Slices, of a partition or more each, in which pieces of one length are ranked, at most.
 SLICES = 4096
-#: Encoded chunks that a task remembers.
+#: Encoded chunks that a worker remembers.
 REMEMBERED = 400_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|[^\S ]|\A\s|\s\Z")
+_SPACE, _OTHER = re.compile(r"\s"), re.compile(r"[^\S \n]")
+#: White space that is no chunk by itself: up to its last character it is one token, and all of it where the text ends.
+_RUNS = ["".join(x) for x in itertools.product(" \n", repeat=3)]
+_LAST_RUNS = tuple("".join(x) for x in itertools.product(" \n", repeat=2))
 
 
-class Encoder(dict):
-    """Chunk of text -> its ids as little-endian 32-bit bytes."""
+class Encoder:
+    """Texts -> their ids as little-endian 32-bit bytes.
+
+    A chunk is what stands after a space, or a line end with what stands after it; a text's first chunk, which has neither,
+    is known by a space before it, as others have none within.
+    """
 
     def __init__(self, ranks_file: str, added: dict[str, int]):
         """``added``: the ids of tokens that are found in raw text, whatever stands around them."""
-        super().__init__()
         self.added = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
         # Of tokens that begin at one place the longest is found, as by tokenizers.
         self.between = re.compile("(" + ("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)") + ")")
@@ -62,33 +71,69 @@ class Encoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.opens = np.zeros(max(ranks.values()) + 1, bool)
-        self.opens[[i for piece, i in ranks.items() if piece[:1] == b" "]] = True
+        self.opens[[i for piece, i in ranks.items() if piece[:1] in (b" ", b"\n")]] = True
+        self.known: dict[str, bytes] = {}
 
-    def _chunks(self, text: str) -> list[str]:
-        cut = text.split(" ") if not _ODD.search(text) else _CUT.split(text)
-        return [cut[0], *[f" {x}" for x in cut[1:]]]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.bpe.encode_ordinary(text), "<u4")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        # Every second part is an added token; a plain search spares most texts the pattern.
-        parts = [self.between.split(t) if any(x in t for x in self.added) else [t] for t in texts]
-        chunked = [self._chunks(p[0]) if len(p) == 1 else [c for i, x in enumerate(p) for c in ([x] if i % 2 else self._chunks(x))] for p in parts]
-        new = list({c for chunks in chunked for c in chunks if c not in self and c[:1] == " " and not _ODD.search(c[1:])})
+    def _learn(self, chunks: set[str]) -> None:
+        """Chunks with other white space within are left out."""
+        self.known |= {c: self._ids(c or " ").tobytes() for c in chunks & {"", "\n"}}
+        new = list(chunks.difference(self.known))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            # Joined, they are cut where they were: only a chunk's first id starts with a space.
-            ids = np.array(self.bpe.encode_ordinary("".join(part)), np.uint32)
+            if _OTHER.search("".join(part)):
+                part = [c for c in part if not _OTHER.search(c)]
+            # Joined, they are cut where they were: only a chunk's first id starts with a space or a line end.
+            ids = self._ids(f" {' '.join(part)}".replace(" \n", "\n") if part else "")
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) == len(part):
-                raw, ends = ids.astype("<u4").tobytes(), [*starts[1:].tolist(), len(ids)]
-                self.update((c, raw[4 * a : 4 * b]) for c, a, b in zip(part, starts.tolist(), ends))
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in chunked]
+                raw, bounds = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, bounds, bounds[1:]))))
+            else:
+                self.known.update((c, self._ids(c if c[0] == "\n" else f" {c}").tobytes()) for c in part)
+
+    def _learn_first(self, chunks: set[str]) -> None:
+        self.known |= {c: self._ids(c[1:]).tobytes() for c in chunks.difference(self.known) if not _SPACE.search(c[1:])}
+
+    def _slowly(self, text: str) -> bytes:
+        """Of texts with other white space or more of it: cut at single spaces between other characters only."""
+        first, *others = _CUT.split(text)
+        found = [self.known.get(f" {first}"), *map(self.known.get, others)]
+        return b"".join(self._ids(f" {x}" if i else x).tobytes() if ids is None else ids for i, (x, ids) in enumerate(zip([first, *others], found)))
 
-    def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = found = self.added.get(chunk) or np.array(self.bpe.encode_ordinary(chunk), "<u4").tobytes()
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        chunked = [t.replace("\n", " \n").split(" ") for t in texts]
+        distinct = set().union(*chunked)
+        self._learn(distinct)
+        for chunks in chunked:
+            chunks[0] = f" {chunks[0]}"
+        self._learn_first({chunks[0] for chunks in chunked})
+        spaced = not distinct.isdisjoint(("", "\n"))
+        found = []
+        for text, chunks in zip(texts, chunked):
+            try:
+                odd = spaced and (text.endswith(_LAST_RUNS) or any(x in text for x in _RUNS))
+                found.append(self._slowly(text) if odd else b"".join(map(self.known.__getitem__, chunks)))
+            except KeyError:
+                found.append(self._slowly(text))
         return found
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # Every second part is an added token; a plain search spares most texts the pattern.
+        parts = [self.between.split(t) if any(x in t for x in self.added) else [t] for t in texts]
+        plain = iter(self._plain([x for p in parts for x in p[::2]]))
+        return [next(plain) if len(p) == 1 else b"".join(self.added[x] if i % 2 else next(plain) for i, x in enumerate(p)) for p in parts]
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(ranks_file: str, added: tuple[tuple[str, int], ...]) -> Encoder:
+    """A worker's encoder, kept for its next tasks."""
+    return Encoder(ranks_file, dict(added))
+
 
 def added_tokens() -> dict[str, int]:
     with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
@@ -97,9 +142,10 @@ def added_tokens() -> dict[str, int]:
 
 def _pieces(ranks_file: str, added: dict[str, int], capacity: int):
     end = np.array([END_ID], "<u4").tobytes()
+    tokens = tuple(added.items())
 
     def cut(batches):
-        encoder = Encoder(ranks_file, added)
+        encoder = _encoder(ranks_file, tokens)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows: list[tuple] = []
