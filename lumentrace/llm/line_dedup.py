@@ -14,12 +14,15 @@ The join never makes pairs of a large group:
 * A cheap filter finds lines that can have a near partner at all: one edit
   leaves either the first or the last half of the words alone, so lines whose
   opening and closing are both unique are done.
-* Of up to ``FEW`` lines that share an opening or a closing, each is compared
-  with the earlier ones.
-* Only lines that share one with more emit their deletion variants as hashed
-  keys.  Variants that lack the same position are equal exactly when one word
-  differs: each such group yields its earliest line.  A variant equal to a whole
-  line is one inserted word: each variant joins one folded line at most.
+* Lines of n and of n + 1 words are grouped by their first and by their last half.
+  Of up to ``FEW`` lines in a group, each is compared with the earlier ones.
+* Only what is left of the lines of larger groups is halved and grouped again, by
+  all that was left out, until groups are small or ``SHORT`` words are left.  So a
+  line makes two rows a round, not one for each of its words.
+* Only these few words emit their deletion variants as hashed keys.  Variants that
+  lack the same position are equal exactly when one word differs: each such group
+  yields its earliest line.  A variant equal to a whole part is one inserted word:
+  each variant joins one folded line at most.
 * The edit distance of each surviving (line, earlier line) is then verified on
   their words.
 
@@ -33,6 +36,8 @@ columns besides doc_id and text pass through, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +48,10 @@ EDIT_FROM = 8
 #: Words of the shortest opening or closing. A line of n words has one of k words for the greatest k = 2^i - 1 with
 #: 2k + 1 <= n; a line of just 2k + 1 words also has the next smaller, for its partners with a word less.
 LEAST_END = 3
-#: Lines that share an opening or a closing and are compared in pairs, at most; those of larger groups go by their variants.
+#: Lines that share a first or last half and are compared in pairs, at most; the rest of those of larger groups is halved again.
 FEW = 8
+#: Words left of a line that are not halved any more: in larger groups they go by their variants.
+SHORT = 8
 #: A bitmap grows with the number of its values, by powers of two, up to so many words of 64 bits.
 MOST_BITMAP_WORDS = 1 << 21
 SPACES = " \t\n\v\f\r"
@@ -152,40 +159,56 @@ def _near(a, b):
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (opening + closing >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
+def _halves(parts: DataFrame) -> DataFrame:
+    """``parts`` without the first and without the last half of the words that were left; key tells what was left out so far."""
+    half = F.shiftright("n_left", 1)
+    first, last = (F.call_function("substring_index", F.col("rest"), F.lit(" "), k) for k in (half, -half))
+    without = F.array(
+        F.struct(F.xxhash64("key", F.lit("first"), first).alias("key"), F.substring("rest", F.length(first) + 2, F.length("rest")).alias("rest")),
+        F.struct(F.xxhash64("key", F.lit("last"), last).alias("key"), F.substring("rest", F.lit(1), F.length("rest") - F.length(last) - 1).alias("rest")),
+    )
+    return parts.select("id", "place", "longer", (F.col("n_left") - half).alias("n_left"), F.explode(without).alias("part")).select("id", "place", "longer", "n_left", "part.*")
+
+
 def _near_pairs(words: DataFrame) -> DataFrame:
     """id, other: pairs of candidates among which each line that is near an earlier one has such a partner."""
-    ends = _with_ends(words).select("id", "place", "n_words", F.explode("ends").alias("end"))
-    sizes = cut_lineage(ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1"))
-    ends = cut_lineage(ends.join(sizes, "end"))
-    few = ends.where(F.col("n") <= FEW).groupBy("end").agg(F.collect_list(F.struct("place", "id", "n_words")).alias("lines"))  # FEW at most
-    pairs = few.select("lines", F.explode("lines").alias("late")).select("late", F.explode("lines").alias("early"))
-    pairs = pairs.where("early.place < late.place and abs(early.n_words - late.n_words) <= 1").select("late.id", F.col("early.id").alias("other"))
-    many = ends.where(F.col("n") > FEW).select("id").distinct()
-    return pairs.union(_equal_variants(words.join(many, "id", "left_semi"))).distinct()
-
-
-def _equal_variants(words: DataFrame) -> DataFrame:
-    """id, other: pairs of lines with equal variants that hold each line's earliest partner."""
-    each = words.select("id", "n_words", F.posexplode(F.split("norm", " ")).alias("gone", "word"))
-    # A key adds up hashes of the words with their positions: running sums give all of a line's variants in one pass.
-    value = lambda at, salt: F.shiftrightunsigned(F.xxhash64("word", at, F.lit(salt)), 24)  # noqa: E731  sums of 2^23 words fit
-    line = Window.partitionBy("id")
-    upto = line.orderBy("gone").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for i in (1, 2):
-        here, moved = value(F.col("gone"), i), value(F.col("gone") - 1, i)
-        each = each.withColumn(f"whole{i}", F.sum(here).over(upto)).withColumn(f"v{i}", F.col(f"whole{i}") - here + F.sum(moved).over(line) - F.sum(moved).over(upto))
-    variants = each.select("id", "n_words", "gone", F.xxhash64("v1", "v2").alias("key"))
-    whole = each.where("gone = n_words - 1").select("id", F.xxhash64("whole1", "whole2").alias("key"))
-    place = words.select("id", "place")
+    # A line of n words stands among those of n or n + 1, and as the longer one among those of n - 1 or n: n_left counts the shorter's words.
+    lengths = F.array(F.struct(F.lit(False).alias("longer"), F.col("n_words").alias("n_left")), F.struct(F.lit(True).alias("longer"), (F.col("n_words") - 1).alias("n_left")))
+    parts = words.select("id", "place", F.col("norm").alias("rest"), F.explode(lengths).alias("as")).select("id", "place", "rest", "as.*")
+    parts = parts.where(F.col("n_left") >= EDIT_FROM).withColumn("key", F.xxhash64("n_left"))
+    few, short = [], []
+    while True:
+        halves = _halves(parts)
+        sizes = halves.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("longer").alias("none_shorter"))
+        sizes = cut_lineage(sizes.where("n > 1 and not none_shorter").select("key", "n"))
+        halves = cut_lineage(halves.join(sizes, "key"))
+        few.append(halves.where(F.col("n") <= FEW).select("key", "id", "place", "longer"))
+        parts = halves.where(F.col("n") > FEW).drop("n")
+        short.append(parts.where(F.col("n_left") <= SHORT))
+        parts = parts.where(F.col("n_left") > SHORT)
+        if parts.isEmpty():
+            break
+    groups = reduce(DataFrame.union, few).groupBy("key").agg(F.collect_list(F.struct("place", "id", "longer")).alias("lines"))  # FEW at most
+    pairs = groups.select("lines", F.explode("lines").alias("late")).select("late", F.explode("lines").alias("early"))
+    pairs = pairs.where("early.place < late.place and not (early.longer and late.longer)").select("late.id", F.col("early.id").alias("other"))
+    return pairs.union(_equal_variants(reduce(DataFrame.union, short))).distinct()
+
+
+def _equal_variants(parts: DataFrame) -> DataFrame:
+    """id, other: pairs of parts with one key and equal variants that hold each part's earliest partner."""
+    n_words = F.col("n_left") + F.col("longer").cast("int")
+    each = parts.select("id", "place", "longer", "key", "rest", n_words.alias("n_words"), F.explode(F.sequence(F.lit(0), n_words - 1)).alias("gone"))
+    before, after = (F.call_function("substring_index", F.col("rest"), F.lit(" "), k) for k in (F.col("gone"), F.col("gone") + 1 - F.col("n_words")))
+    variants = each.select("id", "place", "longer", "gone", F.xxhash64("key", F.trim(F.concat(before, F.lit(" "), after))).alias("key"))
     # One word replaced: equal variants that lack the same position; each joins the group's earliest line.
-    lacking = variants.select("id", F.xxhash64("gone", "key").alias("key"))
-    groups = lacking.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
-    members = cut_lineage(lacking.join(groups, "key", "left_semi").join(place, "id"))
-    first = members.groupBy("key").agg(F.min(F.struct("place", "id")).alias("first"))
-    by_replacing = members.join(first, "key").select("id", F.col("first.id").alias("other")).where("id != other")
-    # One word inserted: a variant that is another whole line.
-    longer = variants.where(F.col("n_words") > EDIT_FROM).select("key", F.col("id").alias("longer"))
-    inserted = whole.join(longer, "key").select("id", F.col("longer").alias("other"))
+    lacking = variants.where(~F.col("longer")).select("id", "place", F.xxhash64("gone", "key").alias("key"))
+    groups = lacking.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min(F.struct("place", "id")).alias("first"))
+    # Written down, so that the join stands by itself and a group of many lines can be split among tasks.
+    groups = cut_lineage(groups.where("a < b").select("key", F.col("first.id").alias("other")))
+    by_replacing = lacking.join(groups, "key").select("id", "other").where("id != other")
+    # One word inserted: a variant that is another whole part.
+    whole = parts.where(~F.col("longer")).select("id", F.xxhash64("key", "rest").alias("key"))
+    inserted = whole.join(variants.where("longer").select("key", F.col("id").alias("other")), "key").select("id", "other")
     return by_replacing.union(inserted).union(inserted.select("other", "id"))
 
 

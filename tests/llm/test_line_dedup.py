@@ -64,3 +64,57 @@ def test_texts_are_read_twice(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.udf(counted, StringType()).asNondeterministic()("text"))
     assert line_dedup.repeated_lines(docs).count() > 0
     assert 0 < reads.value <= 2 * len(rows)
+
+
+def long_lines(seed: int, n_words: int) -> list[tuple[int, str]]:
+    """Near copies of one long line, by one or two edits at any place or at one, and lines that share its first or last half."""
+    draw = random.Random(seed)
+    some = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    base, rows = some(n_words), []
+    for i in range(120):
+        words = list(base)
+        if i % 4 == 1:
+            words[n_words // 3] = some(1)[0]
+        elif i % 4 == 2:
+            half = n_words // 2
+            words = words[:half] + some(half + 1) if i % 8 == 2 else some(half) + words[half:]
+        else:
+            for _ in range(1 + i % 2):
+                at = draw.randrange(len(words))
+                words[at : at + draw.randint(0, 1)] = some(draw.randint(0, 1))
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("few, n_words", [(0, 33), (8, 97), (2, 250)])
+def test_long_lines_of_large_groups(spark, monkeypatch, few, n_words):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    rows = long_lines(few, n_words)
+    found = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, i) for r in found for i in r["_gone"]} == going(rows)
+
+
+def generated(spark, work) -> int:
+    """Rows that Generate nodes made while ``work`` ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs, n = store.executionsList(), 0
+    for i in range(before, runs.size()):
+        run = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            for metric in (metrics.apply(k) for k in range(metrics.size())):
+                if node.name() == "Generate" and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    n += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return n
+
+
+def test_rows_of_large_groups_do_not_grow_with_the_lines(spark):
+    made = []
+    for n_words in (40, 320):
+        docs = spark.createDataFrame(long_lines(1, n_words), "doc_id long, text string")
+        made.append(generated(spark, lambda: line_dedup.repeated_lines(docs).collect()))
+    assert 120 <= made[0] and made[1] < 2.5 * made[0], made
