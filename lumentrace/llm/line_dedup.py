@@ -17,8 +17,8 @@ The join never makes pairs of a large group:
 * Lines of n and of n + 1 words are grouped by their first and by their last half.
   Of up to ``FEW`` lines in a group, each is compared with the earlier ones.
 * Only what is left of the lines of larger groups is halved and grouped again, by
-  all that was left out, until groups are small or ``SHORT`` words are left.  So a
-  line makes two rows a round, not one for each of its words.
+  all that was left out, until groups are small or ``SHORT`` words are left.  So what
+  is left makes two rows a round, not one for each of its words.
 * Only these few words emit their deletion variants as hashed keys.  Variants that
   lack the same position are equal exactly when one word differs: each such group
   yields its earliest line.  A variant equal to a whole part is one inserted word:
@@ -38,7 +38,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumentrace.llm.common import cut_lineage, held, table
